@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import BROADCAST_ROWS, pin, shuffle_width
+from plumbline.operators.joins import eq_join, small_side
+from plumbline.session import pin, shuffle_width
 
 
 def value_frequency(df: DataFrame, by: Sequence[str], value: str, **extra) -> DataFrame:
@@ -21,20 +22,6 @@ def value_frequency(df: DataFrame, by: Sequence[str], value: str, **extra) -> Da
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggs)
 
 
-def small_side(side: DataFrame) -> DataFrame:
-    """Broadcast hint for an already materialised side, only when its rows were counted small."""
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
-
-
-def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if not keys:
-        return left.crossJoin(right)  # the right side is one row
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return left.join(right, condition).drop(*[right[key] for key in keys])
-
-
 def cumulate(
     freq: DataFrame,
     by: Sequence[str],
@@ -53,7 +40,7 @@ def cumulate(
             F.array_distinct(F.percentile_approx(F.col(value), probs, 10000)).alias("_cuts")
         )
     )
-    placed = _join_on(freq, small_side(cuts), by).withColumn(
+    placed = eq_join(freq, small_side(cuts), by).withColumn(
         "_bucket", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
     ).drop("_cuts")
     placed = placed.repartition(*by, "_bucket")
@@ -73,7 +60,7 @@ def cumulate(
         Window.unboundedPreceding, -1
     )
     return (
-        _join_on(
+        eq_join(
             placed.withColumn("_before", F.coalesce(F.sum(weight).over(inside), F.lit(0))),
             offsets,
             [*by, "_bucket"],

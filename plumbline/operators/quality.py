@@ -17,6 +17,7 @@ from plumbline.functions import fixed_values as fv
 from plumbline.functions import names
 from plumbline.functions import numbers as num
 from plumbline.operators import profile as prof
+from plumbline.operators.joins import eq_join
 from plumbline.operators.ordering import quantiles
 
 ISSUE_SCHEMA = (
@@ -504,11 +505,7 @@ def check_duplicate_rows(
 
 def violations_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows whose ``columns`` occur more than once."""
-    groups = duplicate_groups(df, columns).drop("n")
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & df[c].eqNullSafe(groups[c])
-    return df.join(groups, condition, "left_semi")
+    return eq_join(df, duplicate_groups(df, columns).drop("n"), columns, "left_semi")
 
 
 # ---- too-fast answers ------------------------------------------------------------------------

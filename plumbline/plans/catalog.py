@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-AREAS = ("quality",)
+AREAS = ("quality", "tests", "matrix")
 
 
 def query(name: str, oracle: str | None = None):
@@ -45,7 +45,7 @@ def load() -> None:
         importlib.import_module(f"plumbline.plans.{area}")
 
 
-def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, /, **special: int) -> DataFrame:
     """Round every double so that two engines agree on the last digits; counts become long."""
     out: list[Column] = []
     for field in df.schema.fields:
