@@ -37,7 +37,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = np.where(np.abs(c) < _TINY, _TINY, c)
             step = d * c
             h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
+        if np.all(np.abs(step - 1.0) < 1e-14):
             break
     return h
 
@@ -98,7 +98,7 @@ def gammaincc(s, x) -> np.ndarray:
         c = np.where(np.abs(c) < _TINY, _TINY, c)
         step = d * c
         h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
+        if np.all(np.abs(step - 1.0) < 1e-14):
             break
     value = np.where(series_side, 1.0 - front * total, front * h)
     out[ok] = np.where(v <= 0, 1.0, np.clip(value, 0.0, 1.0))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-AREAS = ("quality", "tests", "matrix")
+AREAS = ("quality", "tests", "matrix", "reported")
 
 
 def query(name: str, oracle: str | None = None):
