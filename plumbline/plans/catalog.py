@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.sources.readers import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-AREAS = ("quality", "tests", "matrix", "reported")
+#: Tables of texts: heavy per byte, so a scan of few files is spread over the cores.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+AREAS = ("quality", "tests", "matrix", "reported", "tables", "corpus")
 
 
 def query(name: str, oracle: str | None = None):
@@ -37,7 +42,8 @@ class Tables:
         self.folder = folder
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(frame) if name in TEXT_TABLES else frame
 
 
 def load() -> None:

@@ -64,6 +64,16 @@ def read_texts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
                         unix_lines(F.col("value")).alias("text"))
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Spread texts over the cores when a scan yields fewer partitions than there are cores.
+
+    Text checks are heavy per byte, and one small file is one task.  A scan that is already wide is
+    left alone, so large inputs are never shuffled for this.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
 def unix_lines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
