@@ -41,9 +41,9 @@ PERSON_NAME = (r"[一-鿿·]{2,6}|[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+)*\s+[
 ET_AL = r"(?i)(?:等|et\s*al\.?|etc\.?)\s*$"
 
 # --- fixed values: citations --------------------------------------------------------------------
-CITATION = (r"(?<![0-9_])(?<!(?<![A-Za-z])[a-z])(?<!(?<![A-Za-z])[a-z]{2})"
-            r"(?<!(?:区间|范围|取值|∈|矩阵|数组|向量|索引)\s{0,4})"
-            r"\[\s*(\d{1,3}(?:\s*[-,~]\s*\d{1,3})*)\s*\](?!\s*(?:区间|范围|之间))")
+CITATION = (r"\[(?<![0-9_]\[)(?<!(?<![A-Za-z])[a-z]\[)(?<!(?<![A-Za-z])[a-z]{2}\[)"
+            r"(?<!(?:区间|范围|取值|∈|矩阵|数组|向量|索引)\s{0,4}\[)"
+            r"\s*(\d{1,3}(?:\s*[-,~]\s*\d{1,3})*)\s*\](?!\s*(?:区间|范围|之间))")
 AUTHOR_YEAR_GROUP = r"\(([^()\n]{2,120}?)\)"
 AUTHOR_YEAR = (r"^\s*([一-鿿·]{2,12}?|[A-Z][A-Za-z'\-]+)(?:等人?|\s+(?:and|&)\s+[A-Z][A-Za-z'\-]+|\s+et\s+al\.?)?"
                r"\s*,?\s*((?:1[89]|20)\d{2})[a-z]?\s*$")
@@ -57,7 +57,7 @@ NOT_CAPTION = (
     r"|和[图表]|与[图表]|及[图表]|至|~|-|、|,|的[结数]|展示了|描述了|对比|进一步|则|结果(?:可知|表明|显示)"
     r"|(?i:shows?\b|presents?\b|lists?\b|reports?\b|and\b))"
 )
-MENTION = (r"(?:(?<![一-鿿A-Za-z])|(?<=[如见由据按参从在将对把至到即详依和与及、上下的]))(?:{words})[ \t]*"
+MENTION = (r"(?:{words})(?<![[一-鿿A-Za-z]&&[^如见由据按参从在将对把至到即详依和与及、上下的]](?:{words}))[ \t]*"
            r"(\d{{1,2}}(?:[.\-]\d{{1,2}}){{0,2}})(?!\d|[.\-]\d)")
 
 # --- fixed values: typography and structure -----------------------------------------------------
@@ -165,7 +165,7 @@ SAFE_INTENT = (r"润色|改.{0,3}语病|改.{0,3}语法|修改.{0,3}语病|调
 KEY_SHAPE = r"\bsk-[A-Za-z0-9_\-]{16,}"
 LONG_RUN = r"[A-Za-z0-9]{20,}"
 ACCOUNT_SHAPE = r"\b(?:org-[0-9a-f]{8,}|ak-[0-9a-z]{8,})"
-EMAIL_SHAPE = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+EMAIL_SHAPE = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 
 
 @dataclass(frozen=True)

@@ -15,6 +15,7 @@ from plumbline.functions import fixed_text as ft
 from plumbline.functions import fixed_writing as fw
 from plumbline.functions import text as tx
 from plumbline.functions.numbers import chinese_numeral
+from plumbline.operators.joins import unfold
 
 
 def _empty(kind: str) -> Column:
@@ -94,7 +95,7 @@ def with_entries(sectioned: DataFrame) -> DataFrame:
 
 def reference_entries(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     frame = with_entries(split_sections(docs.select(*keys, text), text))
-    return frame.select(*keys, "entry_mode", F.inline("entries"))
+    return unfold(frame, [*keys, "entry_mode"], "entries", "num")
 
 
 def entry_problems(entry: Column, current_year: int) -> Column:
@@ -125,7 +126,7 @@ def entry_problems(entry: Column, current_year: int) -> Column:
 def check_entries(entries: DataFrame, keys: Sequence[str], current_year: int) -> DataFrame:
     """One row per entry and problem.  The year is a parameter, so that reruns agree."""
     return entries.withColumn("_p", entry_problems(F.col("entry"), current_year)).select(
-        *keys, "num", F.explode("_p").alias("problem"))
+        *keys, "num", F.explode_outer("_p").alias("problem")).where("problem is not null")
 
 
 def title_key(entry: Column) -> Column:
@@ -358,7 +359,7 @@ def typography_check(docs: DataFrame, keys: Sequence[str], text: str = "text", *
     A few blanks between characters are alignment, so fewer than three of them are left out.
     """
     frame = with_typography(split_sections(docs.select(*keys, text), text), **kw)
-    return frame.select(*keys, F.inline("typography")).withColumn("n", F.col("n").cast("long"))
+    return unfold(frame, keys, "typography", "rule").withColumn("n", F.col("n").cast("long"))
 
 
 STRUCTURE_COLUMNS = ("abstract_cn", "abstract_en", "n_keywords", "n_chapters", "missing_chapters",

@@ -27,3 +27,12 @@ def eq_join(
 def small_side(side: DataFrame) -> DataFrame:
     """Broadcast hint for an already materialised side, only when its rows were counted small."""
     return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+
+
+def unfold(frame: DataFrame, keep: Sequence[str], array: str, present: str) -> DataFrame:
+    """Rows of an array-of-structs column; ``present`` names a field that is never null.
+
+    ``inline`` on a plain column makes the optimizer infer a size filter and push it below, where it
+    would compute the array a second time.  The outer form has no such filter.
+    """
+    return frame.select(*keep, F.inline_outer(array)).where(F.col(present).isNotNull())

@@ -114,7 +114,8 @@ def evidence_windows(
     found = pieces.where(F.size("_p") > 1).withColumn("_kept", positions["kept"])
     if top is not None:
         found = found.withColumn("_kept", F.slice("_kept", 1, top))
-    rows = found.select(*keys, "_t", F.posexplode("_kept").alias("window_no", "_pos"))
+    rows = found.select(*keys, "_t", F.posexplode_outer("_kept").alias("window_no", "_pos")).where(
+        "_pos is not null")
     start = F.greatest(F.col("_pos") - before, F.lit(0))
     stop = F.least(F.col("_pos") + after, F.length("_t"))
     return rows.select(*keys, "window_no", start.alias("start"), stop.alias("stop"),

@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 #: Tables of texts: heavy per byte, so a scan of few files is spread over the cores.
 TEXT_TABLES = ("documents", "pages", "conversations")
 
-AREAS = ("quality", "tests", "matrix", "reported", "tables", "corpus")
+AREAS = ("quality", "tests", "matrix", "reported", "tables", "corpus", "evaluation", "events")
 
 
 def query(name: str, oracle: str | None = None):
