@@ -15,11 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _DOUBLE = T.DoubleType()
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
 _TINY = 1e-300
 
 
+def _elementwise(fn, x) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    return np.fromiter((fn(v) for v in x.ravel()), dtype=float, count=x.size).reshape(x.shape)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _elementwise(math.lgamma, x)
+
+
+def _erfc(x) -> np.ndarray:
+    return _elementwise(math.erfc, x)
+
+
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz), elementwise."""
     c = np.ones_like(x)

@@ -50,9 +50,12 @@ def half_unit(raw: Column) -> Column:
 
 
 def plain_text(value: Column) -> Column:
-    """Decimal text without trailing zeros; null for values only written in scientific form."""
+    """Decimal text without trailing zeros; null below 1e-4 and from 1e16 on, where a value is only ever
+    written in scientific form."""
     text = value.cast("string")
-    text = F.when(text.contains("E"), F.lit(None)).otherwise(text)
+    size = F.abs(value)
+    text = F.when(~text.contains("E"), text).when(
+        (size >= 1e-4) & (size < 1e16), value.try_cast("decimal(38,20)").cast("string"))
     text = F.when(text.contains("."), F.regexp_replace(text, r"\.?0*$", "")).otherwise(text)
     return F.regexp_replace(text, "^-", "")
 
@@ -79,8 +82,15 @@ def two_digit_tail(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(raw, r"\.\d*(\d\d)$", 1), F.lit(""))
 
 
-def round_half(c: Column, digits: int) -> Column:
-    return F.round(c.cast("double"), digits)
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate; null without variance.
+
+    The built-in one fails under ANSI division when a side is constant.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 CHINESE_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5,

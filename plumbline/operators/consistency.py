@@ -70,7 +70,7 @@ def sd_bounds(
     Smallest: all scores at the two integers next to the mean.  Largest: as many as fit at the upper
     end, one in between, the rest at the lower end; without an upper end one score takes everything.
     """
-    n = _as_col(n).cast("double")
+    n = F.nullif(_as_col(n).cast("double"), F.lit(0.0))
     g = F.greatest(_as_col(items).cast("double"), F.lit(1.0))
     low = F.coalesce(_as_col(lo).cast("double"), F.lit(0.0)) * g
     high = _as_col(hi).cast("double") * g
@@ -79,13 +79,13 @@ def sd_bounds(
     tight = rem * (n - rem) / (n * n)
     above = total - n * low
     span = high - low
-    at_top = F.floor(above / span)
+    at_top = F.floor(F.try_divide(above, span))
     left = above - at_top * span
     second = at_top * span * span + left * left - above * above / n
     bounded = F.when((above >= 0) & (total <= n * high) & (span > 0), second / n)
     free = F.when(above >= 0, (above * above - above * above / n) / n)
     wide = F.coalesce(F.when(high.isNull(), free).otherwise(bounded), tight)
-    factor = n / (n - ddof)
+    factor = F.try_divide(n, n - ddof)
     scale = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)) * factor) / g
     return (
         F.when(n > 1, F.least(scale(tight), scale(wide))),

@@ -16,7 +16,7 @@ Z95 = 1.96
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Wilson interval of a share, in percent."""
-    k, n = k.cast("double"), n.cast("double")
+    k, n = k.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
     p = F.try_divide(k, n)
     d = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / d

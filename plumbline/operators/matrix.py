@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import dist
+from plumbline.functions import numbers as num
 from plumbline.operators.joins import eq_join
 from plumbline.operators.moments import eta_label, levene, listwise
 
@@ -241,7 +242,7 @@ def cronbach_alpha(
     deleted = []
     for i, c in enumerate(items):
         rest = [o for o in items if o != c]
-        aggs.append(F.corr(F.when(full, _value(c)), F.when(full, _sum_of(rest))).alias(f"_r{i}"))
+        aggs.append(num.safe_corr(F.when(full, _value(c)), F.when(full, _sum_of(rest))).alias(f"_r{i}"))
         if len(rest) >= 2:
             more, value = _alpha(rest, f"del{i}")
             aggs += more

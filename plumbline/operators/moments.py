@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import dist
+from plumbline.functions import numbers as num
 from plumbline.operators.joins import eq_join, small_side
 from plumbline.operators.ordering import quantiles
 
@@ -89,7 +90,7 @@ def levene(
     ).where(F.col("n") >= min_n)
     out = _between_within(stats, by)
     df1, df2 = F.col("k") - 1, F.col("n_total") - F.col("k")
-    w = _div(F.col("ss_between") / df1, F.col("ss_within") / df2)
+    w = _div(_div(F.col("ss_between"), df1), _div(F.col("ss_within"), df2))
     return out.select(
         *by, "k", "n_total", df1.alias("df1"), df2.alias("df2"), w.alias("w"),
         dist.p_f(w, df1, df2).alias("p"))
@@ -201,7 +202,7 @@ def anova(
     by = list(by)
     out = _between_within(group_stats(df, group, value, by), by).where("k >= 3")
     df1, df2 = F.col("k") - 1, F.col("n_total") - F.col("k")
-    f = _div(F.col("ss_between") / df1, F.col("ss_within") / df2)
+    f = _div(_div(F.col("ss_between"), df1), _div(F.col("ss_within"), df2))
     eta2 = _div(F.col("ss_between"), F.col("ss_between") + F.col("ss_within"))
     out = out.select(
         *by, "k", "n_total", "ss_between", "ss_within", df1.alias("df1"), df2.alias("df2"),
@@ -242,7 +243,8 @@ def posthoc(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> Da
 def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation with t, Fisher-z interval and size label."""
     out = listwise(df, [a, b], by).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(_value(a), _value(b)).alias("r")).where("n >= 3")
+        F.count(F.lit(1)).alias("n"), num.safe_corr(_value(a), _value(b)).alias("r")
+    ).where("n >= 3")
     r = F.col("r")
     dof = F.col("n") - 2
     t = F.when(F.abs(r) < 1, r * F.sqrt(dof / (1 - r * r)))
@@ -309,7 +311,7 @@ def fit_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     return listwise(df, [x, y], by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(_value(y), _value(x)).alias("slope"),
         F.regr_intercept(_value(y), _value(x)).alias("intercept"),
-        F.corr(_value(x), _value(y)).alias("r"))
+        num.safe_corr(_value(x), _value(y)).alias("r"))
 
 
 def crosstab(df: DataFrame, row: str, col: str, levels: Sequence[str]) -> DataFrame:

@@ -46,6 +46,8 @@ def column_frequency(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     text.
     """
     columns = list(columns or df.columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "name string, value string, n bigint")
     families: dict[str, list[str]] = {}
     for field in df.schema.fields:
         if field.name in columns:

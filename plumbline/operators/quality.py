@@ -279,7 +279,7 @@ def item_rest_aggs(items: Sequence[str], prefix: str) -> dict[str, Column]:
     full = _complete(items)
     total = sum((_x(c) for c in items[1:]), _x(items[0]))
     return {
-        c: F.corr(F.when(full, _x(c)), F.when(full, total - _x(c))).alias(f"{prefix}r{j}")
+        c: num.safe_corr(F.when(full, _x(c)), F.when(full, total - _x(c))).alias(f"{prefix}r{j}")
         for j, c in enumerate(items)
     }
 
@@ -543,6 +543,8 @@ def check_response_duration(
 
 def numeric_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct finite values of numeric columns with counts: ``(name, value, n)``."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "name string, value double, n bigint")
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("name"), _x(c).alias("value")) for c in columns])))
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))

@@ -128,7 +128,7 @@ def shapiro(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
         F.max("total").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"),
         F.max("m").alias("m_last"),
         F.max(F.when(F.col("i") == F.col("total") - 1, F.col("m"))).alias("m_prev"),
-        F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+        F.avg("x").alias("mean"), F.var_pop("x").alias("var")).where("n >= 4")
     k = F.col("n").cast("double")
     u = 1 / F.sqrt(k)
     root = F.sqrt("mm")
@@ -169,7 +169,7 @@ def shapiro(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     large_sd = F.exp(_poly([0.0030302, -0.082676, -0.4803], ln_n))
     z = F.when(F.col("n") <= 11, (small_y - small_mu) / small_sd).otherwise(
         (large_y - large_mu) / large_sd)
-    return out.where("n >= 4 and var > 0").select(*by, "n", F.least(w, F.lit(1.0)).alias("w")) \
+    return out.where("var > 0").select(*by, "n", F.least(w, F.lit(1.0)).alias("w")) \
         .withColumn("p", F.when(F.col("n") <= 5000, dist.p_norm_upper(z))) \
         .withColumn("normal", F.col("p") > 0.05)
 
