@@ -12,7 +12,7 @@ from plumbline.functions import fixed_text as ft
 
 #: Encodings tried in order.
 ENCODINGS = ("utf-8", "gbk", "gb18030")
-_REPLACEMENT = "�"
+_REPLACEMENT = "\ufffd"
 
 
 def read_csv(
@@ -41,14 +41,13 @@ def read_csv(
 
 def _allow_java_charsets(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
 
 
 def _decodes(spark: SparkSession, path: str | Sequence[str], encoding: str) -> bool:
     """Whether all bytes decode; the check runs where the data is and returns one row at most."""
     paths = [path] if isinstance(path, str) else list(path)
     if encoding.lower() == "utf-8":
-        bad = spark.read.text(paths).where(F.col("value").contains(_REPLACEMENT))
+        bad = spark.read.text(paths).where(~F.is_valid_utf8("value"))
     else:
         _allow_java_charsets(spark)
         raw = spark.read.option("header", False).option("encoding", encoding).option(

@@ -73,7 +73,7 @@ def test_quantity_claims(frame):
     assert got[("t", "t(28) = -2.31")]["value"] == -2.31 and got[("t", "t(28) = -2.31")]["df1"] == 28
     assert got[("f", "F(2, 57) = 4.10")]["df2"] == 57
     assert got[("n", "共 120 名")]["value"] == 120
-    assert [k for k in got if k[0] == "p"] == []  # the legend is skipped, "p < .05" has no leading zeros
+    assert [k for k in got if k[0] == "p"] == [("p", "p < .05")]  # the legend is skipped
     row = got[("mean", "M = 3.47")]
     assert TEXT[row["pos"]:row["pos"] + len("M = 3.47")] == "M = 3.47"
 
@@ -159,7 +159,7 @@ def test_abstract_against_body_equals_all_pairs(frame):
     import random
     rnd = random.Random(4)
     kinds = ("p", "t", "n", "r2")
-    make = lambda d: (d, k := rnd.choice(kinds), round(rnd.choice([0, 0.0002, 0.001, rnd.random()]), 4) if k in ("p", "r2")
+    make = lambda d: (d, k := rnd.choice(kinds), round(rnd.choice([0.0, 0.0002, 0.001, rnd.random()]), 4) if k in ("p", "r2")
                       else float(rnd.randint(1, 6)), rnd.choice(["lt", "eq"]) if k == "p" else None, "raw", "")
     schema = "d int, kind string, value double, op string, raw string, context string"
     a, b = [make(i % 7) for i in range(60)], [make(i % 7) for i in range(90)]
