@@ -48,8 +48,10 @@ def one_tailed(text: Column, default: Column | None = None) -> Column:
     says_one = F.regexp_replace(text, denied(one), "").rlike(one)
     says_two = F.regexp_replace(text, denied(two), "").rlike(two)
     fallback = default if default is not None else F.lit(False)
-    return F.when(says_one | says_two | denies_one, says_one & ~says_two & ~denies_one).otherwise(
+    declared = F.when(says_one | says_two | denies_one, says_one & ~says_two & ~denies_one).otherwise(
         fallback)
+    # most texts name no tail at all: the patterns with context run only where one is named
+    return F.when(text.rlike(f"{one}|{two}"), declared).otherwise(fallback)
 
 
 def p_mentions(frame: DataFrame, keys: Sequence[str], text: str, keep: Sequence[str] = ()) -> DataFrame:

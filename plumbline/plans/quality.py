@@ -102,8 +102,8 @@ def _benford_sql(name: str, table: str) -> str:
     mad = f"(({' + '.join(gaps)}) / 9)"
     return f"""
 WITH v AS (SELECT {name}::DOUBLE AS x,
-                  substr(ltrim(abs({name}::DOUBLE)::VARCHAR, '0.'), 1, 1)::INT AS d FROM {table}),
-c AS (SELECT count(*) AS n, count(DISTINCT x) AS n_unique, min(x) AS mn, max(x) AS mx, {digits} FROM v)
+                  try_cast(substr(ltrim(abs({name}::DOUBLE)::VARCHAR, '0.'), 1, 1) AS INT) AS d FROM {table}),
+c AS (SELECT count(d) AS n, count(DISTINCT x) AS n_unique, min(x) AS mn, max(x) AS mx, {digits} FROM v)
 SELECT '{name}' AS name, n, n_unique, round({mad}, 6) AS mad, round({chi}, 4) AS chi2,
        CASE WHEN {ok} THEN CASE WHEN {mad} > 0.015 THEN 'flagged' ELSE 'clear' END
             ELSE 'abstained' END AS status

@@ -107,7 +107,7 @@ SELECT doc_id, kind, raw, value, c AS count FROM fig, LATERAL (
   SELECT 'mean' AS kind, 'M = ' || {fixed_sql("mean100", 2)} AS raw, mean100 / 100.0::DOUBLE AS value, 2::BIGINT AS c
   UNION ALL SELECT 'sd', 'SD = ' || {fixed_sql("sd100", 2)}, sd100 / 100.0::DOUBLE, 2
   UNION ALL SELECT 't', 't(' || df || ') = ' || {fixed_sql("t100", 2)}, t100 / 100.0::DOUBLE, 1
-  UNION ALL SELECT 'p', 'p = ' || {fixed_sql("p1000", 3)}, p1000 / 1000.0::DOUBLE, 2
+  UNION ALL SELECT 'p', 'p = ' || {fixed_sql("p1000", 3)}, p1000 / 1000.0::DOUBLE, 2 WHERE p1000 < 1000
   UNION ALL SELECT 'n', 'n = ' || n, n::DOUBLE, CASE WHEN n = abs_n THEN 2 ELSE 1 END
   UNION ALL SELECT 'n', 'n = ' || abs_n, abs_n::DOUBLE, 1 WHERE n <> abs_n) x""")
 def claims_by_kind(t: Tables):
@@ -137,8 +137,8 @@ def method_mentions(t: Tables):
 
 @query("corpus_scan", f"""
 WITH {FIGURES_SQL}
-SELECT doc_id, 1::BIGINT AS n_methods, (CASE WHEN n = abs_n THEN 5 ELSE 6 END)::BIGINT AS n_quantities,
-       5::BIGINT AS n_kinds, 0::BIGINT AS n_variables, 'no_variables' AS flags FROM fig""")
+SELECT doc_id, 1::BIGINT AS n_methods, (CASE WHEN n = abs_n THEN 5 ELSE 6 END - (p1000 >= 1000)::INT)::BIGINT AS n_quantities,
+       (5 - (p1000 >= 1000)::INT)::BIGINT AS n_kinds, 0::BIGINT AS n_variables, 'no_variables' AS flags FROM fig""")
 def corpus_scan(t: Tables):
     out = cl.corpus_scan(reports(t), ["doc_id"])
     return rounded(out.select("doc_id", "n_methods", "n_quantities", "n_kinds", "n_variables",
@@ -214,7 +214,7 @@ WITH {FIGURES_SQL},
 c AS (SELECT doc_id, 'mean' AS kind, mean100 / 100.0 AS v, true_mean100 / 100.0 AS r FROM fig
       UNION ALL SELECT doc_id, 'n', n, n FROM fig
       UNION ALL SELECT doc_id, 'n', abs_n, n FROM fig WHERE abs_n <> n
-      UNION ALL SELECT doc_id, 'p', p1000 / 1000.0, tp1000 / 1000.0 FROM fig
+      UNION ALL SELECT doc_id, 'p', p1000 / 1000.0, tp1000 / 1000.0 FROM fig WHERE p1000 < 1000
       UNION ALL SELECT doc_id, 'sd', sd100 / 100.0, NULL FROM fig
       UNION ALL SELECT doc_id, 't', t100 / 100.0, t100 / 100.0 FROM fig)
 SELECT doc_id, kind, round(v, 4)::DOUBLE AS value, CASE WHEN r IS NULL THEN 'unknown'
@@ -248,7 +248,7 @@ def claim_filter(t: Tables):
 WITH {FIGURES_SQL}
 SELECT doc_id, kind, status FROM fig, LATERAL (
   SELECT 'n' AS kind, CASE WHEN n = abs_n THEN 'ok' ELSE 'mismatch' END AS status
-  UNION ALL SELECT 'mean', 'ok' UNION ALL SELECT 'sd', 'ok' UNION ALL SELECT 'p', 'ok') x""")
+  UNION ALL SELECT 'mean', 'ok' UNION ALL SELECT 'sd', 'ok' UNION ALL SELECT 'p', 'ok' WHERE p1000 < 1000) x""")
 def abstract_body(t: Tables):
     parts = cl.split_abstract(reports(t))
     a = cl.quantity_claims(parts, ["doc_id"], "abstract")
