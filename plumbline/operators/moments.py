@@ -15,6 +15,7 @@ from plumbline.functions import dist
 from plumbline.functions import numbers as num
 from plumbline.operators.joins import eq_join, small_side
 from plumbline.operators.ordering import quantiles
+from plumbline.session import pin
 
 
 def _value(column: str) -> Column:
@@ -82,7 +83,8 @@ def levene(
     by = list(by)
     frame = listwise(df, [group, value], by).select(
         *by, F.col(group).cast("string").alias("g"), _value(value).alias("x"))
-    medians = quantiles(frame, [*by, "g"], "x", {"med": 0.5}).drop("n")
+    # one row per group, needed by two aggregates below: materialised once
+    medians = pin(quantiles(frame, [*by, "g"], "x", {"med": 0.5}).drop("n"))
     spread = eq_join(frame, small_side(medians), [*by, "g"]).withColumn(
         "x", F.abs(F.col("x") - F.col("med")))
     stats = spread.groupBy(*by, "g").agg(

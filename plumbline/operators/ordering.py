@@ -37,7 +37,7 @@ def cumulate(
     # order after a lost executor could move them.
     cuts = pin(
         freq.groupBy(*by).agg(
-            F.array_distinct(F.percentile_approx(F.col(value), probs, 10000)).alias("_cuts")
+            F.array_distinct(F.percentile_approx(F.col(value), probs, 1000)).alias("_cuts")
         )
     )
     placed = eq_join(freq, small_side(cuts), by).withColumn(
