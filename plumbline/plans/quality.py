@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import claims as cl
 from plumbline.operators import profile as prof
 from plumbline.operators import quality as q
 from plumbline.operators import repair, report
 from plumbline.plans.catalog import Tables, flat_issues, query, rounded
+from plumbline.plans.reports import reports
 
 LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
             "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -454,13 +456,12 @@ def missing_pattern(t: Tables):
 
 
 @query("declared_design", """
-SELECT 'declared_paired' AS "check", 'mid' AS level, 's_suppkey,s_acctbal' AS columns,
-       2::BIGINT AS n_bad, 2::BIGINT AS n_total
-UNION ALL SELECT 'declared_groups', 'mid', 's_suppkey,s_acctbal', 1, 1""")
+SELECT 'declared_groups' AS "check", 'mid' AS level, 's_suppkey,s_acctbal' AS columns,
+       count(DISTINCT m) AS n_bad, count(DISTINCT m) AS n_total
+FROM (SELECT 'independent_t' AS m FROM lineitem GROUP BY l_partkey HAVING count(*) >= 10)""")
 def declared_design(t: Tables):
-    # the methods a report would name, read off the supplier table: two paired ones, one of groups
-    claimed = t("supplier").select(F.explode(F.array(
-        F.lit("paired_t"), F.lit("wilcoxon"), F.lit("anova"))).alias("method"))
+    """The methods that the part reports name, against a table without a group column."""
+    claimed = cl.method_mentions(reports(t), ["doc_id"]).select("method")
     return flat_issues(q.check_declared_design(t("supplier").select("s_suppkey", "s_acctbal"), claimed))
 
 
