@@ -6,19 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixture
+from plumbline.llm import mixture, subword, token_files
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_files.shared_folder(spark, "tokens")
+    manifest = token_files.write(docs, folder, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read(manifest, folder)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixture.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = subword.classify(docs, _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
     "op6_mix_sources": op6_mix_sources,
+    "op10_subword_quality": op10_subword_quality,
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": mixture.ORACLE}
