@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixture, subword, token_files
+from plumbline.llm import mixture, subword, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,6 +26,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, folder)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.classify(docs, _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixture.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +45,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op10_subword_quality": op10_subword_quality,
 }
