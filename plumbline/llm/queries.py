@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixture, subword, token_files, toxicity
+from plumbline.llm import mixture, perplexity, subword, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,6 +37,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return perplexity.judge(docs).select("doc_id", *perplexity.COUNTS, "base_failed", "kept")
+
+
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = subword.classify(docs, _table(spark, sf_dir, "labels"))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
+    "op7_perplexity_rules": op7_perplexity_rules,
     "op10_subword_quality": op10_subword_quality,
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": mixture.ORACLE}

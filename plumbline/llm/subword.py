@@ -46,7 +46,9 @@ def feature_slots(block: B.Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     h = block.word_hashes(words, lower=False)
     yield (h >> shift).astype(np.int32), words.at
     pairs, at = B.windows(h, words.at, 2)
-    yield (pairs >> shift).astype(np.int32), at
+    first = np.repeat(words.at[:-1] - at[:-1], np.diff(at)) + np.arange(at[-1])
+    # a word said twice in a row is one feature, whatever the word
+    yield np.where(h[first] == h[first + 1], 2, pairs >> shift).astype(np.int32), at
     sums = B.prefix_sums(block.data)
     for n in GRAMS:
         counts = np.maximum(np.diff(block.offsets) - n + 1, 0)
