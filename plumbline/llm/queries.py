@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixture, perplexity, subword, token_files, toxicity
+from plumbline.llm import mixture, near_dup, perplexity, subword, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = token_files.shared_folder(spark, "tokens")
@@ -49,10 +53,11 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dup": op2_minhash_near_dup,
     "op3_token_files": op3_token_files,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_perplexity_rules": op7_perplexity_rules,
     "op10_subword_quality": op10_subword_quality,
 }
-ORACLES: dict[str, str] = {"op6_mix_sources": mixture.ORACLE}
+ORACLES: dict[str, str] = {"op2_minhash_near_dup": near_dup.ORACLE, "op6_mix_sources": mixture.ORACLE}
