@@ -148,3 +148,38 @@ def windows(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.
     for k in range(n):
         h = mix(h * U(0x9E3779B97F4A7C15) + hashes[begin + k])
     return h, to
+
+
+class Memory:
+    """Ids of text spans by their hash, as one flat array: what a worker process has encoded so far."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.at = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def spread(self, hashes: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all spans one after the other, and the bounds of each span's ids.
+
+        ``learn(first)`` encodes the spans at those positions and returns their flat ids and lengths.
+        """
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.place) > self.most:
+            self.forget()
+        known = np.fromiter(map(self.place.get, distinct.tolist(), iter(lambda: -1, 0)), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            ids, lengths = learn(first[new])
+            base = len(self.at) - 1
+            known[new] = np.arange(base, base + len(new))
+            self.place.update(zip(distinct[new].tolist(), known[new].tolist()))
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        span = known[inverse]
+        lengths = self.at[span + 1] - self.at[span]
+        to = np.concatenate([[0], np.cumsum(lengths)])
+        return self.ids[np.repeat(self.at[span] - to[:-1], lengths) + np.arange(to[-1])], to

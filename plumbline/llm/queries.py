@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixture, near_dup, perplexity, subword, token_files, toxicity
+from plumbline.llm import language, mixture, near_dup, perplexity, pieces, subword, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +19,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page; the text model learns from all documents and their declared languages."""
+    model = language.fit_text(_table(spark, sf_dir, "documents"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return language.identify_pages(pages, model).select("page_id", *language.RESULT)
+
+
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +53,12 @@ def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(docs).select("doc_id", *perplexity.COUNTS, "base_failed", "kept")
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    checked = docs.select("doc_id", pieces.check_udf(tokenizer_path("piece_bpe_32k.model"))("text").alias("c"))
+    return checked.select("doc_id", "c.n_tokens", "c.ids_crc32", "c.round_trip")
+
+
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = subword.classify(docs, _table(spark, sf_dir, "labels"))
@@ -53,11 +66,13 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_pages": op1_language_pages,
     "op2_minhash_near_dup": op2_minhash_near_dup,
     "op3_token_files": op3_token_files,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_perplexity_rules": op7_perplexity_rules,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op10_subword_quality": op10_subword_quality,
 }
 ORACLES: dict[str, str] = {"op2_minhash_near_dup": near_dup.ORACLE, "op6_mix_sources": mixture.ORACLE}

@@ -34,8 +34,6 @@ from plumbline.llm import blocks as B
 from plumbline.session import pin
 
 NO_ID = np.iinfo(np.int64).min
-#: Pieces whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
 #: Bytes that may follow a space at a cut: visible ASCII and two-byte characters from U+00C0 on.
 _OPENS = np.zeros(256, bool)
 _OPENS[0x21:0x7F] = True
@@ -54,21 +52,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
-        base = len(self.at) - 1
-        self.place.update(zip(hashes.tolist(), range(base, base + len(texts))))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, ids])
+        self.memory = B.Memory()
 
     def encode(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the number of ids of each text."""
@@ -81,21 +65,15 @@ class Encoder:
         starts = np.flatnonzero(cut)
         starts, ends = starts[:-1], starts[1:]
         h = B.span_hashes(data, starts, ends)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.place) > REMEMBERED:
-            self._forget()
-        known = np.fromiter(map(self.place.get, distinct.tolist(), iter(lambda: -1, 0)), np.int64, len(distinct))
-        new = np.flatnonzero(known < 0)
-        if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]], ends[first[new]])]
-            base = len(self.at) - 1
-            self._learn(distinct[new], texts)
-            known[new] = np.arange(base, base + len(new))
-        piece = known[inverse]
-        lengths = self.at[piece + 1] - self.at[piece]
-        to = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.repeat(self.at[piece] - to[:-1], lengths) + np.arange(to[-1])]
+        raw = data.tobytes()
+
+        def learn(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first], ends[first])]
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            return np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum())), lengths
+
+        ids, to = self.memory.spread(h, learn)
         per_text = to[np.searchsorted(starts, block.offsets)]
         return ids, np.diff(per_text)
 
