@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import language, mixture, near_dup, perplexity, pieces, subword, token_files, toxicity
+from plumbline.llm import bit_slices, language, mixture, near_dup, perplexity, pieces, subword, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,6 +59,10 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("doc_id", "c.n_tokens", "c.ids_crc32", "c.round_trip")
 
 
+def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = subword.classify(docs, _table(spark, sf_dir, "labels"))
@@ -73,6 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_perplexity_rules": op7_perplexity_rules,
     "op8_sentence_pieces": op8_sentence_pieces,
+    "op9_bit_sliced_top_k": op9_bit_sliced_top_k,
     "op10_subword_quality": op10_subword_quality,
 }
-ORACLES: dict[str, str] = {"op2_minhash_near_dup": near_dup.ORACLE, "op6_mix_sources": mixture.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_minhash_near_dup": near_dup.ORACLE,
+    "op6_mix_sources": mixture.ORACLE,
+    "op9_bit_sliced_top_k": bit_slices.ORACLE,
+}
