@@ -203,7 +203,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, group: int = QUERY_
     right = tasks.join(index.drop("dim"), "block").select(
         F.col("group").alias("_group"), F.col("block").alias("_block"), *index.drop("block", "dim").columns)
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    def meet(left, right):
         out: tuple[list, list, list] = ([], [], [])
         for block in right.to_pylist():
             for row in left.to_pylist():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bit_slices, language, mixture, near_dup, perplexity, pieces, subword, token_files, toxicity
+from plumbline.llm import bit_slices, katz, language, mixture, near_dup, perplexity, pieces, subword, token_files, toxicity, training
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,6 +37,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, folder)
 
 
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = training.held_out("doc_id", 10, 0)
+    return katz.score(docs, ~held).withColumn("held_out", held)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.classify(docs, _table(spark, sf_dir, "labels"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_pages": op1_language_pages,
     "op2_minhash_near_dup": op2_minhash_near_dup,
     "op3_token_files": op3_token_files,
+    "op4_katz_scores": op4_katz_scores,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_perplexity_rules": op7_perplexity_rules,
