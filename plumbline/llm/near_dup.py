@@ -1,14 +1,15 @@
 """MinHash near-duplicates: minima, bands, verified links, components.
 
 1. One pass over the texts gives each document its set of 4-word shingles (64-bit hashes) as a size, a 128-bit
-   fingerprint, ``BANDS`` band keys of ``ROWS`` universal-hash minima each, and a sketch of ``SKETCH_BITS`` bits (one per further minimum).
+   fingerprint, ``BANDS`` band keys of ``ROWS`` universal-hash minima each, a sketch of
+   ``SKETCH_BITS`` bits (one per further minimum), and a parity bitmap of the set.
 2. Documents with equal sets form one class; its smallest id goes on alone.
-3. Round one: in each band bucket every member is tied to the bucket's smallest id, and each document keeps the one
-   tie that most bands share.  That is one candidate link per document, however large the bucket.
-4. The sketches drop candidates whose similarity is far below the threshold; the others are confirmed on
-   the full sets, recomputed from the two texts.
-5. Round two: buckets that still hold several components give the pairs between the smaller components' members and the
-   others, sketch-tested inside the join; so no true candidate is lost and settled groups give no pairs.
+3. In each of a few turns, every bucket that holds several components names a leader, another one each turn.  A document is tied
+   to the likest leader (by sketch) of its buckets: at most one candidate link per document and turn, however large the bucket.
+4. Candidates whose sizes or sketches rule the threshold out are dropped; the others are confirmed on the full
+   sets, recomputed from the two texts; components are formed anew.
+5. At last, buckets that still hold several components give the pairs between the smaller components' members and the others,
+   tested by size and sketch inside the join; so no true candidate is lost and settled groups give no pairs.
 6. Components come from alternating large-star and small-star steps over the confirmed links.
 
 With 32 bands of 4 rows a pair at similarity 0.8 escapes all bands with probability 5e-8; the sketch test drops it with
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import blocks as B
 from plumbline.llm.components import components
+from plumbline.operators.joins import small_side
 from plumbline.session import pin
 
 SHINGLE = 4
@@ -37,8 +39,13 @@ PERCENT = 80
 BANDS, ROWS = 32, 4
 SKETCH_WORDS = 4
 SKETCH_BITS = 64 * SKETCH_WORDS
+#: Turns of one tie for each document before the remaining pairs are listed.
+STAR_TURNS = 4
 #: A pair at similarity 0.8 differs in a tenth of the bits, 25.6 of 256 with deviation 4.8; this is five deviations more.
 SKETCH_MOST = 50
+#: Parity bitmap of a set: each shingle flips one of so many bits.  Two bitmaps differ in at most as many bits as
+#: the sets differ in shingles, which the threshold bounds by a ninth of both sizes: a test that drops no true pair.
+PARITY_WORDS = 16
 
 _rng = np.random.default_rng(20)
 #: Multipliers and addends of the universal hashes h(x) = (a x + b) mod 2^64, high 32 bits.
@@ -92,7 +99,7 @@ def minima(sets: np.ndarray, at: np.ndarray, which: slice) -> np.ndarray:
     return out
 
 
-SIGNATURE = "n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"
+SIGNATURE = "n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>, parity array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +125,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in range(SKETCH_WORDS):
                     shifts = np.arange(64, dtype=B.U)[:, None]
                     sketch[full, w] = np.bitwise_or.reduce(bits[64 * w:64 * w + 64] << shifts, axis=0)
+            slots = PARITY_WORDS * 64
+            bit = (B.mix(sets ^ B.U(0x2545F4914F6CDD1D)) % B.U(slots)).astype(np.int64) + np.repeat(np.arange(len(block)), size) * slots
+            odd = (np.bincount(bit, minlength=len(block) * slots) & 1).astype(np.uint8)
+            parity = np.packbits(odd, bitorder="little").view(B.U).reshape(len(block), PARITY_WORDS)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(
-                pa.list_(pa.int64())) for x in (bands, sketch)]
+                pa.list_(pa.int64())) for x in (bands, sketch, parity)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(block.first, len(block)), pa.array(size.astype(np.int64)),
                  pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), *lists],
-                names=["id", "n_shingles", "fp1", "fp2", "bands", "sketch"])
+                names=["id", "n_shingles", "fp1", "fp2", "bands", "sketch", "parity"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,23 +154,70 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that pass on the full sets of ``texts (id, text)``, one text per id."""
-    a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(
-        F.col("id").alias("b"), F.col("text").alias("tb"))
+    """The pairs ``(a, b)`` that pass on the full sets of ``texts (id, text)``."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = texts.join(small_side(ids), "id", "left_semi")  # only these texts are shuffled
+    a, b = (needed.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
 
-def _similar(x: str, y: str) -> Column:
-    """Sketches of the two sides differ in few enough bits."""
-    bits = [F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in range(SKETCH_WORDS)]
-    return sum(bits[1:], bits[0]) <= SKETCH_MOST
+SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH_WORDS)] + [f"p{k}" for k in range(PARITY_WORDS)]
 
 
-def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(sketches.select(
-            F.col("id").alias(side), *[F.col(f"s{k}").alias(f"{side}_{k}") for k in range(SKETCH_WORDS)]), side)
-    return pairs.where(_similar("a_", "b_")).select("a", "b")
+def _distance(x: str, y: str, kind: str = "s", words: int = SKETCH_WORDS) -> Column:
+    """Number of bits in which the sketches (``s``) or parity bitmaps (``p``) of the two sides differ."""
+    bits = [F.bit_count(F.col(f"{x}{kind}{k}").bitwiseXOR(F.col(f"{y}{kind}{k}"))) for k in range(words)]
+    return sum(bits[1:], bits[0])
+
+
+def _like(x: str, y: str) -> Column:
+    """Sketches near enough, and sizes that allow the similarity."""
+    small, large = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
+    # sets at the threshold t differ in (1 - t) / (1 + t) of both sizes
+    parity = _distance(x, y, "p", PARITY_WORDS) * (100 + PERCENT) <= (small + large) * (100 - PERCENT)
+    return (small * 100 >= large * PERCENT) & (_distance(x, y) <= SKETCH_MOST) & parity
+
+
+def _side(sketches: DataFrame, id: str, prefix: str) -> DataFrame:
+    return sketches.select(
+        F.col("id").alias(id), F.col("n_shingles").alias(f"{prefix}n"),
+        *[F.col(c).alias(f"{prefix}{c}") for c in SKETCH_COLUMNS])
+
+
+def _known(placed: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``key, id, component`` of the buckets that hold several components."""
+    if labels is None:
+        known = placed.withColumn("component", F.col("id"))
+    else:
+        known = placed.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select(
+            "key", "id", F.coalesce("component", "id").alias("component"))
+    open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return known.join(open_.select("key"), "key")
+
+
+def star_ties(known: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
+    """Each document's tie ``(a, b)`` to the likest leader of its buckets in another component.  A bucket's leader is its
+    member of smallest hash, another one each turn."""
+    order = F.xxhash64("id", "key", F.lit(turn))
+    leaders = known.groupBy("key").agg(F.min(F.struct(order.alias("h"), "id", "component")).alias("l"))
+    ties = known.join(leaders.select("key", F.col("l.id").alias("a"), F.col("l.component").alias("ca")), "key").where(
+        "component <> ca").select("a", F.col("id").alias("b")).distinct()
+    near = ties.join(_side(sketches, "a", "x_"), "a").join(_side(sketches, "b", "y_"), "b").where(_like("x_", "y_"))
+    best = near.groupBy("b").agg(F.min(F.struct(_distance("x_", "y_").alias("d"), "a")).alias("t"))
+    return best.select(F.col("t.a").alias("a"), "b")
+
+
+def open_pairs(known: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All like pairs ``(a, b)`` of different components that share a bucket, without those inside the bucket's largest."""
+    sizes = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("big"))
+    rows = pin(known.join(largest, "key"))
+    one = rows.where("component <> big").select("key", F.col("id").alias("x"), F.col("component").alias("cx")).join(
+        _side(sketches, "x", "x_"), "x").withColumnRenamed("key", "kx")
+    two = rows.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), "big").join(_side(sketches, "y", "y_"), "y")
+    pairs = one.join(two, (F.col("kx") == F.col("key")) & (F.col("cx") != F.col("cy"))
+                     & ((F.col("cy") == F.col("big")) | (F.col("x") < F.col("y"))) & _like("x_", "y_"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def link(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,37 +232,24 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         "id", "rep").distinct())
     reps = member.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).select(F.col("rep").alias("id"))
     chosen = real.join(reps, "id").dropDuplicates(["id", "fp1", "fp2"])
-    sketches = chosen.select("id", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)])
+    sketches = pin(chosen.select("id", "n_shingles", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)],
+        *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)]))
     keys = chosen.select("id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    placed = pin(keys.join(buckets.select("key", "first"), "key"))
+    placed = pin(keys.join(buckets.select("key"), "key"))
 
     texts = source.where("id IS NOT NULL")
-    # round one: the tie that most bands share, for each document
-    ties = placed.where("id <> first").groupBy("id", "first").agg(F.count(F.lit(1)).alias("n"))
-    best = ties.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "first")).alias("t")).select(
-        F.col("t.first").alias("a"), F.col("id").alias("b"))
-    links = pin(confirm(_with_sketches(best, sketches), texts).distinct())
-    labels = components(links)
-
-    # round two: what lies in one bucket but not in one component
-    known = placed.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.groupBy("key").agg(
-        F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rows = pin(known.join(open_.select("key", "largest"), "key").join(sketches, "id"))
-    one = rows.where("component <> largest").select(
-        "key", F.col("id").alias("x"), F.col("component").alias("cx"), *[F.col(f"s{k}").alias(f"x_{k}") for k in range(SKETCH_WORDS)])
-    two = rows.select(
-        "key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("largest").alias("big"),
-        *[F.col(f"s{k}").alias(f"y_{k}") for k in range(SKETCH_WORDS)])
-    other = one.join(two, (one["key"] == two["key"]) & (F.col("cx") != F.col("cy"))
-                     & ((F.col("cy") == F.col("big")) | (F.col("x") < F.col("y"))) & _similar("x_", "y_"))
-    rest = pin(other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = confirm(rest, texts)
+    links, labels = None, None
+    for turn in range(STAR_TURNS):
+        new = pin(confirm(pin(star_ties(_known(placed, labels), sketches, turn)), texts))
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
+    more = confirm(pin(open_pairs(_known(placed, labels), sketches)), texts)
+    links = more if links is None else links.unionByName(more)
     ids = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(pin(links.unionByName(more).unionByName(ids).distinct()))
+    final = components(links.unionByName(ids))
 
     out = signed.select("id", "n_shingles").join(final.select(F.col("node").alias("id"), "component"), "id", "left")
     return out.select(
