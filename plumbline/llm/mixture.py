@@ -92,17 +92,23 @@ def mix(
     )
 
 
-def expand(mixed: DataFrame, columns: Sequence[str], text: str = "text") -> DataFrame:
-    """The mix itself: ``columns`` of each document once per epoch, and its part of the last epoch."""
-    cut = F.regexp_substr(F.col(text), F.concat(
-        F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), F.col("part"), F.lit("}")))
+def expand(mixed: DataFrame, columns: Sequence[str], text: str = "text", length: str | None = None) -> DataFrame:
+    """The mix itself: ``columns`` of each document once per epoch, and its part of the last epoch.
+
+    The document at the cut keeps its first words and the space between them; ``length`` names a column of character
+    counts to renew there.
+    """
+    pieces = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each ends with a word
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("part"), F.lit(1)).cast("int")), "")
     copies = F.concat(
         F.array_repeat(F.lit(True), F.col("epochs").cast("int")),
         F.array_repeat(F.lit(False), (F.col("part") > 0).cast("int")))
-    whole = F.col("_whole") | (F.col("part") == F.col("size"))
-    return mixed.select("*", F.explode(copies).alias("_whole")).withColumn(
-        text, F.when(whole, F.col(text)).otherwise(cut)).select(*columns)
-
+    out = mixed.select("*", F.explode(copies).alias("_epoch")).withColumn(
+        "_whole", F.col("_epoch") | (F.col("part") == F.col("size"))).withColumn(
+        text, F.when(F.col("_whole"), F.col(text)).otherwise(cut))
+    if length is not None:
+        out = out.withColumn(length, F.when(F.col("_whole"), F.col(length)).otherwise(F.length(text)))
+    return out.select(*columns)
 
 ORACLE = r"""
 WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
