@@ -177,12 +177,12 @@ def identify(
                 + F.coalesce(F.col("l_suffix")[k], F.lit(0.0))
                 + F.coalesce(F.col("l_host")[k], F.lit(float(np.log(whole[k])))) for k in range(n)]
         out = evidence.withColumn("_sum", F.array(*sums)).withColumn("_top", F.array_max("_sum"))
-        out = out.withColumn("language", names[F.array_position("_sum", F.col("_top")).cast("int") - 1]).withColumn(
+        out = out.withColumn("language", F.get(names, F.array_position("_sum", F.col("_top")).cast("int") - 1)).withColumn(
             "posterior", 1 / F.aggregate("_sum", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))))
         good = (F.col("_grams") >= LEAST_GRAMS) & (F.col("posterior") >= LEAST_POSTERIOR)
         if wanted is not None:
             good &= F.col("language").isin(*wanted)
-        return out.select("_row.*", "language", "posterior", names[F.col("_best") - 1].alias("text_language"),
+        return out.select("_row.*", "language", "posterior", F.get(names, F.col("_best") - 1).alias("text_language"),
                           F.coalesce(good, F.lit(False)).alias("accepted"))
 
     # tables of values: Spark broadcasts those it measures as small and shuffles the others
