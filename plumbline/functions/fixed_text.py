@@ -29,9 +29,12 @@ METHOD_PATTERNS = (
     ("non_parametric", r"(?i)非参数检验"),
 )
 
+#: A whole count: all its digits, thousands separated or not, and no decimals.
+_SIZE = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?![\d.,]*\d)"
+
 # --- fixed values: reported quantities (kind -> pattern) ---------------------------------------
 QUANTITY_PATTERNS = {
-    "p": r"[Pp]\s*[<=]\s*0?\.0+\d+|[Pp]\s*=\s*0?\.\d+",
+    "p": r"(?<![A-Za-z])[Pp]\s*[<>=≤≥＜＞＝]\s*(?:0?\.\d+|1\.0+(?!\d)|[01](?![\d.]))",
     "t": r"[Tt]\s*(?:\(\s*\d+\s*\))?\s*=\s*-?\d+\.?\d*",
     "f": r"[Ff]\s*(?:\(\s*\d+\s*,\s*\d+\s*\))?\s*=\s*\d+\.?\d*",
     "chi2": r"χ\s*²\s*(?:\(\s*\d+\s*\))?\s*=\s*\d+\.?\d*|[Xx]\s*²\s*(?:\(\s*\d+\s*\))?\s*=\s*\d+\.?\d*"
@@ -44,6 +47,14 @@ QUANTITY_PATTERNS = {
     "alpha": r"(?i:Cronbach'?s?\s*(?:α|alpha))\s*=\s*0?\.\d+|[Aa]lpha\s*=\s*0?\.\d+|α\s*=\s*0?\.\d+",
     "mean": r"\bM\s*[=＝]\s*\d+\.?\d*|(?:均值|平均分|平均数|平均得分)\s*[=＝是为]\s*\d+\.?\d*",
     "sd": r"\bSD\s*[=＝]\s*\d+\.?\d*|(?i:\bS\.D\.)\s*[=＝]\s*\d+\.?\d*|(?:标准差|标准偏差)\s*[=＝是为]\s*\d+\.?\d*",
+    "n": r"\b[nN]\s*[=＝]\s*" + _SIZE + r"|(?:样本量|样本数|有效样本|样本规模)\s*[=＝是为：:]?\s*" + _SIZE
+         + r"|共\s*" + _SIZE + r"\s*[名人份个]|(?:抽取|选取|招募|纳入|入选|收集|随访)\s*了?\s*" + _SIZE + r"\s*[名人份个例]"
+         + r"|有效\s*(?:问卷|样本|数据|被试)?\s*" + _SIZE + r"\s*[名人份个例]",
+}
+#: The narrower forms of two kinds, as an optional rule set: sizes of two to five digits, and p only as ``=`` or as a
+#: bound below .1.  They lose or shorten other numbers, so they are not the default.
+NARROW_QUANTITY_PATTERNS = QUANTITY_PATTERNS | {
+    "p": r"[Pp]\s*[<=]\s*0?\.0+\d+|[Pp]\s*=\s*0?\.\d+",
     "n": r"\b[nN]\s*[=＝]\s*\d{2,5}\b|(?:样本量|样本数|有效样本|样本规模)\s*[=＝是为：:]?\s*\d{2,5}"
          r"|共\s*\d{2,5}\s*[名人份个]|(?:抽取|选取|招募|纳入|入选|收集|随访)\s*了?\s*\d{2,5}\s*[名人份个例]"
          r"|有效\s*(?:问卷|样本|数据|被试)?\s*\d{2,5}\s*[名人份个例]",

@@ -25,10 +25,10 @@ def method_mentions(
 def _claim_value(kind: Column, raw: Column) -> Column:
     plain = F.translate(raw, "−＝", "-=")
     after_equals = F.regexp_extract(plain, r"=\s*(-?\d*\.?\d+)", 1)
-    p_number = F.regexp_extract(plain, r"(0?\.\d+)", 1)
+    p_number = F.regexp_extract(plain, r"(\d*\.?\d+)", 1)
     r_number = F.regexp_extract(plain, r"(-?0?\.\d+)", 1)
     first = F.regexp_extract(plain, r"(\d+\.?\d*)", 1)
-    count = F.regexp_extract(plain, r"(\d{2,5})", 1)
+    count = F.translate(F.regexp_extract(plain, r"(\d[\d,]*)", 1), ",", "")
     text = (
         F.when(kind == "p", p_number).when(kind == "r", r_number)
         .when(kind.isin("mean", "sd"), first).when(kind == "n", count).otherwise(after_equals))
@@ -59,7 +59,7 @@ def quantity_claims(
     pair = r"\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)"
     return found.select(
         *keys, F.col("start").alias("pos"), "kind", "raw", _claim_value(kind, raw).alias("value"),
-        F.when(kind == "p", F.when(raw.contains("<"), "lt").otherwise("eq")).alias("op"),
+        F.when(kind == "p", F.when(raw.rlike("[<≤＜]"), "lt").when(raw.rlike("[>≥＞]"), "gt").otherwise("eq")).alias("op"),
         F.regexp_extract(raw, pair, 1).try_cast("long").alias("df1"),
         F.regexp_extract(raw, pair, 2).try_cast("long").alias("df2"),
         F.trim(F.translate(window, "\n", " ")).alias("context"))

@@ -33,6 +33,7 @@ def compare_status(kind: Column, op: Column, claimed: Column, real: Column) -> C
     p_status = (
         F.when(F.coalesce(op, F.lit("lt")) == "lt",
                F.when(real <= claimed + 1e-4, "ok").otherwise("mismatch"))
+        .when(op == "gt", F.when(real >= claimed - 1e-4, "ok").otherwise("mismatch"))
         .when(claimed < P_FLOOR, F.when(real < floor, "ok").otherwise("mismatch"))
         .when(real < P_FLOOR, F.when(claimed < floor, "ok").otherwise("mismatch"))
         .otherwise(_banded(diff, TOLERANCES["p"])))
@@ -116,6 +117,7 @@ def abstract_against_body(
         Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumns({
         "n_body": F.count(value).over(group), "min_body": F.min(value).over(group),
+        "max_body": F.max(value).over(group),
         "below": F.last(firm, ignorenulls=True).over(up),
         "above": F.last(firm, ignorenulls=True).over(down)})
     claims = seen.where("_a = 1")
@@ -125,6 +127,7 @@ def abstract_against_body(
     p_best = (
         F.when(F.coalesce("op", F.lit("lt")) == "lt",
                F.when(F.col("min_body") <= v + 1e-4, "ok").otherwise("mismatch"))
+        .when(F.col("op") == "gt", F.when(F.col("max_body") >= v - 1e-4, "ok").otherwise("mismatch"))
         .when(v < P_FLOOR, F.when(F.col("min_body") < floor, "ok").otherwise("mismatch"))
         .when((F.col("min_body") < P_FLOOR) & (v < floor), "ok")
         .when(gap.isNull(), "mismatch").otherwise(_banded(gap, TOLERANCES["p"])))
@@ -151,7 +154,7 @@ def soft_match_n(
     ``recruit_chain``: recruited, and more than half of them remain.  ``multi_study``: a sample of at
     least three times the size belongs to another study.
     """
-    sizes = body.where("kind = 'n' and value = floor(value) and value > 0 and value <= 100000")
+    sizes = body.where("kind = 'n' and value = floor(value) and value > 0")
     # a list is built only where the number of sizes allows subset sums (2 to 6 of them)
     stats = sizes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_sizes"), F.max("value").alias("largest"),

@@ -325,6 +325,10 @@ def check_percentages(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
                     "expected": F.col("expected"), "base": F.col("base")})
 
 
+#: Beyond these the GRIM test of a printed row abstains.
+GRIM_LARGEST_N, GRIM_MOST_DECIMALS = 100_000, 3
+
+
 def grim_rows(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """verdict for every row that prints both a sample size and a mean."""
     text = F.trim("raw")
@@ -342,9 +346,12 @@ def grim_rows(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min_by(n_value.try_cast("double"), F.when(n_value.isNotNull(), F.col("col_no"))).alias("n"),
         F.min_by(mean_text, F.when(mean_text.isNotNull(), F.col("col_no"))).alias("mean_text"))
     decimals = F.length(F.regexp_extract("mean_text", r"\.(\d+)", 1))
-    rows = per.where(F.col("n").between(3, 100000) & F.col("mean_text").isNotNull()).withColumns({
-        "mean": F.col("mean_text").try_cast("double"), "decimals": decimals}).where("decimals <= 3")
-    return rows.withColumn("verdict", grim_verdict(F.col("mean"), F.col("n"), F.col("decimals")))
+    rows = per.where((F.col("n") >= 3) & F.col("mean_text").isNotNull()).withColumns({
+        "mean": F.col("mean_text").try_cast("double"), "decimals": decimals})
+    verdict = grim_verdict(F.col("mean"), F.col("n"), F.col("decimals"))
+    # a size or a precision beyond the test's reach stays in the table and says so
+    beyond = (F.col("n") > GRIM_LARGEST_N) | (F.col("decimals") > GRIM_MOST_DECIMALS)
+    return rows.withColumn("verdict", F.when(beyond, "abstain").otherwise(verdict))
 
 
 def check_grim(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -395,7 +402,7 @@ def participation(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
                                & (F.col("rows") >= MIN_RELATION_ROWS))),
         ("F6", total_mismatches(cells, keys).select(*keys).unionByName(
             percent_rows(cells, keys).where("status <> 'abstain'").select(*keys))),
-        ("F7", grim_rows(cells, keys)),
+        ("F7", grim_rows(cells, keys).where(f"n <= {GRIM_LARGEST_N} and decimals <= {GRIM_MOST_DECIMALS}")),
     ]
     parts = [frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("judged")).withColumn(
         "family", F.lit(family)) for family, frame in counted]

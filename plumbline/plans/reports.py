@@ -43,7 +43,7 @@ def figures(t: Tables) -> DataFrame:
         F.count_if(f).alias("n1"), F.count_if(o).alias("n2"),
         F.sum(F.when(f, q)).alias("s1"), F.sum(F.when(o, q)).alias("s2"),
         F.sum(F.when(f, q * q)).alias("q1"), F.sum(F.when(o, q * q)).alias("q2"),
-    ).where("n >= 10 and n1 >= 2 and n2 >= 2")
+    ).where("n1 >= 1 and n2 >= 1 and n1 + n2 > 2")
     d = lambda c: F.col(c).cast("double")
     ss1, ss2 = d("q1") - d("s1") * d("s1") / d("n1"), d("q2") - d("s2") * d("s2") / d("n2")
     dof = F.col("n1") + F.col("n2") - 2
@@ -77,7 +77,7 @@ g AS (SELECT l_partkey AS doc_id, count(*) AS n, sum(l_quantity)::BIGINT AS s,
         sum(l_quantity * l_quantity) FILTER (l_linestatus = 'O') AS q2
       FROM lineitem GROUP BY l_partkey),
 h AS (SELECT *, (q1 - s1 * s1 / n1) + (q2 - s2 * s2 / n2) AS ss, n1 + n2 - 2 AS df, s1 / n1 - s2 / n2 AS diff
-      FROM g WHERE n >= 10 AND n1 >= 2 AND n2 >= 2),
+      FROM g WHERE n1 >= 1 AND n2 >= 1 AND n1 + n2 > 2),
 e AS (SELECT *, sqrt(ss / df * (1.0 / n1 + 1.0 / n2)) AS se FROM h WHERE ss > 0),
 i AS (SELECT doc_id, n, df, ((s * 200 + n) // (n * 2)) AS true_mean100,
         round(sqrt((q - s::DOUBLE * s / n) / (n - 1)) * 100)::BIGINT AS sd100,

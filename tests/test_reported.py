@@ -206,3 +206,21 @@ def test_methods_once_per_sentence(frame):
     df = frame([(1, "本研究为被试内设计，使用重复测量ANOVA检验差异。之后采用线性回归。")], "d int, text string")
     got = sorted(r["method"] for r in cl.method_mentions(df, ["d"]).collect())
     assert got == ["linear_regression", "repeated_measures_anova"]
+
+
+def test_whole_counts_and_all_p_forms(spark):
+    text = ("样本量250000, n = 8, N=1,234,567 and n = 12.5; p = 1.000, p > 0.05, p < 0.1, p ≤ .05, P=.003, p = 1, "
+            "共 3 名, 有效问卷 1200345 份")
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(r.kind, r.value, r.op) for r in cl.quantity_claims(docs, ["doc_id"]).orderBy("pos").collect()]
+    assert [v for k, v, _ in got if k == "n"] == [250000, 8, 1234567, 3, 1200345]
+    assert [(v, o) for k, v, o in got if k == "p"] == [
+        (1.0, "eq"), (0.05, "gt"), (0.1, "lt"), (0.05, "lt"), (0.003, "eq"), (1.0, "eq")]
+    narrow = cl.quantity_claims(docs, ["doc_id"], patterns=cl.ft.NARROW_QUANTITY_PATTERNS)
+    assert 8 not in [r.value for r in narrow.where("kind = 'n'").collect()]
+
+
+def test_claim_above_a_bound(spark):
+    claims = spark.createDataFrame([(1, "p", 0.05, "gt"), (2, "p", 0.05, "gt")], "k long, kind string, value double, op string")
+    real = spark.createDataFrame([(1, "p", 0.2), (2, "p", 0.01)], "k long, kind string, value double")
+    assert {r.k: r.status for r in cp.compare_claims(claims, real, ["k"]).collect()} == {1: "ok", 2: "mismatch"}
