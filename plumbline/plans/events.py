@@ -32,6 +32,20 @@ def trailing_rate(t: Tables):
     return rounded(out.select("event_id", "n_in_window", "over", "retry_after"))
 
 
+@query("limiter_decisions", """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT event_id, user_id, rn, us, [us] AS admitted, true AS allowed, 0::BIGINT AS retry_after FROM e WHERE rn = 1
+  UNION ALL
+  SELECT event_id, user_id, rn, us, CASE WHEN len(h) < 2 THEN list_append(h, us) ELSE h END, len(h) < 2,
+         CASE WHEN len(h) < 2 THEN 0 ELSE greatest(1, (43200000000 - (us - h[1])) // 1000000 + 1) END
+  FROM (SELECT e.*, list_filter(r.admitted, lambda t: t > e.us - 43200000000) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT event_id, allowed::BIGINT AS allowed, retry_after FROM r""")
+def limiter_decisions(t: Tables):
+    """Two admitted events in twelve hours; refused ones use no slot."""
+    out = lm.limiter_decisions(t("events").select("event_id", "user_id", "ts"), ["user_id"], "ts", 43200, 2, ["event_id"])
+    return rounded(out.select("event_id", "allowed", "retry_after"))
+
+
 @query("lockouts", """
 WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, (event_type = 'error')::INT AS f, (event_type = 'purchase')::INT AS o FROM events),
 r AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS run FROM e),
@@ -61,7 +75,7 @@ def ledger_events(t: Tables):
         F.col("event_type") == "signup", "useful").otherwise("seen")
     key = F.concat(F.lit("k"), (F.col("user_id") * 37 + F.col("event_id") % 41).cast("string"))
     return t("events").select(key.alias("key"), "ts", action.alias("action"),
-                              F.col("event_type").alias("source"), F.col("props").alias("sample"))
+                              F.col("event_type").alias("source"), F.col("props").alias("sample"), "value")
 
 
 _LEDGER = """
@@ -98,6 +112,25 @@ def ledger_statistics(t: Tables):
     return lg.statistics(lg.aggregate_events(ledger_events(t)))
 
 
+@query("ledger_context", """
+WITH e AS (SELECT 'k' || (user_id * 37 + event_id % 41) AS key, ts, value, event_type FROM events WHERE event_type NOT IN ('error', 'signup')),
+l AS (SELECT key, count(*) AS seen, list_sort(list_distinct(list(event_type))) AS sources, max(ts) AS last FROM e GROUP BY key)
+SELECT key, seen, array_to_string(sources, ',') AS sources,
+       (SELECT max(value) FROM e WHERE e.key = l.key AND e.ts = l.last) AS low FROM l""")
+def ledger_context(t: Tables):
+    """All sources of an issue and the value range of its latest sighting, merged from two halves."""
+    events = ledger_events(t).withColumns({"low": F.col("value"), "high": F.col("value")})
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    merged = lg.merge(lg.aggregate_events(events.where(early)), lg.aggregate_events(events.where(~early)))
+    return merged.where("seen > 0").select(
+        "key", "seen", F.concat_ws(",", "sources").alias("sources"), F.col("context.low").alias("low"))
+
+
+@query("ledger_top", f"WITH {_LEDGER} SELECT key, seen FROM st ORDER BY seen DESC, key LIMIT 5")
+def ledger_top(t: Tables):
+    return lg.top(lg.aggregate_events(ledger_events(t)))
+
+
 @query("ledger_annotate", """
 WITH e AS (SELECT 'quantity|' || 'l_quantity' AS key), f AS (SELECT count(*) FILTER (event_type = 'error') AS fp FROM events)
 SELECT 'l_quantity' AS columns, 'quantity' AS category, (fp >= 2)::BIGINT AS muted, (SELECT count(*) FROM events WHERE event_type = 'view') AS times_seen FROM f

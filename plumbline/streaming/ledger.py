@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 CONFIRM_SEEN = 3
 USEFUL_SEEN = 2
 REJECT_FALSE_POSITIVES = 2
+#: Samples kept of each issue; its sources are all kept.
 KEEP_SAMPLES = 5
-KEEP_SOURCES = 64
+TOP_ENTRIES = 5
 
 
 def issue_key(issues: DataFrame) -> Column:
@@ -31,22 +32,28 @@ def _smallest(rows: DataFrame, value: str, k: int, out: str) -> DataFrame:
         F.array_sort(F.collect_list(value)).alias(out))
 
 
-def aggregate_events(events: DataFrame) -> DataFrame:
-    """One row per key with counts, the three earliest sightings, and a few samples and sources."""
+def aggregate_events(events: DataFrame, keep_samples: int = KEEP_SAMPLES) -> DataFrame:
+    """One row per key with counts, the three earliest sightings, all sources, a few samples, and the context (value
+    range ``low``, ``high``, where the events carry one) of the latest sighting."""
     seen = F.col("action") == "seen"
+    ranged = {"low", "high"} <= set(events.columns)
+    low, high = (F.col(c).cast("double") if ranged else F.lit(None).cast("double") for c in ("low", "high"))
     counts = events.groupBy("key").agg(
         F.count_if(seen).alias("seen"), F.count_if(F.col("action") == "false_positive").alias("false_pos"),
         F.count_if(F.col("action") == "useful").alias("useful"),
         F.min(F.when(seen, F.col("ts"))).alias("first_seen"),
         F.max(F.when(seen, F.col("ts"))).alias("last_seen"),
         F.min(F.when(F.col("action") == "false_positive", F.col("ts"))).alias("first_false"),
-        F.max(F.when(F.col("action") == "useful", F.col("ts"))).alias("last_useful"))
+        F.max(F.when(F.col("action") == "useful", F.col("ts"))).alias("last_useful"),
+        F.max(F.when(seen, F.struct("ts", low.alias("low"), high.alias("high")))).alias("context"))
     early = _smallest(events.where(seen), "ts", CONFIRM_SEEN, "sightings")
     out = counts.join(early, "key", "left")
-    for column, name, k in (("sample", "samples", KEEP_SAMPLES), ("source", "sources", KEEP_SOURCES)):
+    for column, name in (("sample", "samples"), ("source", "sources")):
         if column in events.columns:
             distinct = events.where(seen & F.col(column).isNotNull()).select("key", column).distinct()
-            out = out.join(_smallest(distinct, column, k, name), "key", "left")
+            kept = _smallest(distinct, column, keep_samples, name) if column == "sample" else distinct.groupBy("key").agg(
+                F.array_sort(F.collect_list(column)).alias(name))
+            out = out.join(kept, "key", "left")
         else:
             out = out.withColumn(name, F.array().cast("array<string>"))
     empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
@@ -55,8 +62,8 @@ def aggregate_events(events: DataFrame) -> DataFrame:
         "samples": empty(F.col("samples"), "string"), "sources": empty(F.col("sources"), "string")})
 
 
-def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Merge two aggregates of the same keys; each key has at most one row on either side."""
+def merge(a: DataFrame, b: DataFrame, keep_samples: int = KEEP_SAMPLES) -> DataFrame:
+    """Merge two aggregates of the same keys; each key has at most one row on either side.  Of two contexts the later stays."""
     both = a.unionByName(b)
     joined = lambda c: F.flatten(F.collect_list(c))
     return both.groupBy("key").agg(
@@ -64,8 +71,8 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.min("first_false").alias("first_false"), F.max("last_useful").alias("last_useful"),
         F.slice(F.array_sort(joined("sightings")), 1, CONFIRM_SEEN).alias("sightings"),
-        F.slice(F.array_sort(F.array_distinct(joined("samples"))), 1, KEEP_SAMPLES).alias("samples"),
-        F.slice(F.array_sort(F.array_distinct(joined("sources"))), 1, KEEP_SOURCES).alias("sources"))
+        F.slice(F.array_sort(F.array_distinct(joined("samples"))), 1, keep_samples).alias("samples"),
+        F.array_sort(F.array_distinct(joined("sources"))).alias("sources"), F.max("context").alias("context"))
 
 
 def with_status(ledger: DataFrame) -> DataFrame:
@@ -90,10 +97,16 @@ def statistics(ledger: DataFrame) -> DataFrame:
         *[F.count_if(F.col("status") == s).alias(s) for s in ("confirmed", "rejected", "candidate")])
 
 
+def top(ledger: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
+    """The ``k`` keys seen most, ties by key."""
+    return ledger.select("key", "seen").orderBy(F.desc("seen"), "key").limit(k)
+
+
 def annotate(issues: DataFrame, ledger: DataFrame) -> DataFrame:
     """Issues with what the ledger knows; rejected ones are marked muted, none are dropped."""
     known = with_status(ledger).select(
-        F.col("key").alias("ledger_key"), F.col("seen").alias("times_seen"), "status")
+        F.col("key").alias("ledger_key"), F.col("seen").alias("times_seen"), "status",
+        F.col("context.low").alias("known_low"), F.col("context.high").alias("known_high"))
     out = issues.withColumn("ledger_key", issue_key(issues)).join(known, "ledger_key", "left")
     return out.withColumns({
         "muted": F.coalesce(F.col("status") == "rejected", F.lit(False)),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,8 +33,8 @@ def trailing_count(
     events: DataFrame, keys: Sequence[str], ts: str, seconds: float, limit: int,
     chunk: float | None = None,
 ) -> DataFrame:
-    """Events of the same key in the last ``seconds`` (this one included), and whether they exceed
-    ``limit``.
+    """Offered rate: events of the same key in the last ``seconds`` (this one included), and whether they
+    exceed ``limit``.  Every event counts; ``limiter_decisions`` is the limiter itself, where refused events use no slot.
 
     ``retry_after``: seconds until the oldest of them has left the window.
     """
@@ -98,6 +99,54 @@ def idle_sessions(
     return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
+# ---- the limiter itself ----------------------------------------------------------------------
+
+def _decide(stamps: Iterable[int], allowed: deque[int], window_us: int, limit: int) -> Iterator[tuple[bool, int]]:
+    """Decision and wait for each time in order; ``allowed`` holds the admitted times inside the window, ``limit`` at most."""
+    for now in stamps:
+        while allowed and allowed[0] <= now - window_us:
+            allowed.popleft()
+        if len(allowed) >= limit:
+            yield False, max(1, (window_us - (now - allowed[0])) // 1_000_000 + 1) if allowed else 1
+        else:
+            allowed.append(now)
+            yield True, 0
+
+
+def limiter_decisions(
+    events: DataFrame, keys: Sequence[str], ts: str, seconds: float, limit: int, order: Sequence[str] = (),
+) -> DataFrame:
+    """Batch form of the limiter: ``allowed`` and ``retry_after`` for every event; refused events use no slot.
+
+    Where a key pauses for at least the window, its state is empty, so the stretches between pauses are decided
+    independently, each as a sorted run with ``limit`` numbers of state.  ``order`` breaks ties of time.  A
+    stretch that never pauses is one run, read batch by batch.
+    """
+    window_us = int(seconds * 1_000_000)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    by = Window.partitionBy(*keys).orderBy("_us", *order)
+    frame = events.withColumn("_us", us)
+    fresh = F.coalesce(F.col("_us") - F.lag("_us").over(by) >= window_us, F.lit(True))
+    stretches = frame.withColumn("_fresh", fresh.cast("int")).withColumn("_stretch", F.sum("_fresh").over(
+        by.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    # all rows of a stretch are neighbours in a sorted partition; state is one stretch's
+    placed = stretches.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "_us", *order)
+    schema = events.select("*").schema.add("allowed", "boolean").add("retry_after", "long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, allowed = None, deque()
+        for pdf in batches:
+            out = []
+            for *key, now in pdf[[*keys, "_stretch", "_us"]].itertuples(index=False):
+                if key != last:
+                    last, allowed = key, deque()
+                out.extend(_decide([now], allowed, window_us, limit))
+            yield pdf.drop(columns=["_stretch", "_us"]).assign(
+                allowed=[a for a, _ in out], retry_after=[w for _, w in out])
+
+    return placed.select(*events.columns, "_stretch", "_us").mapInPandas(run, schema)
+
+
 # ---- exact limiter on a stream ---------------------------------------------------------------
 
 def exact_limiter(
@@ -115,20 +164,13 @@ def exact_limiter(
         if state.hasTimedOut:
             state.remove()
             return
-        allowed = list(state.get[0]) if state.exists else []
+        allowed = deque(state.get[0]) if state.exists else deque()
         for pdf in batches:
-            rows = []
             stamps = pdf[ts].sort_values()
-            for stamp in stamps:
-                now = stamp.value // 1000
-                allowed = [t for t in allowed if t > now - window_us]
-                if len(allowed) >= limit:
-                    wait = max(1, int((window_us - (now - allowed[0])) // 1_000_000) + 1)
-                    rows.append((group_key[0], stamp, False, wait))
-                else:
-                    allowed.append(now)
-                    rows.append((group_key[0], stamp, True, 0))
+            decided = _decide((x.value // 1000 for x in stamps), allowed, window_us, limit)
+            rows = [(group_key[0], stamp, *got) for stamp, got in zip(stamps, decided)]
             yield pd.DataFrame(rows, columns=[key, ts, "allowed", "retry_after"])
+        allowed = list(allowed)
         state.update((allowed,))
         if allowed:
             after = allowed[-1] // 1000 + int(seconds * 1000)
@@ -151,18 +193,20 @@ def exact_lockout(
         if state.hasTimedOut:
             state.remove()
             return
-        fails = list(state.get[0]) if state.exists else []
+        fails = deque(state.get[0]) if state.exists else deque()
         for pdf in batches:
             rows = []
             for stamp, result in pdf.sort_values(ts)[[ts, outcome]].itertuples(index=False):
                 now = stamp.value // 1000
-                fails = [t for t in fails if now - t <= window_us]
+                while fails and now - fails[0] > window_us:
+                    fails.popleft()
                 if result == "ok":
-                    fails = []
+                    fails.clear()
                 elif result == "fail":
                     fails.append(now)
                 rows.append((group_key[0], stamp, result, len(fails), len(fails) >= max_fails))
             yield pd.DataFrame(rows, columns=[key, ts, outcome, "n_fails", "locked"])
+        fails = list(fails)
         state.update((fails,))
         if fails:
             after = fails[-1] // 1000 + int(seconds * 1000)

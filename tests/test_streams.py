@@ -142,3 +142,24 @@ def test_ledger_stream_equals_batch_and_survives_replay(spark, frame, tmp_path):
     got = {tuple(r) for r in lg.with_status(lg.read(spark, path)).select(*columns).collect()}
     want = {tuple(r) for r in lg.with_status(lg.aggregate_events(frame(rows, schema))).select(*columns).collect()}
     assert got == want
+
+
+def test_limiter_batch_equals_stream(stream, frame):
+    import random
+    rnd = random.Random(4)
+    rows = [("abc"[k % 3], at(s)) for k, s in enumerate(sorted(rnd.sample(range(3000), 200)))]
+    rows += [("d", at(s)) for s in (0, 10, 20, 30, 61)]
+    out = stream([rows], "k string, ts timestamp", lambda d: lm.exact_limiter(d, "k", "ts", 60, 3))
+    batch = lm.limiter_decisions(frame(rows, "k string, ts timestamp"), ["k"], "ts", 60, 3)
+    pick = lambda rs: sorted((r["k"], r["ts"], r["allowed"], r["retry_after"]) for r in rs)
+    got = pick(batch.collect())
+    assert got == pick(out)
+    assert [r[2] for r in got if r[0] == "d"] == [True, True, True, False, True]
+
+
+def test_ledger_keeps_all_sources_and_the_latest_context(frame):
+    rows = [("k", at(s), "seen", f"s{s:03d}", float(s), float(s + 1)) for s in range(100)]
+    events = frame(rows, "key string, ts timestamp, action string, source string, low double, high double")
+    early = F.col("ts") < at(50)
+    got = lg.merge(lg.aggregate_events(events.where(early)), lg.aggregate_events(events.where(~early))).first()
+    assert len(got["sources"]) == 100 and (got["context"]["low"], got["context"]["high"]) == (99.0, 100.0)
