@@ -223,14 +223,14 @@ def ngram_dup(t: Tables):
 
 
 @query("hype_and_residue", r"""
-SELECT doc_id, (len(list_filter(regexp_extract_all(text, 'tionon[\s\S]{0,30}'), lambda x: NOT regexp_matches(x[7:], '[0-9０-９%％]|(?i)[mpn]\s*=')))) ::BIGINT AS hype_one,
+WITH p AS (SELECT doc_id, text, string_split(text, 'tionon') AS pieces FROM documents)
+SELECT doc_id, len(list_filter(range(2, len(pieces) + 1), lambda i:
+         NOT regexp_matches(left(array_to_string(pieces[i:], 'tionon'), 30), '[0-9０-９%％]|(?i)[mpn]\s*=')))::BIGINT AS hype_one,
        len(regexp_extract_all(text, '[Tt]oken = '))::BIGINT AS residue,
-       len(regexp_extract_all(text, 'loser'))::BIGINT AS generic FROM documents WHERE NOT regexp_matches(text, 'tionon[\s\S]{0,30}tionon')""")
+       len(regexp_extract_all(text, 'loser'))::BIGINT AS generic FROM p""")
 def hype_and_residue(t: Tables):
-    """Hype words may lie within each other's 30 characters; SQL cannot look ahead, so those texts are
-    compared in the tests instead."""
-    docs = t("documents").where(~F.col("text").rlike(r"tionon[\s\S]{0,30}tionon"))
-    return rounded(docs.select(
+    """Every occurrence is judged by the 30 characters after it, which may hold the next one."""
+    return rounded(t("documents").select(
         "doc_id", st.unsupported_hype(F.col("text"), ["tionon"]).alias("hype_one"),
         F.regexp_count("text", F.lit("[Tt]oken = ")).alias("residue"),
         F.regexp_count("text", F.lit("loser")).alias("generic")))
@@ -279,10 +279,9 @@ def flagged_passages(t: Tables):
 
 @query("truncation_signals", r"""
 SELECT doc_id, (x = '' OR regexp_matches(x, '(…|\.\.\.)$') OR NOT regexp_matches(x, '[。！？.!?」』”）)】]$'))::BIGINT AS truncated
-FROM (SELECT doc_id, regexp_replace(left(text, 200), '\s+$', '') AS x FROM documents)""")
+FROM (SELECT doc_id, regexp_replace(text, '\s+$', '') AS x FROM documents)""")
 def truncation_signals(t: Tables):
-    cut = F.left("text", F.lit(200))
-    return rounded(t("documents").select("doc_id", st.truncated(cut).alias("truncated")))
+    return rounded(t("documents").select("doc_id", st.truncated(F.col("text")).alias("truncated")))
 
 
 # ---- scans -----------------------------------------------------------------------------------

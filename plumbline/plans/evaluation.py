@@ -142,20 +142,22 @@ def result_diff(t: Tables):
 
 
 @query("planted_recall", """
-SELECT 1::BIGINT AS no, 1::BIGINT AS n_hits, 1::BIGINT AS found UNION ALL SELECT 2, 1, 1 UNION ALL
-SELECT 3, (SELECT count(*) * 0 FROM supplier), 0""")
+WITH i AS (SELECT DISTINCT 'negative balance in ' || n_name AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0),
+a AS (SELECT n_nationkey AS no, n_name FROM nation WHERE n_nationkey % 2 = 0),
+h AS (SELECT a.no, count(i.title) AS n_hits FROM a LEFT JOIN i ON contains(i.title, a.n_name) GROUP BY a.no)
+SELECT no::BIGINT AS no, '' AS title, n_hits, (n_hits > 0)::BIGINT AS found FROM h
+UNION ALL SELECT NULL, title, 0, 0 FROM i WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(i.title, a.n_name))""")
 def planted_recall(t: Tables):
-    """Two planted defects of the supplier table are found, a third was never planted."""
-    frame = t("supplier").select(
-        F.lit(7).alias("region_code"), (F.col("s_suppkey") + F.when(
-            F.col("s_suppkey") % 20 == 0, 0.5).otherwise(0.0)).alias("item_count"))
-    issues = q.check_low_variance(frame).unionByName(q.check_integer_decimals(frame)).select(
-        F.concat_ws(" ", "check", F.concat_ws(",", "columns")).alias("title"))
-    answers = t("supplier").limit(1).select(F.inline(F.array(*[
-        F.struct(F.lit(i).cast("long").alias("no"), F.array(F.lit(k)).alias("keywords"))
-        for i, k in ((1, "region_code"), (2, "item_count"), (3, "duplicate"))])))
-    recall, _ = ev.planted_recall(issues, answers)
-    return rounded(recall)
+    """Nations of even key are the answer key; findings about other nations are false alarms."""
+    issues = t("supplier").where("s_acctbal < 0").join(
+        t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("negative balance in "), F.col("n_name")).alias("title"))
+    answers = t("nation").where("n_nationkey % 2 = 0").select(
+        F.col("n_nationkey").cast("long").alias("no"), F.array("n_name").alias("keywords"))
+    recall, alarms = ev.planted_recall(issues, answers)
+    both = recall.withColumn("title", F.lit("")).unionByName(alarms.select(
+        F.lit(None).cast("long").alias("no"), "title", F.lit(0).cast("long").alias("n_hits"), F.lit(False).alias("found")))
+    return rounded(both)
 
 
 # ---- advice, claims, answers -----------------------------------------------------------------

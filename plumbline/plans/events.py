@@ -132,16 +132,18 @@ def ledger_top(t: Tables):
 
 
 @query("ledger_annotate", """
-WITH e AS (SELECT 'quantity|' || 'l_quantity' AS key), f AS (SELECT count(*) FILTER (event_type = 'error') AS fp FROM events)
-SELECT 'l_quantity' AS columns, 'quantity' AS category, (fp >= 2)::BIGINT AS muted, (SELECT count(*) FROM events WHERE event_type = 'view') AS times_seen FROM f
-UNION ALL SELECT 'l_tax', 'quantity', 0, 0""")
+WITH e AS (SELECT event_type AS category, user_id, (user_id % 7 = 0) AS fp FROM events),
+k AS (SELECT category, count(*) FILTER (fp) AS n_fp, count(*) FILTER (NOT fp) AS seen FROM e WHERE category <> 'signup' GROUP BY category),
+i AS (SELECT DISTINCT category, 'Score_' || user_id AS columns FROM e)
+SELECT columns, i.category, coalesce(n_fp >= 2, false)::BIGINT AS muted, coalesce(seen, 0)::BIGINT AS times_seen FROM i LEFT JOIN k USING (category)""")
 def ledger_annotate(t: Tables):
-    """All events speak about one finding; the other one is new."""
-    action = F.when(F.col("event_type") == "error", "false_positive").when(F.col("event_type") == "view", "seen")
-    events = t("events").select(F.lit("quantity|l_quantity").alias("key"), "ts", action.alias("action")).where(
-        "action is not null")
-    issues = t("lineitem").limit(1).select(F.explode(F.array(F.lit("l_quantity"), F.lit("l_tax"))).alias("c")).select(
-        F.lit("quantity").alias("category"), F.array("c").alias("columns"))
+    """One finding per event type and user; the numbering of its column is no part of its key.  Signups are new to the ledger."""
+    events = t("events").where("event_type <> 'signup'").select(
+        F.concat(F.col("event_type"), F.lit("|score")).alias("key"), "ts",
+        F.when(F.col("user_id") % 7 == 0, "false_positive").otherwise("seen").alias("action"))
+    issues = t("events").select(
+        F.col("event_type").alias("category"),
+        F.array(F.concat(F.lit("Score_"), F.col("user_id").cast("string"))).alias("columns")).distinct()
     out = lg.annotate(issues, lg.aggregate_events(events))
     return rounded(out.select(F.concat_ws(",", "columns").alias("columns"), "category", "muted", "times_seen"))
 

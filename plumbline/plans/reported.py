@@ -302,14 +302,15 @@ def soft_match_n(t: Tables):
 
 
 @query("contract_violations", """
-WITH p AS (SELECT l_suppkey, count(*) AS n, corr(l_discount, l_tax) AS r FROM lineitem WHERE l_suppkey % 3 = 0
-           GROUP BY l_suppkey)
-SELECT l_suppkey, 'shifted outside 0..1' AS violation FROM p WHERE NOT (r + 0.5 BETWEEN 0 AND 1)
-UNION ALL SELECT l_suppkey, 'n below 2' FROM p WHERE n < 2""")
+WITH p AS (SELECT l_orderkey, count(*) AS n, corr(l_discount, l_tax) AS r FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, 'shifted outside 0..1' AS violation FROM p WHERE n > 4 AND NOT (round(r, 9) + 0.5 BETWEEN 0 AND 1)
+UNION ALL SELECT l_orderkey, 'n below 2' FROM p WHERE n < 2""")
 def contract_violations(t: Tables):
-    out = mo.pearson(t("lineitem").where("l_suppkey % 3 = 0"), "l_discount", "l_tax", by=["l_suppkey"])
-    shifted = out.withColumn("shifted", F.col("r") + 0.5)
-    return cp.contract_violations(shifted, ["l_suppkey"], p=["shifted"], n=["n"])
+    """Correlations per order, shifted out of their range on purpose, and orders of one line."""
+    r = mo.pearson(t("lineitem"), "l_discount", "l_tax", by=["l_orderkey"]).select("l_orderkey", "r")
+    out = t("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).join(r, "l_orderkey", "left")
+    shifted = out.withColumn("shifted", F.when(F.col("n") > 4, F.round("r", 9) + 0.5))
+    return cp.contract_violations(shifted, ["l_orderkey"], p=["shifted"], n=["n"])
 
 
 # ---- names and columns -----------------------------------------------------------------------
