@@ -171,6 +171,7 @@ class Chunk:
     left: np.ndarray  # distinct pair -> words of the chunk
     right: np.ndarray
     home: np.ndarray  # distinct pair -> bucket
+    hot: np.ndarray  # word of the chunk -> whether its pairs are spread over all buckets
 
     @staticmethod
     def open(docs: pa.Table, answers: pa.Table, buckets: int, tokens: int) -> Chunk:
@@ -184,16 +185,18 @@ class Chunk:
         before[starts] = len(home) - 1
         pairs, pair = np.unique(before * len(home) + index, return_inverse=True)
         left, right = np.divmod(pairs, len(home))
-        hot = counts[left] * 4 * buckets > tokens
-        of = np.where(hot, number[left] * 0x9E3779B1 + number[right], number[left]).astype(B.U)
+        hot = counts * 4 * buckets > tokens
+        of = np.where(hot[left], number[left] * 0x9E3779B1 + number[right], number[left]).astype(B.U)
         return Chunk(ids.view(np.int64), nulls > 0, train > 0, n, index, number, counts, pair, left, right,
-                     (B.mix(of) % B.U(buckets)).astype(np.int64))
+                     (B.mix(of) % B.U(buckets)).astype(np.int64), hot)
 
     def of_bucket(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of a bucket, and its histories (as words of the chunk) with their number of pairs."""
         own = np.flatnonzero(self.home == b)
-        heads, n = np.unique(self.left[own], return_counts=True)
-        return own, heads, n
+        own = own[np.argsort(self.number[self.left[own]], kind="stable")]
+        heads = self.left[own]
+        first = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
+        return own, heads[first], np.diff(np.append(first, len(own)))
 
 
 def _ask_pairs(buckets: int, tokens: int):
@@ -207,7 +210,7 @@ def _ask_pairs(buckets: int, tokens: int):
             counts = np.zeros(len(words), np.int64)
             counts[place] = c.counts[c.right[own]]
             rows.append(("pairs", chunk, int(b), pack(
-                c.number[heads], c.counts[heads], n, place, often[own], np.diff(words, prepend=0), counts)))
+                np.diff(c.number[heads], prepend=0), c.hot[heads], n, place, often[own], np.diff(words, prepend=0), counts)))
         return _table(rows)
 
     return run
@@ -219,6 +222,8 @@ def _count_pairs(buckets: int, low: Unigrams):
     def run(key, rows):
         bucket = key[0].as_py()
         asked = [unpack(d) for d in rows.column("data").to_pylist()]
+        for a in asked:
+            a[0] = np.cumsum(a[0])
         heads = np.concatenate([a[0] for a in asked])
         left = np.concatenate([np.repeat(a[0], a[2].astype(np.int64)) for a in asked])
         words = [np.cumsum(a[5]) for a in asked]
@@ -234,19 +239,23 @@ def _count_pairs(buckets: int, low: Unigrams):
         mass = np.bincount(owner[seen], p[seen], len(names))
         classes = [np.bincount(owner[counts == r], minlength=len(names)) for r in range(1, TRUSTED + 1)]
         _, first_head = np.unique(heads, return_index=True)
-        head_count = np.concatenate([a[1] for a in asked])[first_head].astype(np.int64)
-        hot = head_count * 4 * buckets > low.tokens
+        hot = np.concatenate([a[1] for a in asked])[first_head] > 0
         n = np.bincount(np.minimum(counts, TRUSTED + 2), minlength=TRUSTED + 3)[1:TRUSTED + 2]
         out = [("stats", -1, bucket, pack(n)),
-               ("model", -1, bucket, pack(names, np.bincount(owner[seen], minlength=len(names)),
+               ("model", -1, bucket, pack(np.diff(names, prepend=0), np.bincount(owner[seen], minlength=len(names)),
                                           np.diff(vocabulary, prepend=0), follower[seen], counts[seen]))]
         if hot.any():
             out.append(("spread", -1, bucket, pack(names[hot], mass[hot], *[c[hot] for c in classes])))
         at, at_head = 0, 0
         for chunk, a in zip(rows.column("chunk").to_pylist(), asked):
-            own = counts[inverse[at:at + len(a[3])]]
+            mine = inverse[at:at + len(a[3])]
+            own, of = counts[mine], owner[mine]
+            # the chunk adds up its own pairs; it lacks only what others have seen
+            part = np.bincount(of[own > 0], p[mine[own > 0]], len(names))
+            whole = np.bincount(of[own > 0], minlength=len(names)) == np.bincount(owner[seen], minlength=len(names))
+            rest = np.where(whole, 0.0, mass - part)
             mine = np.searchsorted(names, a[0])
-            out.append(("totals", chunk, bucket, pack(own, mass[mine], *[c[mine] for c in classes])))
+            out.append(("totals", chunk, bucket, pack(own, rest[mine], *[c[mine] for c in classes])))
             at += len(a[3])
         return _table(out)
 
@@ -271,7 +280,9 @@ def _score(buckets: int, low: Unigrams, factors: np.ndarray, spread: dict[int, t
             mass[heads] = got[1]
             for r in range(TRUSTED):
                 classes[r, heads] = got[2 + r]
-        for w in np.flatnonzero(c.counts * 4 * buckets > low.tokens):
+        own = pair_count > 0
+        mass += np.bincount(c.left[own], low.p(c.counts[c.right[own]]), len(mass))
+        for w in np.flatnonzero(c.hot):
             mass[w], classes[:, w] = spread.get(int(c.number[w]), (0.0, 0))
         p = conditional(low, factors, c.counts, mass, classes, c.left, pair_count, c.counts[c.right])
         at = np.concatenate([[0], np.cumsum(c.n)])

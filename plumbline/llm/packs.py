@@ -18,7 +18,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         head.append(struct.pack("<QBB", len(raw), width, real))
         planes = raw.view(np.uint8).reshape(-1, 8)[:, :width]
         body.append(np.ascontiguousarray(planes.T).tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(head + body))
+    return zstandard.ZstdCompressor(level=9).compress(b"".join(head + body))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:

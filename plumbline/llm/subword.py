@@ -92,16 +92,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "slots", "counts", "label"])
 
 
-def train(sample: DataFrame, epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM) -> Model:
-    """Fit on ``(doc_id, text, label)``, a sample of bounded size."""
-    bags = sample.select("doc_id", "text", "label").mapInArrow(
-        _bags, "doc_id long, slots binary, counts binary, label int")
-    rows = sorted(bags.collect(), key=lambda r: r["doc_id"])  # bounded by the sample
-    y = np.array([r["label"] for r in rows], np.float64)
+def _descend(rows: list[tuple[int, bytes, bytes, int]], epochs: int, rate: float, dim: int) -> Model:
+    """Stochastic gradient descent over bags in the order of their ids."""
+    rows = sorted(rows)
+    y = np.array([r[3] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, np.float32), float(y.mean()) if len(y) else 0.5)
-    slots = [np.frombuffer(r["slots"], "<i4") for r in rows]
-    weights = [(w := np.frombuffer(r["counts"], "<f4")) / w.sum() for r in rows]
+    slots = [np.frombuffer(r[1], "<i4") for r in rows]
+    weights = [(w := np.frombuffer(r[2], "<f4")) / w.sum() for r in rows]
     rng = np.random.default_rng(7)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << BUCKET_BITS, dim)).astype(np.float32)
     out = np.zeros((2, dim), np.float32)
@@ -121,13 +119,29 @@ def train(sample: DataFrame, epochs: int = EPOCHS, rate: float = RATE, dim: int
             p[np.arange(len(own)), y[own].astype(int)] -= 1
             back = p @ out
             out -= lr / BATCH * (p.T @ hidden)
-            step_rows = -lr * np.repeat(back, np.diff(at), axis=0) * w[:, None]
-            order_idx = np.argsort(idx, kind="stable")
-            distinct, first = np.unique(idx[order_idx], return_index=True)
-            table[distinct] += np.add.reduceat(step_rows[order_idx], first, axis=0)
+            change = -lr * np.repeat(back, np.diff(at), axis=0) * w[:, None]
+            by_slot = np.argsort(idx, kind="stable")
+            distinct, first = np.unique(idx[by_slot], return_index=True)
+            table[distinct] += np.add.reduceat(change[by_slot], first, axis=0)
     return Model((table @ (out[1] - out[0])).astype(np.float32))
 
 
+def train(sample: DataFrame, epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM) -> Model:
+    """Fit on ``(doc_id, text, label)``, a sample of bounded size; one task descends, the driver gets the scores of the
+    buckets only."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+        model = _descend(rows, epochs, rate, dim)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.slots.tobytes()], pa.binary()), pa.array([model.constant], pa.float64())], names=["slots", "constant"])
+
+    bags = sample.select("doc_id", "text", "label").mapInArrow(
+        _bags, "doc_id long, slots binary, counts binary, label int")
+    got = bags.repartition(1).mapInArrow(fit, "slots binary, constant double").collect()
+    return Model(np.frombuffer(got[0]["slots"], np.float32), got[0]["constant"]) if got else Model(np.zeros(0, np.float32), 0.5)
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns with ``score`` and ``predicted``."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]

@@ -7,7 +7,7 @@ has a matching ``violations_*`` where single rows can be named.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -541,31 +541,38 @@ def check_response_duration(
 
 # ---- digits ----------------------------------------------------------------------------------
 
-def numeric_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct finite values of numeric columns with counts: ``(name, value, n)``."""
-    if not columns:
-        return df.sparkSession.createDataFrame([], "name string, value double, n bigint")
+def _finite_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Finite values of numeric columns, long: ``(name, value)``."""
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("name"), _x(c).alias("value")) for c in columns])))
-    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
-    return long.where(finite).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _digit_counts(freq: DataFrame, digit: Column, digits: Sequence[int]) -> DataFrame:
-    return freq.withColumn("_digit", digit).groupBy("name").agg(
-        F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_unique"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.coalesce(F.sum(F.when(F.col("value") != F.floor("value"), F.col("n"))), F.lit(0))
-        .alias("n_fraction"),
-        F.coalesce(F.sum(F.when(F.col("_digit").isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
-        *[F.coalesce(F.sum(F.when(F.col("_digit") == d, F.col("n"))), F.lit(0)).alias(f"d{d}")
-          for d in digits],
-    )
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+
+
+def _digit_counts(
+    df: DataFrame, columns: Sequence[str], digit: Callable[[Column], Column], digits: Sequence[int], exact: bool,
+) -> DataFrame:
+    """Counters of each column in one aggregate that shuffles one row per column and task.
+
+    ``n_unique`` only feeds gates; it is an estimate (2 %) unless ``exact``, which shuffles the distinct values.
+    """
+    if not columns:
+        counters = ", ".join(f"{c} bigint" for c in ("n_values", "n_unique", "n", *[f"d{d}" for d in digits]))
+        return df.sparkSession.createDataFrame([], f"name string, min double, max double, {counters}")
+    long = _finite_values(df, columns)
+    d = F.col("_digit")
+    counts = long.withColumn("_digit", digit(F.col("value"))).groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_values"), F.approx_count_distinct("value", 0.02).alias("n_unique"),
+        F.min("value").alias("min"), F.max("value").alias("max"), F.count_if(d.isNotNull()).alias("n"),
+        *[F.count_if(d == k).alias(f"d{k}") for k in digits])
+    if not exact:
+        return counts
+    unique = long.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_unique"))
+    return counts.drop("n_unique").join(unique, "name")
 
 
 def benford_table(
     df: DataFrame, columns: Sequence[str] | None = None,
-    skip: Sequence[str] = fv.BENFORD_SKIP_TOKENS,
+    skip: Sequence[str] = fv.BENFORD_SKIP_TOKENS, exact: bool = False,
 ) -> DataFrame:
     """First-digit shares against the logarithmic law: one row per column, with its status.
 
@@ -573,8 +580,7 @@ def benford_table(
     """
     chosen = list(columns) if columns is not None else [
         c for c in names.numeric_columns(df) if not names.has_token(c, skip)]
-    counts = _digit_counts(
-        numeric_frequency(df, chosen), num.first_digit(F.col("value")), range(1, 10))
+    counts = _digit_counts(df, chosen, num.first_digit, range(1, 10), exact)
     n = F.col("n")
     law = {d: F.log10(F.lit(1.0) + F.lit(1.0) / d) for d in range(1, 10)}
     gaps = [F.abs(F.col(f"d{d}") / n - law[d]) for d in range(1, 10)]
@@ -602,23 +608,25 @@ def benford_table(
 
 def terminal_table(
     df: DataFrame, columns: Sequence[str] | None = None,
-    skip: Sequence[str] = fv.TERMINAL_SKIP_TOKENS, scale: int | None = None,
+    skip: Sequence[str] = fv.TERMINAL_SKIP_TOKENS, scale: int | None = None, exact: bool = False,
 ) -> DataFrame:
     """Last-digit shares against uniformity: one row per column, with its status.
 
-    ``scale`` fixes the number of decimals that count as recorded (2 for prices in cents).
+    ``scale`` fixes the number of decimals that count as recorded (2 for prices in cents).  Integer columns whose values are
+    all different look like keys and abstain; without ``exact``, nearly all different is enough.
     """
     chosen = list(columns) if columns is not None else [
         c for c in names.numeric_columns(df) if not names.has_token(c, skip)]
     integral = [f.name for f in df.schema.fields if f.dataType.typeName() in
                 ("byte", "short", "integer", "long")]
-    counts = _digit_counts(
-        numeric_frequency(df, chosen), num.terminal_digit(F.col("value"), scale), range(10))
+    counts = _digit_counts(df, chosen, lambda v: num.terminal_digit(v, scale), range(10), exact)
     n = F.col("n")
     terms = [F.pow(F.col(f"d{d}") - n / 10, 2) / (n / 10) for d in range(10)]
     top = F.array_max(F.array(*[
         F.struct(F.col(f"d{d}").alias("c"), F.lit(-d).alias("digit")) for d in range(10)]))
-    key_like = F.col("name").isin(*integral) & (F.col("n_unique") == F.col("n_values")) \
+    # an estimate says "all different" within three of its errors
+    nearly = F.lit(1.0 if exact else 0.94)
+    key_like = F.col("name").isin(*integral) & (F.col("n_unique") >= nearly * F.col("n_values")) \
         if integral else F.lit(False)
     eligible = (
         (F.col("n_values") >= 50) & (F.col("n_unique") >= 5)
