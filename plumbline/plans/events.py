@@ -151,21 +151,32 @@ def ledger_annotate(t: Tables):
 _DIGITS = ", ".join(f"count(*) FILTER (round(abs(value) * 100)::BIGINT % 10 = {d}) AS t{d}" for d in range(10))
 
 
+_FIRST = ", ".join(
+    f"count(*) FILTER (try_cast(substr(ltrim(abs(value)::VARCHAR, '0.'), 1, 1) AS INT) = {d}) AS b{d}" for d in range(1, 10))
+_CHI = " + ".join(f"(t{d} - n / 10.0) ** 2 / (n / 10.0)" for d in range(10))
+_MAD = "(" + " + ".join(f"abs(b{d} / n::DOUBLE - log10(1.0 + 1.0 / {d}))" for d in range(1, 10)) + ") / 9"
+_TOP = "greatest(" + ", ".join(f"t{d}" for d in range(10)) + ")"
+
+
 @query("windowed_quality", f"""
 SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(*) - count(value) AS n_missing,
-       count(*) FILTER (value NOT BETWEEN 0.05 AND 200) AS n_outside, min(value) AS min, max(value) AS max, {_DIGITS}
+       count(*) FILTER (value NOT BETWEEN 0.05 AND 200) AS n_outside, min(value) AS min, max(value) AS max, {_DIGITS}, {_FIRST}
 FROM events GROUP BY 1""")
 def windowed_quality(t: Tables):
     out = wq.windowed_quality(t("events"), "ts", "value", 0.05, 200.0, "7 days")
     return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "n_missing", "n_outside",
-                              "min", "max", *[f"t{d}" for d in range(10)]))
+                              "min", "max", *[f"t{d}" for d in range(10)], *[f"b{d}" for d in range(1, 10)]))
 
 
 @query("window_issues", f"""
-WITH w AS (SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n,
-             count(*) FILTER (value NOT BETWEEN 0.05 AND 200) AS o FROM events GROUP BY 1)
-SELECT start, 'outside_range' AS "check", CASE WHEN n < 5 THEN 'abstained' WHEN o > 0 AND 2 * o <= n THEN 'flagged' ELSE 'clear' END AS state FROM w""")
+WITH w AS (SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n_all, count(value) AS n,
+             count(*) FILTER (value NOT BETWEEN 0.05 AND 200) AS o, min(value) AS mn, max(value) AS mx, {_DIGITS}, {_FIRST} FROM events GROUP BY 1)
+SELECT start, "check", CASE flag WHEN true THEN 'flagged' WHEN false THEN 'clear' ELSE 'abstained' END AS state FROM (
+  SELECT start, 'missing' AS "check", CASE WHEN n_all >= 5 THEN n_all - n >= 0.3 * n_all END AS flag FROM w
+  UNION ALL SELECT start, 'outside_range', CASE WHEN n >= 5 THEN o > 0 AND 2 * o <= n END FROM w
+  UNION ALL SELECT start, 'constant', CASE WHEN n >= 5 THEN mn = mx END FROM w
+  UNION ALL SELECT start, 'last_digit', CASE WHEN n >= 50 THEN {_CHI} > 27.877164871256568 AND {_TOP} / n::DOUBLE >= 0.25 END FROM w
+  UNION ALL SELECT start, 'first_digit', CASE WHEN n >= 100 AND mn > 0 AND mx / mn >= 100 THEN {_MAD} > 0.015 END FROM w)""")
 def window_issues(t: Tables):
     out = wq.window_issues(wq.windowed_quality(t("events"), "ts", "value", 0.05, 200.0, "7 days"))
-    return out.where("check = 'outside_range'").select(
-        F.col("start").cast("timestamp_ntz").alias("start"), "check", "state")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "check", "state")
