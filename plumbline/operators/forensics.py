@@ -24,7 +24,8 @@ MIN_COLUMN_DECIMALS = 20
 MIN_TAIL = 3
 TAIL_P = 1e-4
 MIN_RELATION_ROWS = 8
-MAX_RELATION_COLUMNS = 12
+#: The narrower rule set looks at tables of at most 12 numeric columns; the default has no limit.
+NARROW_RELATION_COLUMNS = 12
 MIN_RUN = 5
 MIN_PERCENT_ROWS = 3
 PERCENT_TOLERANCE = 0.6
@@ -185,14 +186,15 @@ def check_progression(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
                    {"first": F.col("first"), "last": F.col("last"), "constant": F.col("constant")})
 
 
-def column_relations(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+def column_relations(cells: DataFrame, keys: Sequence[str], most_columns: int | None = None) -> DataFrame:
     """two columns of a table that differ by a constant, or keep a constant ratio.
 
-    Tables with 2 to 12 numeric columns take part, so a row forms at most 66 column pairs.
+    Tables with two or more numeric columns take part; ``most_columns`` leaves out wider ones, as a row forms one pair
+    for every two columns.
     """
     cols = numeric_columns(cells, keys).where("not design")
     eligible = cols.groupBy(*_table(keys)).agg(F.count(F.lit(1)).alias("k")).where(
-        F.col("k").between(2, MAX_RELATION_COLUMNS))
+        (F.col("k") >= 2) & (F.lit(most_columns is None) | (F.col("k") <= (most_columns or 0))))
     kept = eq_join(cols, eligible.select(*_table(keys)), _table(keys), "left_semi")
     base = numeric_cells(cells, kept.select(*_column(keys), "header"), keys)
     rows = base.groupBy(*_table(keys), "row_no").agg(F.array_sort(F.collect_list(
@@ -398,8 +400,7 @@ def participation(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         ("F2", cols.where((~F.col("coarse")) & (F.col("n_decimals") >= MIN_COLUMN_DECIMALS))),
         ("F3", cols.where("not coarse and not int_col and n >= 10")),
         ("F4", cols.where("not design and not int_col")),
-        ("F5", per_table.where(F.col("k").between(2, MAX_RELATION_COLUMNS)
-                               & (F.col("rows") >= MIN_RELATION_ROWS))),
+        ("F5", per_table.where((F.col("k") >= 2) & (F.col("rows") >= MIN_RELATION_ROWS))),
         ("F6", total_mismatches(cells, keys).select(*keys).unionByName(
             percent_rows(cells, keys).where("status <> 'abstain'").select(*keys))),
         ("F7", grim_rows(cells, keys).where(f"n <= {GRIM_LARGEST_N} and decimals <= {GRIM_MOST_DECIMALS}")),

@@ -151,7 +151,7 @@ def pick_columns(
         chosen = [c for c in pool if c in matched]
         return {"items": chosen if len(chosen) >= 2 else pool}
     if method == "repeated_measures_anova" and len(numeric) >= 3:
-        return {"times": front(numeric)[:12]}
+        return {"times": front(numeric)}
     if method in ("independent_t", "paired_t", "anova", "mann_whitney", "tost") and cont and group:
         return {"group": group[:1], "value": front(cont)[:1]}
     if method == "correlation" and len(cont) >= 2:

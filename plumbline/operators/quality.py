@@ -181,13 +181,19 @@ def plan_low_variance(df: DataFrame, columns: Sequence[str] | None = None) -> li
 
 # ---- totals ----------------------------------------------------------------------------------
 
+#: Most columns that are tried as one sum without a common prefix.
+MOST_PARTS = 15
+
+
 def _sum_candidates(total: str, numeric: Sequence[str]) -> list[list[str]]:
     others = [c for c in numeric if c != total]
-    if not 2 <= len(others) <= 15:
+    if len(others) < 2:
         return []
     groups = [g for g in names.prefix_groups(others).values() if len(g) >= 2]
+    # with many columns "all of them" is no plausible sum, but the named groups still are
+    whole = [others] if len(others) <= MOST_PARTS else []
     unique: list[list[str]] = []
-    for candidate in [others, *groups]:
+    for candidate in [*whole, *groups]:
         if sorted(candidate) not in [sorted(u) for u in unique]:
             unique.append(candidate)
     return unique
