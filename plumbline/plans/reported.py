@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import audit as au
 from plumbline.operators import claims as cl
 from plumbline.operators import compare as cp
 from plumbline.operators import consistency as cs
@@ -237,6 +238,33 @@ def claim_compare(t: Tables):
     return rounded(out.select("doc_id", "kind", "value", "status"), 4)
 
 
+@query("paper_audit", f"""
+WITH {FIGURES_SQL},
+c AS (SELECT doc_id, 'mean' AS kind, mean100 / 100.0 AS v, true_mean100 / 100.0 AS r FROM fig
+      UNION ALL SELECT doc_id, 'n', n, n FROM fig UNION ALL SELECT doc_id, 'n', abs_n, n FROM fig WHERE abs_n <> n
+      UNION ALL SELECT doc_id, 'p', p1000 / 1000.0, tp1000 / 1000.0 FROM fig
+      UNION ALL SELECT doc_id, 'sd', sd100 / 100.0, sd100 / 100.0 FROM fig
+      UNION ALL SELECT doc_id, 't', t100 / 100.0, t100 / 100.0 FROM fig),
+s AS (SELECT doc_id, CASE
+    WHEN kind = 'n' THEN CASE WHEN v = r THEN 'ok' ELSE 'mismatch' END
+    WHEN kind = 'p' THEN CASE WHEN v < 0.0005 THEN CASE WHEN r < 0.001 + 1e-9 THEN 'ok' ELSE 'mismatch' END
+                              WHEN r < 0.0005 THEN CASE WHEN v < 0.001 + 1e-9 THEN 'ok' ELSE 'mismatch' END
+                              WHEN abs(v - r) < 0.05 THEN 'ok' WHEN abs(v - r) < 0.1 THEN 'minor_diff'
+                              ELSE 'mismatch' END
+    WHEN abs(v - r) < 0.5 THEN 'ok' WHEN abs(v - r) < 1.0 THEN 'minor_diff' ELSE 'mismatch' END AS status FROM c)
+SELECT doc_id, count(*) AS n_claims, count(*) FILTER (status = 'ok') AS n_agree, count(*) FILTER (status = 'minor_diff') AS n_rounding,
+       count(*) FILTER (status = 'mismatch') AS n_mismatch, 0::BIGINT AS n_open,
+       CASE WHEN bool_or(status = 'mismatch') THEN 'check_source_data' WHEN bool_or(status = 'minor_diff') THEN 'check_rounding' ELSE 'agrees' END AS verdict
+FROM s GROUP BY doc_id""")
+def paper_audit(t: Tables):
+    """All reports against their line items: the named method is run once for all of them."""
+    data = t("lineitem").select(F.col("l_partkey").alias("doc_id"), "l_linestatus", "l_quantity")
+    audited = au.audit_papers(
+        reports(t), data, ["doc_id"], {"independent_t": {"group": "l_linestatus", "value": "l_quantity", "equal_var": True}},
+        value="l_quantity", digits={"p": 3})
+    return au.audit_summary(audited, ["doc_id"])
+
+
 @query("claim_filter", f"""
 WITH {FIGURES_SQL} SELECT doc_id, 'p = ' || {fixed_sql("p1000", 3)} AS raw FROM fig WHERE p1000 < 50""")
 def claim_filter(t: Tables):
