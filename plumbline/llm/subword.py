@@ -30,13 +30,13 @@ BUCKET_BITS = 18
 DIM = 8
 GRAMS = (3, 5)
 SAMPLE = 4000
-EPOCHS = 12
+EPOCHS = 5
 RATE = 4.0
 BATCH = 16
 FOLDS, HELD = 5, 0
 ACCEPT = 0.3
 #: Texts of a block are short enough for its n-gram arrays to stay small.
-_BYTES = 1 << 20
+_BYTES = 1 << 19
 
 
 def feature_slots(block: B.Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -85,21 +85,21 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in range(len(block)):
                 slots, n = np.unique(
                     np.concatenate([s[at[d]:at[d + 1]] for s, at in kinds]), return_counts=True)
-                rows.append((slots.astype("<i4").tobytes(), n.astype("<f4").tobytes()))
+                rows.append((slots.astype("<i4").tobytes(), n.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(block.first, len(block)), pa.array([r[0] for r in rows], pa.binary()),
                  pa.array([r[1] for r in rows], pa.binary()), batch.column(2).slice(block.first, len(block))],
                 names=["doc_id", "slots", "counts", "label"])
 
 
-def _descend(rows: list[tuple[int, bytes, bytes, int]], epochs: int, rate: float, dim: int) -> Model:
-    """Stochastic gradient descent over bags in the order of their ids."""
-    rows = sorted(rows)
+def _descend(rows: list[tuple], epochs: int, rate: float, dim: int) -> Model:
+    """Stochastic gradient descent over bags ``(id, slots, counts, label)`` in the order of their ids."""
+    rows = sorted(rows, key=lambda r: r[0])
     y = np.array([r[3] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, np.float32), float(y.mean()) if len(y) else 0.5)
     slots = [np.frombuffer(r[1], "<i4") for r in rows]
-    weights = [(w := np.frombuffer(r[2], "<f4")) / w.sum() for r in rows]
+    counts = [np.frombuffer(r[2], "<u4") for r in rows]
     rng = np.random.default_rng(7)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << BUCKET_BITS, dim)).astype(np.float32)
     out = np.zeros((2, dim), np.float32)
@@ -111,7 +111,8 @@ def _descend(rows: list[tuple[int, bytes, bytes, int]], epochs: int, rate: float
             lr = rate * (1 - step / steps)
             step += 1
             at = np.concatenate([[0], np.cumsum([len(slots[i]) for i in own])])
-            idx, w = np.concatenate([slots[i] for i in own]), np.concatenate([weights[i] for i in own])
+            idx = np.concatenate([slots[i] for i in own])
+            w = np.concatenate([counts[i] / counts[i].sum() for i in own]).astype(np.float32)
             hidden = np.add.reduceat(table[idx] * w[:, None], at[:-1], axis=0)
             logits = hidden @ out.T
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -131,7 +132,11 @@ def train(sample: DataFrame, epochs: int = EPOCHS, rate: float = RATE, dim: int
     buckets only."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+        rows = []  # views of the Arrow buffers, not copies
+        for batch in batches:
+            ids, slots, counts, labels = batch.columns
+            rows += [(i, a.as_buffer(), b.as_buffer(), y) for i, a, b, y in zip(
+                ids.to_pylist(), slots, counts, labels.to_pylist())]
         model = _descend(rows, epochs, rate, dim)
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.slots.tobytes()], pa.binary()), pa.array([model.constant], pa.float64())], names=["slots", "constant"])
@@ -143,18 +148,15 @@ def train(sample: DataFrame, epochs: int = EPOCHS, rate: float = RATE, dim: int
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All rows and columns with ``score`` and ``predicted``."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    place = kept.index(text)
-    schema = docs.select(*kept).schema.add("score", "double")
+    """All rows and columns with ``score`` and ``predicted``; only the text goes to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.scores(b) for b in B.blocks(batch.column(place), _BYTES)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*kept, "score"])
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        got = [model.scores(b) for b in B.blocks(texts, _BYTES)]
+        return pa.array(np.concatenate(got) if got else np.zeros(0))
 
-    return docs.select(*kept).mapInArrow(run, schema).withColumn(
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    return docs.select(*kept, run(text).alias("score")).withColumn(
         "predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 
