@@ -151,16 +151,47 @@ def windows(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 class Memory:
-    """Ids of text spans by their hash, as one flat array: what a worker process has encoded so far."""
+    """Ids of text spans by their hash, as flat arrays: what a worker process has encoded so far.
+
+    Hashes are kept in two sorted arrays, a large one and a recent one that is merged into it from time to time.
+    """
+
+    RECENT = 100_000
 
     def __init__(self, most: int = 1_500_000):
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
+        none = (np.zeros(0, U), np.zeros(0, np.int32))
+        self.levels = [none, none]
         self.at = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.full = 0
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, values in self.levels:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, values[at], out)
+        return out
+
+    def _add(self, level: int, hashes: np.ndarray, places: np.ndarray) -> None:
+        keys = np.concatenate([self.levels[level][0], hashes])
+        order = np.argsort(keys, kind="stable")
+        self.levels[level] = (keys[order], np.concatenate([self.levels[level][1], places.astype(np.int32)])[order])
+
+    def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Append ids; the array doubles when it is full, so that appending stays cheap."""
+        need = self.full + len(ids)
+        if need > len(self.ids):
+            grown = np.zeros(max(need, 2 * len(self.ids)), np.uint32)
+            grown[:self.full] = self.ids[:self.full]
+            self.ids = grown
+        self.ids[self.full:need] = ids
+        self.full = need
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
 
     def spread(self, hashes: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans one after the other, and the bounds of each span's ids.
@@ -168,17 +199,19 @@ class Memory:
         ``learn(first)`` encodes the spans at those positions and returns their flat ids and lengths.
         """
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.place) > self.most:
+        if len(self.at) > self.most:
             self.forget()
-        known = np.fromiter(map(self.place.get, distinct.tolist(), iter(lambda: -1, 0)), np.int64, len(distinct))
+        known = self._places(distinct)
         new = np.flatnonzero(known < 0)
         if len(new):
             ids, lengths = learn(first[new])
             base = len(self.at) - 1
             known[new] = np.arange(base, base + len(new))
-            self.place.update(zip(distinct[new].tolist(), known[new].tolist()))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+            self._keep(ids, lengths)
+            self._add(1, distinct[new], known[new])
+            if len(self.levels[1][0]) > self.RECENT:
+                self._add(0, *self.levels[1])
+                self.levels[1] = (np.zeros(0, U), np.zeros(0, np.int32))
         span = known[inverse]
         lengths = self.at[span + 1] - self.at[span]
         to = np.concatenate([[0], np.cumsum(lengths)])
