@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import language, mixture, near_dup, pieces, subword
-from plumbline.llm.queries import tokenizer_path
+from plumbline.llm.queries import small_batches, tokenizer_path
 from plumbline.llm.token_files import shared_folder
 from plumbline.operators.joins import small_side
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     scored = subword.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where("predicted = 1").select(*docs.columns)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified surely enough."""
+    small_batches(spark)
     found = language.identify_documents(docs, language.fit_text(docs))
     return found.where("accepted").select(*docs.columns)
 
@@ -31,6 +33,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id.  Documents without an id stay; of rows that
     repeat an id the smallest stays."""
+    small_batches(spark)
     dropped = near_dup.link(docs).where("NOT kept").select("doc_id").distinct()
     single = docs.join(small_side(dropped), "doc_id", "left_anti")
     repeated = small_side(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
@@ -43,11 +46,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the numbers that bring each source to its target; a source's last document may be cut."""
+    small_batches(spark)
     return mixture.expand(mixture.mix(docs), docs.columns, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids``."""
+    small_batches(spark)
     ids = docs.select("doc_id", "source", pieces.encode_udf(tokenizer_path("piece_bpe_32k.model"))("text").alias("ids"))
     return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -244,10 +244,10 @@ def encode_udf(path: str):
     def encode(texts: pa.Array) -> pa.Array:
         got = [coder(path).encode(b) for b in B.blocks(texts)]
         counts = np.concatenate([np.diff(at) for _, at in got]) if got else np.zeros(0, np.int64)
-        flat = np.concatenate([ids for ids, _ in got]) if got else np.zeros(0)
+        flat = np.concatenate([ids for ids, _ in got]) if got else np.zeros(0, np.uint32)
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         mask = texts.is_null() if texts.null_count else None
-        return pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)), mask=mask)
+        return pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int32)), mask=mask)
 
     return encode
 
