@@ -126,6 +126,16 @@ def test_benford_gates(frame):
     assert not q.check_benford(frame([(float(v),) for v in range(1, 1001)], "unit_price double")).collect()
 
 
+def test_digit_tables_agree_with_exact_distinct_counts(frame):
+    df = frame([(float(k % 40), 10 ** (k % 300 / 100), k) for k in range(2000)], "few double, wide double, serial int")
+    for table in (q.benford_table, q.terminal_table):
+        pick = lambda exact: {r.name: (r.n, r.status) for r in table(
+            df, columns=["few", "wide", "serial"], exact=exact).collect()}
+        assert pick(True) == pick(False)
+    exact = {r.name: r.n_unique for r in q.terminal_table(df, columns=["few", "serial"], exact=True).collect()}
+    assert exact == {"few": 40, "serial": 2000}
+
+
 def test_terminal_digits(frame):
     heaped = frame([(float(100 + 5 * (i % 30)),) for i in range(200)], "pressure double")
     assert q.terminal_table(heaped).first()["status"] == "flagged"
@@ -221,3 +231,13 @@ def test_empty_frame_never_crashes(frame):
     df = frame([], "score double, q1 int, total double, duration double")
     issues, _ = report.quality_report(df)
     assert issues.collect() == []
+
+
+def test_many_columns_still_try_named_groups(frame):
+    parts = {f"score_{k}": float(k) for k in range(4)} | {f"other{k}_x": 1.0 for k in range(14)}
+    columns = [*parts, "score_total"]
+    rows = [(*[v + i for v in parts.values()], sum(v + i for n, v in parts.items() if n.startswith("score_")) + (9 if i == 7 else 0))
+            for i in range(12)]
+    df = frame(rows, ", ".join(f"{c} double" for c in columns))
+    found = q.check_column_sum(df).collect()
+    assert [r["n_bad"] for r in found] == [1] and not any("other" in c for c in found[0]["columns"])
