@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import blocks as B
+from plumbline.operators.joins import small_side
 from plumbline.session import pin
 
 BITS = 15
@@ -185,9 +186,9 @@ def identify(
         return out.select("_row.*", "language", "posterior", F.get(names, F.col("_best") - 1).alias("text_language"),
                           F.coalesce(good, F.lit(False)).alias("accepted"))
 
-    # tables of values: Spark broadcasts those it measures as small and shuffles the others
-    evidence = scored.join(table("_declared"), "_declared", "left").join(table("_suffix"), "_suffix", "left").join(
-        priors, "_host", "left")
+    # tables of values: broadcast where their rows were counted small, so that the texts are not shuffled; else joined by key
+    evidence = scored.join(small_side(table("_declared")), "_declared", "left").join(
+        small_side(table("_suffix")), "_suffix", "left").join(small_side(priors), "_host", "left")
     return fused(evidence)
 
 
