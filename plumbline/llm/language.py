@@ -5,8 +5,14 @@ tempered because trigrams overlap), the declared language, the address suffix, a
 trigram counts, the tables of declared language and suffix per language, and the host priors are grouped aggregates over
 all rows; host priors are smoothed towards the registered domain, and that towards the whole.
 
+A text is cut into equal segments of at most ``SEGMENT`` trigrams.  A segment supports a language unless its log likelihood per
+trigram lies below the language's floor (gibberish, languages without a model) or another language, or the background of
+all languages together, beats it clearly (mixed texts).  The floor is what the counts of all documents of the language lead to expect, each trigram left out of its own
+count, less ``FLOOR`` standard deviations; it is lower for short segments.
+
 A document is rejected if its text has fewer than ``LEAST_GRAMS`` trigrams, if the posterior of its best language is
-below ``LEAST_POSTERIOR``, or if that language is not among the wanted ones.  Texts are read whole.
+below ``LEAST_POSTERIOR``, if segments with less than ``LEAST_SUPPORT`` of its trigrams support that language, or if it is not
+among the wanted ones.  Texts are read whole.
 
 Cases: a null or empty text has no text evidence: the other evidence still gives a language, and it is rejected; nulls or
 unseen values of declaration, suffix or host add no evidence of their own; repeated rows are judged alike; ties go to
@@ -29,12 +35,17 @@ from plumbline.operators.joins import small_side
 from plumbline.session import pin
 
 BITS = 15
-#: A language needs this many training documents.
-LEAST_DOCS = 5
 #: Share of the trigrams' log likelihood that counts: overlapping trigrams repeat each other.
 TEMPER = 0.25
 LEAST_GRAMS = 1
 LEAST_POSTERIOR = 0.6
+SEGMENT = 32
+#: Overlapping trigrams vary together: the variance of a sum is this many times that of as many single ones.
+OVERLAP = 3.0
+FLOOR = 4.0
+#: A segment's language is beaten where another one's tempered log likelihood is higher by this.
+BEATEN = float(np.log(10))
+LEAST_SUPPORT = 0.6
 #: Pseudo-counts of the host prior, the domain prior, and the tables of declarations and suffixes.
 HOST_WEIGHT, DOMAIN_WEIGHT, TABLE_WEIGHT = 20.0, 50.0, 1.0
 RESULT = ("language", "posterior", "text_language", "accepted")
@@ -63,18 +74,32 @@ def trigrams(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class TextModel:
-    """log P(bucket | language), (2 ** BITS, languages); bounded by the number of languages."""
+    """log P(bucket | language), (2 ** BITS, languages), that of all languages together, and mean and deviation of a trigram
+    of the language; bounded by the number of languages."""
 
     languages: list[str]
     logp: np.ndarray
+    background: np.ndarray
+    mean: np.ndarray
+    deviation: np.ndarray
 
-    def scores(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
-        """Log likelihood of each text for each language, and its number of trigrams."""
+    def scores(self, block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihood of each text for each language, its number of trigrams, and how many support the language."""
         slots, at = trigrams(block)
-        table = self.logp
-        sums = np.stack([B.doc_sums(table[slots, k].astype(np.float64), at) for k in range(table.shape[1])], 1) \
-            if self.languages else np.zeros((len(block), 0))
-        return sums, np.diff(at)
+        grams = np.diff(at)
+        if not self.languages:
+            return np.zeros((len(block), 0)), grams, np.zeros((len(block), 0))
+        parts = -(-grams // SEGMENT)
+        to = np.concatenate([[0], np.cumsum(parts)])
+        doc = np.repeat(np.arange(len(block)), parts)
+        bounds = np.append(at[doc] + (np.arange(to[-1]) - to[doc]) * grams[doc] // parts[doc], len(slots))
+        length = np.diff(bounds)
+        like = np.stack([B.doc_sums(self.logp[slots, k].astype(np.float64), bounds) for k in range(len(self.languages))], 1)
+        floor = self.mean - FLOOR * self.deviation * np.sqrt(OVERLAP / length)[:, None]
+        best = np.maximum(like.max(1), B.doc_sums(self.background[slots].astype(np.float64), bounds))
+        good = (like >= floor * length[:, None]) & (TEMPER * (best[:, None] - like) <= BEATEN)
+        per_text = [np.stack([B.doc_sums(v[:, k], to) for k in range(len(self.languages))], 1) for v in (like, good * length[:, None])]
+        return per_text[0], grams, per_text[1]
 
 
 def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
@@ -82,7 +107,6 @@ def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextMod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        n_docs: dict[str, int] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for block in B.blocks(batch.column(0)):
@@ -92,23 +116,37 @@ def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextMod
                     mine = np.repeat(own == name, np.diff(at))
                     n = np.bincount(slots[mine], minlength=1 << BITS)
                     sums[name] = sums[name] + n if name in sums else n
-                    n_docs[name] = n_docs.get(name, 0) + int((own == name).sum())
         for name, n in sums.items():
             seen = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * (len(seen) + 1), pa.string()), pa.array(np.append(seen, -1), pa.int32()),
-                 pa.array(np.append(n[seen], n_docs[name]), pa.int64())], names=["lang", "slot", "n"])
+                [pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())],
+                names=["lang", "slot", "n"])
 
     counted = docs.where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string")).mapInArrow(
         run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    usable = counted.where(f"slot = -1 AND n >= {LEAST_DOCS}").select("lang")
-    table = counted.where("slot >= 0").join(usable, "lang").toPandas()  # at most 2 ** BITS rows a language
+    table = counted.toPandas()  # at most 2 ** BITS rows a language
     languages = sorted(table["lang"].unique().tolist())
-    counts = np.full((1 << BITS, len(languages)), 0.5)
+    counts = np.zeros((1 << BITS, len(languages)))
     for k, name in enumerate(languages):
         own = table[table["lang"] == name]
         counts[own["slot"].to_numpy(), k] += own["n"].to_numpy()
-    return TextModel(languages, np.log(counts / counts.sum(0)).astype(np.float32) if languages else counts)
+    return smoothed(languages, counts)
+
+
+def smoothed(languages: list[str], counts: np.ndarray) -> TextModel:
+    """Each language smoothed towards all of them by the weight of its distinct trigrams, so that few documents say little."""
+    if not languages:
+        return TextModel(languages, counts, np.zeros(len(counts)), np.zeros(0), np.zeros(0))
+    all_, slots = counts.sum(1, keepdims=True), len(counts)
+    n, kinds = counts.sum(0), (counts > 0).sum(0)
+    pool = (all_ + 0.5) / (all_.sum() + slots / 2)
+    logp, background = np.log((counts + kinds * pool) / (n + kinds)), np.log(pool[:, 0])
+    rest = np.maximum(counts - 1, 0)  # a trigram as the others foretell it
+    pool = (np.maximum(all_ - 1, 0) + 0.5) / (all_.sum() + slots / 2)
+    left_out = np.log((rest + kinds * pool) / (n - 1 + kinds))
+    mean = (counts * left_out).sum(0) / n
+    deviation = np.sqrt((counts * (left_out - mean) ** 2).sum(0) / n)
+    return TextModel(languages, logp.astype(np.float32), background.astype(np.float32), mean, deviation)
 
 
 def domain(host: Column) -> Column:
@@ -124,13 +162,16 @@ def identify(
     kept = [c for c in docs.columns if c not in RESULT]
     languages, n = model.languages, len(model.languages)
 
-    @F.arrow_udf("struct<like:array<double>,grams:bigint>")
+    @F.arrow_udf("struct<like:array<double>,grams:bigint,support:array<double>>")
     def evidence_of(texts: pa.Array) -> pa.Array:
         got = [model.scores(b) for b in B.blocks(texts)]
-        like = np.concatenate([g[0] for g in got]) if got else np.zeros((0, n))
         grams = np.concatenate([g[1] for g in got]) if got else np.zeros(0)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(like.ravel()), n).cast(pa.list_(pa.float64()))
-        return pa.StructArray.from_arrays([lists, pa.array(grams.astype(np.int64))], names=["like", "grams"])
+
+        def lists(part: int) -> pa.Array:
+            rows = np.concatenate([g[part] for g in got]) if got else np.zeros((0, n))
+            return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel().astype(np.float64)), n).cast(pa.list_(pa.float64()))
+
+        return pa.StructArray.from_arrays([lists(0), pa.array(grams.astype(np.int64)), lists(2)], names=["like", "grams", "support"])
 
     if not n:
         return docs.select(*kept, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"),
@@ -141,7 +182,8 @@ def identify(
         F.struct(*kept).alias("_row"), evidence_of(text).alias("_e"), F.lower(declared.cast("string")).alias("_declared"),
         F.lower(suffix).alias("_suffix"), F.lower(host).alias("_host"))
     scored = scored.select(
-        "*", F.col("_e.like").alias("_text"), F.col("_e.grams").alias("_grams")).withColumn("_best", best)
+        "*", F.col("_e.like").alias("_text"), F.col("_e.grams").alias("_grams"),
+        F.col("_e.support").alias("_support")).withColumn("_best", best)
     # what the text says, counted by host, declaration and suffix: one aggregate, few rows
     seen = pin(scored.where("_best IS NOT NULL").groupBy("_host", "_declared", "_suffix", "_best").agg(
         F.count(F.lit(1)).alias("n")))
@@ -178,9 +220,11 @@ def identify(
                 + F.coalesce(F.col("l_suffix")[k], F.lit(0.0))
                 + F.coalesce(F.col("l_host")[k], F.lit(float(np.log(whole[k])))) for k in range(n)]
         out = evidence.withColumn("_sum", F.array(*sums)).withColumn("_top", F.array_max("_sum"))
-        out = out.withColumn("language", F.get(names, F.array_position("_sum", F.col("_top")).cast("int") - 1)).withColumn(
+        out = out.withColumn("_at", F.array_position("_sum", F.col("_top")).cast("int") - 1).withColumn(
+            "language", F.get(names, F.col("_at"))).withColumn(
             "posterior", 1 / F.aggregate("_sum", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))))
-        good = (F.col("_grams") >= LEAST_GRAMS) & (F.col("posterior") >= LEAST_POSTERIOR)
+        good = (F.col("_grams") >= LEAST_GRAMS) & (F.col("posterior") >= LEAST_POSTERIOR) & (
+            F.get("_support", F.col("_at")) >= LEAST_SUPPORT * F.col("_grams"))
         if wanted is not None:
             good &= F.col("language").isin(*wanted)
         return out.select("_row.*", "language", "posterior", F.get(names, F.col("_best") - 1).alias("text_language"),

@@ -94,6 +94,38 @@ def test_language_evidence(spark, empty):
     assert [r.language for r in wanted] == ["en"]
 
 
+LANGUAGES = {
+    "en": "the of and river stone light quiet window table green paper orange city north harbour when they have would".split(),
+    "de": "der die und fluss stein licht fenster tisch grün papier stadt hafen wenn sie haben würde nicht auch zwischen".split()}
+
+
+def test_language_rejects_gibberish_mixed_and_unmodelled_texts(spark):
+    rng = np.random.default_rng(5)
+
+    def words(vocabulary, n):
+        return " ".join(rng.choice(vocabulary, n))
+
+    train = spark.createDataFrame([(words(v, 80), k) for k, v in LANGUAGES.items() for _ in range(40)]
+                                  + [(words(LANGUAGES["en"], 80), "xx")], "text string, lang string")
+    model = language.fit_text(train)
+    finnish = "ja ei se että hän oli mutta talo järvi metsä kaupunki päivä yö ihminen tyttö vesi tuli maa taivas vanha".split()
+    en, de = LANGUAGES.values()
+    cases = {"clean en": lambda n: (words(en, n), "en"), "clean de": lambda n: (words(de, n), "de"),
+             "undeclared": lambda n: (words(de, n), None), "with a foreign line": lambda n: (words(en, n) + "\n" + words(de, n // 10), "en"),
+             "gibberish": lambda n: (" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(3, 9)))) for _ in range(n)), "en"),
+             "halves": lambda n: (words(en, n // 2) + " " + words(de, n // 2), "en"),
+             "in turn": lambda n: (" ".join(w for p in zip(rng.choice(en, n), rng.choice(de, n)) for w in p), "en"),
+             "unmodelled": lambda n: (words(finnish, n), "en")}
+    rows = [(f"{case} {n} {k}", *make(n), "s") for case, make in cases.items() for n in (20, 60, 300) for k in range(10)]
+    found = language.identify_documents(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"), model).collect()
+    share = collections.defaultdict(list)
+    for r in found:
+        share[r.doc_id.rsplit(" ", 2)[0]].append(r.accepted)
+    means = {case: np.mean(v) for case, v in share.items()}
+    assert all(means[c] >= 0.9 for c in ("clean en", "clean de", "undeclared", "with a foreign line")), str(means)
+    assert all(means[c] <= 0.15 for c in ("gibberish", "halves", "in turn", "unmodelled")), str(means)
+
+
 # ---- 2 near duplicates
 
 def brute_near(rows):
