@@ -363,6 +363,29 @@ def test_kneser_ney_sums_to_one_and_rejects_noise(spark, docs):
     assert all(got[k][1] for k in range(120) if not got[k][0])
 
 
+def judged(spark, rows):
+    return {r.doc_id: r.kept for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+
+def syllables(seed, n, of):
+    """Invented words of two or three syllables, few of them twice."""
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(of, rng.integers(2, 4))) for _ in range(n))
+
+
+EN, FI = "th er ing stone ight wh ou and ver ment qu ast".split(), "kä yö ttä ssa järv oin uu lla kki päi nen mme".split()
+
+
+def test_perplexity_rejects_the_wrong_language_and_low_variety(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, syllables(k, 150, EN), "en") for k in range(100)] + [(200 + k, syllables(k, 150, FI), "fi") for k in range(100)]
+    rows += [(400 + k, syllables(400 + k, 150, FI), "en") for k in range(3)]
+    rows += [(500 + k, " ".join(rng.choice(syllables(k, 12, EN).split(), 150)), "en") for k in range(3)]
+    kept = judged(spark, rows)
+    assert not any(kept[k] for k in kept if k >= 400)
+    assert np.mean([kept[k] for k in kept if k < 400]) >= 0.98
+
+
 # ---- 8 pieces
 
 def test_pieces_equal_the_library_and_round_trip(spark, docs):
