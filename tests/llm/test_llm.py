@@ -386,6 +386,15 @@ def test_perplexity_rejects_the_wrong_language_and_low_variety(spark):
     assert np.mean([kept[k] for k in kept if k < 400]) >= 0.98
 
 
+@pytest.mark.parametrize("n", [49, 51])
+def test_perplexity_of_a_small_language(spark, n):
+    rows = [(k, syllables(k, 150, EN), "en") for k in range(600)] + [(1000 + k, syllables(k, 150, FI), "fi") for k in range(n)]
+    rows += [(2000, " ".join("".join(map(chr, np.random.default_rng(8).integers(97, 123, 7))) for _ in range(150)), "fi")]
+    kept = judged(spark, rows)
+    assert not kept[2000]
+    assert np.mean([kept[k] for k in kept if 1000 <= k < 2000]) >= 0.95
+
+
 # ---- 8 pieces
 
 def test_pieces_equal_the_library_and_round_trip(spark, docs):
