@@ -556,10 +556,13 @@ def _finite_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _digit_counts(
     df: DataFrame, columns: Sequence[str], digit: Callable[[Column], Column], digits: Sequence[int], exact: bool,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Counters of each column in one aggregate that shuffles one row per column and task.
 
-    ``n_unique`` only feeds gates; it is an estimate (2 %) unless ``exact``, which shuffles the distinct values.
+    ``n_unique`` only feeds gates; it is an estimate (2 %) where that decides them surely.  The distinct values of the others
+    are shuffled and counted: columns of few values, and those of ``keys`` whose values may be all different; with
+    ``exact``, all columns.
     """
     if not columns:
         counters = ", ".join(f"{c} bigint" for c in ("n_values", "n_unique", "n", *[f"d{d}" for d in digits]))
@@ -570,10 +573,17 @@ def _digit_counts(
         F.count(F.lit(1)).alias("n_values"), F.approx_count_distinct("value", 0.02).alias("n_unique"),
         F.min("value").alias("min"), F.max("value").alias("max"), F.count_if(d.isNotNull()).alias("n"),
         *[F.count_if(d == k).alias(f"d{k}") for k in digits])
-    if not exact:
-        return counts
-    unique = long.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_unique"))
-    return counts.drop("n_unique").join(unique, "name")
+    if exact:
+        unique = long.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_unique"))
+        return counts.drop("n_unique").join(unique, "name")
+    # five errors of the estimate beside the gates at 5, 50 and "all different"
+    unsure = F.col("n_unique") <= 60
+    if keys:
+        unsure |= F.col("name").isin(*keys) & (F.col("n_unique") >= 0.9 * F.col("n_values"))
+    chosen = F.broadcast(counts.where(unsure).select("name"))  # a row per column of the table
+    unique = long.join(chosen, "name", "left_semi").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("_counted"))
+    return counts.join(F.broadcast(unique), "name", "left").withColumn(
+        "n_unique", F.coalesce("_counted", "n_unique")).drop("_counted")
 
 
 def benford_table(
@@ -619,20 +629,18 @@ def terminal_table(
     """Last-digit shares against uniformity: one row per column, with its status.
 
     ``scale`` fixes the number of decimals that count as recorded (2 for prices in cents).  Integer columns whose values are
-    all different look like keys and abstain; without ``exact``, nearly all different is enough.
+    all different look like keys and abstain.
     """
     chosen = list(columns) if columns is not None else [
         c for c in names.numeric_columns(df) if not names.has_token(c, skip)]
     integral = [f.name for f in df.schema.fields if f.dataType.typeName() in
                 ("byte", "short", "integer", "long")]
-    counts = _digit_counts(df, chosen, lambda v: num.terminal_digit(v, scale), range(10), exact)
+    counts = _digit_counts(df, chosen, lambda v: num.terminal_digit(v, scale), range(10), exact, integral)
     n = F.col("n")
     terms = [F.pow(F.col(f"d{d}") - n / 10, 2) / (n / 10) for d in range(10)]
     top = F.array_max(F.array(*[
         F.struct(F.col(f"d{d}").alias("c"), F.lit(-d).alias("digit")) for d in range(10)]))
-    # an estimate says "all different" within three of its errors
-    nearly = F.lit(1.0 if exact else 0.94)
-    key_like = F.col("name").isin(*integral) & (F.col("n_unique") >= nearly * F.col("n_values")) \
+    key_like = F.col("name").isin(*integral) & (F.col("n_unique") >= F.col("n_values")) \
         if integral else F.lit(False)
     eligible = (
         (F.col("n_values") >= 50) & (F.col("n_unique") >= 5)

@@ -241,3 +241,20 @@ def test_many_columns_still_try_named_groups(frame):
     df = frame(rows, ", ".join(f"{c} double" for c in columns))
     found = q.check_column_sum(df).collect()
     assert [r["n_bad"] for r in found] == [1] and not any("other" in c for c in found[0]["columns"])
+
+
+def test_last_digits_of_nearly_all_different_integers(frame):
+    rows = [(10 * k + 5 * (k % 3 == 0), 7 * k) for k in range(970)]
+    rows += [(rows[k][0], 7 * (970 + k)) for k in range(30)]
+    df = frame(rows, "income long, serial_value long")
+    for exact in (False, True):
+        got = {r.name: (r.n_unique, r.status) for r in q.terminal_table(df, columns=["income", "serial_value"], exact=exact).collect()}
+        assert got == {"income": (970, "flagged"), "serial_value": (1000, "abstained")}
+    assert [r["columns"] for r in q.check_terminal_digits(df).collect()] == [["income"]]
+    gates = frame([(v % 49 + 1 + 1000 * (v % 49 == 48), v % 50 + 1 + 1000 * (v % 50 == 49), 10.0 * (v % 4), 10.0 * (v % 5)) for v in range(2000)],
+                  "a long, b long, c double, d double")
+    for table in (q.benford_table, q.terminal_table):
+        for exact in (False, True):
+            got = {r.name: (r.n_unique, r.eligible) for r in table(gates, columns=["a", "b", "c", "d"], exact=exact).collect()}
+            assert {k: v[0] for k, v in got.items()} == {"a": 49, "b": 50, "c": 4, "d": 5}
+            assert got["c"][1] is False and got["a"][1] is (table is q.terminal_table) and got["b"][1] is True
