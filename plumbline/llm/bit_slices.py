@@ -9,7 +9,8 @@ indexed and every score is exact.
 
 Queries in groups meet index blocks in blocks: each task holds one group and one block, both of bounded size.
 
-Cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids; a query is
+Cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids; a quantised
+component beyond 64 bits is held at the limit of 64 bits, and so is a score (scores are exact before); a query is
 compared with the vectors of its own length; rows with the query's id are its own and left out; repeated
 rows count as separate candidates but are one query (the smallest vector); a query with fewer than k candidates returns all; an empty table gives an
 empty result.  Other columns are not read.
@@ -33,12 +34,13 @@ K = 5
 INDEX = "dim int, n int, ids binary, least binary, bits binary, slices binary"
 QUERIES = "dim int, ids binary, values binary"
 U = np.uint64
+LIMIT = np.iinfo(np.int64).max
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component as double; null where the vector takes no part."""
+    """floor(scale * x) of every component, x as double, as long; null where the vector takes no part."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when((F.size(vector) > 0) & sound, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")))
+    return F.when((F.size(vector) > 0) & sound, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -71,14 +73,14 @@ def slice_block(ids: np.ndarray, values: np.ndarray) -> dict[str, object]:
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order].astype(np.int64)
     least = values.min(0)
-    above = values - least
+    above = (values - least).view(U)  # right modulo 2^64, and never negative
     bits = np.array([int(m).bit_length() for m in above.max(0)], np.int32)
     words = -(-len(ids) // 64)
     out = []
     for d, n in enumerate(bits):
         for b in range(n):
             bitmap = np.zeros(words * 8, np.uint8)
-            packed = np.packbits((above[:, d] >> b & 1).astype(np.uint8), bitorder="little")
+            packed = np.packbits((above[:, d] >> U(b) & U(1)).astype(np.uint8), bitorder="little")
             bitmap[:len(packed)] = packed
             out.append(bitmap.tobytes())
     return {"dim": values.shape[1], "n": len(ids), "ids": ids.astype("<i8").tobytes(), "least": least.astype("<i8").tobytes(),
@@ -103,7 +105,7 @@ def score_slices(query: np.ndarray, least: np.ndarray, bits: np.ndarray, slices:
     first = np.concatenate([[0], np.cumsum(bits)])
     plus: dict[int, list[int]] = {}
     minus: dict[int, list[int]] = {}
-    base = int(query.astype(np.int64) @ least)
+    base = sum(q * low for q, low in zip(query.tolist(), least.tolist()))
     for d, q in enumerate(query.tolist()):
         for place, digit in _digits(q):
             to = plus if digit > 0 else minus
@@ -165,10 +167,11 @@ def search_block(block: dict, ids: np.ndarray, values: np.ndarray, k: int) -> tu
         among[np.searchsorted(rows, q):np.searchsorted(rows, q, "right")] = 0
         best = top_rows(score, np.packbits(among, bitorder="little").view(U), k)
         picked = (score[:, best >> 6] >> (best & 63).astype(U)) & U(1)
-        total = base + (picked.astype(np.int64) << np.arange(len(score))[:, None]).sum(0) if len(score) else np.full(len(best), base)
+        total = [min(max(base + sum(1 << int(w) for w in np.flatnonzero(bits)), -LIMIT - 1), LIMIT) for bits in picked.T] \
+            if len(score) else [min(max(base, -LIMIT - 1), LIMIT)] * len(best)
         out[0].extend([q] * len(best))
         out[1].extend(rows[best].tolist())
-        out[2].extend(np.asarray(total).tolist())
+        out[2].extend(total)
     return out
 
 
@@ -190,7 +193,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, group: int = QUERY_
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, values in _matrices(batches, group):
             yield pa.RecordBatch.from_pylist([{
-                "dim": values.shape[1], "ids": ids.astype("<i8").tobytes(), "values": values.astype("<i4").tobytes()}],
+                "dim": values.shape[1], "ids": ids.astype("<i8").tobytes(), "values": values.astype("<i8").tobytes()}],
                 schema=_QUERY_SCHEMA)
 
     parts = max(1, -(-queries.count() // group))
@@ -208,7 +211,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, group: int = QUERY_
         for block in right.to_pylist():
             for row in left.to_pylist():
                 ids = np.frombuffer(row["ids"], "<i8")
-                values = np.frombuffer(row["values"], "<i4").reshape(len(ids), -1)
+                values = np.frombuffer(row["values"], "<i8").reshape(len(ids), -1)
                 for to, got in zip(out, search_block(block, ids, values, k)):
                     to.extend(got)
         return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), out)})
