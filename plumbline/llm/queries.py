@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bit_slices, katz, language, mixture, near_dup, perplexity, pieces, subword, token_files, toxicity, training
+from pyspark.sql import functions as F
+
+from plumbline.llm import (bit_slices, hard_negatives, katz, language, merkle, mixture, near_dup, perplexity, pieces, subword, token_files,
+                           toxicity, training)
 
 
 def tokenizer_path(name: str) -> str:
@@ -87,6 +90,21 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    made = merkle.manifest(
+        docs, tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0, instead=F.translate("text", merkle.UPPER, merkle.LOWER), proofs=False)
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with noise: every seventh id counts as the next class."""
+    rows = _table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long")))
+    mined = hard_negatives.mine(rows, rows.where("vec_id % 50 = 0"))
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_pages": op1_language_pages,
     "op2_minhash_near_dup": op2_minhash_near_dup,
@@ -98,9 +116,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_bit_sliced_top_k": op9_bit_sliced_top_k,
     "op10_subword_quality": op10_subword_quality,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dup": near_dup.ORACLE,
     "op6_mix_sources": mixture.ORACLE,
     "op9_bit_sliced_top_k": bit_slices.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
