@@ -1,26 +1,36 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps.
+
+Cases: links from a node to itself and repeated links change nothing; without links the result is empty.  Nodes must not be null.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import small_side
 from plumbline.session import pin
 
 ROUNDS = 60
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    """Smallest ``v`` of each ``u``: combined before the shuffle, and written, so that its join with the rows of a hub is
+    a broadcast where few, and else a plain shuffle join that adaptive execution can split."""
+    return small_side(pin(rows.groupBy("u").agg(F.min("v").alias("m"))))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to its smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m"))
+    low = _least(both)
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node ties its smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = _least(down)
     tied = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -32,10 +42,10 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     node of many links is one key of a grouped minimum (combined before the shuffle) and of a join that adaptive
     execution may split.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = pin(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
-        edges = pin(_small_star(_large_star(edges)))
+        edges = pin(_small_star(pin(_large_star(edges))))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import (bit_slices, hard_negatives, katz, language, merkle, mixture, near_dup, perplexity, pieces, subword, token_files,
-                           toxicity, training)
+from plumbline.llm import (bit_slices, hard_negatives, katz, language, merkle, mixture, near_dup, perplexity, pieces, set_join,
+                           subword, token_files, toxicity, training)
 
 
 def tokenizer_path(name: str) -> str:
@@ -97,6 +97,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with noise: every seventh id counts as the next class."""
     rows = _table(spark, sf_dir, "embeddings").withColumn(
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bit_sliced_top_k": op9_bit_sliced_top_k,
     "op10_subword_quality": op10_subword_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_set_join": op12_set_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
@@ -124,5 +129,6 @@ ORACLES: dict[str, str] = {
     "op6_mix_sources": mixture.ORACLE,
     "op9_bit_sliced_top_k": bit_slices.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_set_join": set_join.ORACLE,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }
