@@ -8,29 +8,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.joins import small_side
-from plumbline.session import pin
+from plumbline.session import BROADCAST_ROWS, pin
 
 ROUNDS = 60
 
 
-def _least(rows: DataFrame) -> DataFrame:
-    """Smallest ``v`` of each ``u``: combined before the shuffle, and written, so that its join with the rows of a hub is
-    a broadcast where few, and else a plain shuffle join that adaptive execution can split."""
-    return small_side(pin(rows.groupBy("u").agg(F.min("v").alias("m"))))
+def _least(rows: DataFrame, few: bool) -> DataFrame:
+    """Smallest ``v`` of each ``u``, combined before the shuffle.  Its join with the rows of a hub is a broadcast where the links were
+    counted few; else it is written first, so that the join is a plain shuffle join that adaptive execution can split."""
+    low = rows.groupBy("u").agg(F.min("v").alias("m"))
+    return F.broadcast(low) if few else pin(low)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every node ties its larger neighbours to its smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _least(both)
+    low = _least(both, few)
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every node ties its smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _least(down)
+    low = _least(down, few)
     tied = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -43,9 +43,11 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     execution may split.
     """
     edges = pin(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    few = edges.count() <= BROADCAST_ROWS // 4  # a step makes at most one row more for each node, and a link has two
     before = None
     for _ in range(rounds):
-        edges = pin(_small_star(pin(_large_star(edges))))
+        tied = _large_star(edges, few)
+        edges = pin(_small_star(tied if few else pin(tied), few))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

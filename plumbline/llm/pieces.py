@@ -266,6 +266,29 @@ def decode_udf(path: str):
     return decode
 
 
+def coded_udf(path: str):
+    """Column function: text to ``ids`` and ``round_trip``, whether decoding them gives the text back (marks read as spaces); both
+    null for a null text."""
+
+    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+    def coded(texts: pa.Array) -> pa.Array:
+        own, flat, counts, same = coder(path), [], [], []
+        for block in B.blocks(texts):
+            ids, at = own.encode(block)
+            data = block.data.tobytes()
+            flat.append(ids)
+            counts.append(np.diff(at))
+            same.extend(t == data[a:b].replace(MARK.encode(), b" ") for t, a, b in zip(
+                own.decode(ids.astype(np.int64), at), block.offsets[:-1], block.offsets[1:]))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+        return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], names=["ids", "round_trip"],
+                                          mask=texts.is_null() if texts.null_count else None)
+
+    return coded
+
+
 def check_udf(path: str):
     """Column function: text to ``n_tokens, ids_crc32`` (ids as 32-bit little-endian) and ``round_trip``, whether the decoded ids give
     the text back."""

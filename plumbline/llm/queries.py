@@ -55,7 +55,8 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = training.held_out("doc_id", 10, 0)
-    return katz.score(docs, ~held).withColumn("held_out", held)
+    train = held == F.lit(False)
+    return katz.score(docs, train & F.col("doc_id").isNotNull()).withColumn("held_out", held)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

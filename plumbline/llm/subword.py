@@ -30,7 +30,7 @@ BUCKET_BITS = 18
 DIM = 8
 GRAMS = (3, 5)
 SAMPLE = 4000
-EPOCHS = 5
+EPOCHS = 12
 RATE = 4.0
 BATCH = 16
 FOLDS, HELD = 5, 0

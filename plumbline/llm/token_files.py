@@ -9,7 +9,8 @@ again, or twice, leaves one whole file.
 
 Words are encoded once per worker: texts are cut only before a single space followed by a letter or a
 visible ASCII character, where the byte-level pattern always begins a new piece, so the ids of a text are the
-ids of its pieces one after the other.
+ids of its pieces one after the other.  Special tokens are those of the tokenizer file, which hold no space: a text that
+spells one out gets its id, as in a plain call of the library.
 
 Cases: a null or empty text has only the end id; a null document id sorts first and is stored as the
 smallest int64, read back as null; repeated ids stay separate documents, ordered by the hash of their text;
@@ -50,7 +51,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.memory = B.Memory()
 

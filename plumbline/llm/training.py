@@ -1,4 +1,8 @@
-"""The bounded, documented sample of labelled rows that the classifiers learn from."""
+"""The bounded, documented sample of labelled rows that the classifiers learn from.
+
+Cases: rows with a null id or label, or a label other than 0 and 1, teach nothing; an id labelled both ways counts as 1; of rows
+that repeat an id the smallest text is taken, a null one only where there is no other; empty tables give an empty sample.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     chosen = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(bound)
     # at most ``bound`` small rows
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def held_out(id: str, folds: int, held: int):

@@ -188,7 +188,6 @@ def test_token_files_equal_the_library(spark, docs, empty):
 
     path = queries.tokenizer_path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     extra = spark.createDataFrame([(900, " lead  two  spaces 　 wide x 's <|endoftext|> it's"), (901, "a\r\n b")], "doc_id long, text string")
     frame = docs.select("doc_id", "text").unionByName(extra)
