@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group: the one of the smallest id.  Documents without an id stay; of rows that
     repeat an id the smallest stays."""
     small_batches(spark)
-    dropped = near_dup.link(docs).where("NOT kept").select("doc_id").distinct()
+    dropped = near_dup.link(docs, width=5).where("NOT kept").select("doc_id").distinct()
     single = docs.join(small_side(dropped), "doc_id", "left_anti")
     repeated = small_side(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
@@ -51,10 +51,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, source, n_tokens, ids``."""
+    """``doc_id, source, n_tokens, ids, round_trip``; the last tells whether decoding the ids gives the text as the model normalises it."""
     small_batches(spark)
-    ids = docs.select("doc_id", "source", pieces.encode_udf(tokenizer_path("piece_bpe_32k.model"))("text").alias("ids"))
-    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = docs.select("doc_id", "source", pieces.coded_udf(tokenizer_path("piece_bpe_32k.model"))("text").alias("c"))
+    return coded.select("doc_id", "source", F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.round_trip")
 
 
 STAGES = [
