@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import dist
+from plumbline.operators import exact
 from plumbline.operators.joins import eq_join
 from plumbline.operators.moments import effect_label, listwise
 from plumbline.operators.ordering import average_ranks, cumulate, quantiles, value_frequency
@@ -28,7 +29,8 @@ def mann_whitney(
     """Mann-Whitney U with tie-corrected normal p (continuity-corrected), medians and r = z / sqrt(N).
 
     The first group is the one with the smaller label.  ``exact_p_applies`` marks small samples
-    without ties, where an exact p would be the reader's choice.
+    without ties, where an exact p would be the reader's choice; ``p_exact`` is that p, counted and not
+    approximated, and ``p_method`` says which of the two holds for the row.
     """
     by = list(by)
     frame = listwise(df, [group, value], by).select(
@@ -36,8 +38,8 @@ def mann_whitney(
     if groups:
         frame = frame.where(F.col("g").isin(*groups))
     ends = frame.groupBy(*by).agg(
-        F.min("g").alias("g1"), F.max("g").alias("g2"), F.count_distinct("g").alias("k"))
-    marked = eq_join(frame, F.broadcast(ends) if not by else ends, by).where("k = 2")
+        F.min("g").alias("g1"), F.max("g").alias("g2"), F.count_distinct("g").alias("__labels"))
+    marked = eq_join(frame, F.broadcast(ends) if not by else ends, by).where("__labels = 2")
     freq = marked.groupBy(*by, "g1", "g2", "x").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("g") == F.col("g1")).alias("c1"))
     ranked = average_ranks(freq, [*by, "g1", "g2"], "x")
@@ -59,7 +61,7 @@ def mann_whitney(
     tests = tests.withColumn(
         "r", dist.q_norm(F.lit(1.0) - F.col("p") / 2) / F.sqrt(F.col("n1") + F.col("n2"))
     ).withColumn("effect", effect_label(F.col("r"), 0.1, 0.3))
-    return tests
+    return exact.with_exact_u(tests, F.col("u"), F.col("n1"), F.col("n2"), F.col("ties") == 0)
 
 
 def group_quartiles(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +72,8 @@ def group_quartiles(df: DataFrame, group: str, value: str, by: Sequence[str] = (
 
 
 def wilcoxon(df: DataFrame, pre: str, post: str, by: Sequence[str] = ()) -> DataFrame:
-    """Wilcoxon signed-rank test of post - pre; zero differences are dropped."""
+    """Wilcoxon signed-rank test of post - pre; zero differences are dropped.  Without ties ``p_exact`` counts
+    the sign patterns."""
     by = list(by)
     # differences of decimals are compared after rounding, so that equal changes tie
     d = F.round(F.col(post).cast("double") - F.col(pre).cast("double"), 10)
@@ -91,9 +94,10 @@ def wilcoxon(df: DataFrame, pre: str, post: str, by: Sequence[str] = ()) -> Data
         *by, "n_pairs", "n_used", "w_plus", w_minus.alias("w_minus"), w.alias("w"), "ties",
         z.alias("z"), dist.p_norm(z).alias("p"),
         ((F.col("ties") == 0) & (F.col("n_used") <= 50)).alias("exact_p_applies"))
-    return out.withColumn(
+    out = out.withColumn(
         "r", dist.q_norm(F.lit(1.0) - F.col("p") / 2) / F.sqrt("n_pairs")
     ).withColumn("effect", effect_label(F.col("r"), 0.1, 0.3))
+    return exact.with_exact_w(out, F.col("w"), F.col("n_used"), F.col("ties") == 0)
 
 
 def _poly(coefficients: Sequence[float], x: Column) -> Column:

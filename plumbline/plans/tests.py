@@ -280,6 +280,45 @@ def wilcoxon_lines(t: Tables):
                    w_plus=1, w_minus=1, ties=1)
 
 
+@query("mann_whitney_small", """
+WITH RECURSIVE v AS (SELECT o_custkey, o_orderstatus AS g, o_totalprice AS x FROM orders WHERE o_orderstatus IN ('F', 'O')),
+k AS (SELECT o_custkey, count(*) FILTER (g = 'F') AS n1, count(*) FILTER (g = 'O') AS n2, count(DISTINCT x) < count(*) AS tied FROM v GROUP BY o_custkey),
+r AS (SELECT o_custkey, g, rank() OVER (PARTITION BY o_custkey ORDER BY x) + (count(*) OVER (PARTITION BY o_custkey, x) - 1) / 2.0 AS rk FROM v),
+u AS (SELECT k.*, least(n1, n2) AS m, n1 + n2 AS n, s - n1 * (n1 + 1) / 2.0 AS u FROM k
+  JOIN (SELECT o_custkey, sum(rk) AS s FROM r WHERE g = 'F' GROUP BY o_custkey) USING (o_custkey) WHERE n1 > 0 AND n2 > 0),
+c(n, j, s, ways) AS (SELECT 0, 0, 0, 1.0::DOUBLE
+  UNION ALL SELECT n + 1, j + t, s + t * (n + 1), sum(ways) FROM c, (SELECT unnest([0, 1]) AS t)
+    WHERE n < (SELECT max(n) FROM u) AND j + t <= 8 GROUP BY n + 1, j + t, s + t * (n + 1)),
+p AS (SELECT o_custkey, least(1.0, 2 * sum(ways) FILTER (s - m * (m + 1) // 2 <= least(u, n1 * n2 - u)) / sum(ways)) AS p_exact
+  FROM u JOIN c ON c.n = u.n AND c.j = u.m WHERE NOT tied AND n1 * n2 <= 2000 GROUP BY o_custkey)
+SELECT o_custkey, n1, n2, round(u, 1) AS u, round(p_exact, 8) AS p_exact, CASE WHEN p_exact IS NULL THEN 'normal' ELSE 'exact' END AS p_method
+FROM u LEFT JOIN p USING (o_custkey)""")
+def mann_whitney_small(t: Tables):
+    """Every customer's prices of finished against open orders: small samples, counted exactly."""
+    out = ranks.mann_whitney(t("orders"), "o_orderstatus", "o_totalprice", by=["o_custkey"], groups=("F", "O"))
+    return rounded(out.select("o_custkey", "n1", "n2", "u", "p_exact", "p_method"), 8, u=1)
+
+
+@query("wilcoxon_small", """
+WITH RECURSIVE d AS (SELECT l_orderkey, round(l_quantity * 1000.0 - l_extendedprice, 10) AS d FROM lineitem),
+e AS (SELECT *, abs(d) AS x FROM d WHERE d <> 0),
+r AS (SELECT l_orderkey, d, rank() OVER (PARTITION BY l_orderkey ORDER BY x) + (count(*) OVER (PARTITION BY l_orderkey, x) - 1) / 2.0 AS rk,
+  count(*) OVER (PARTITION BY l_orderkey, x) AS same FROM e),
+w AS (SELECT l_orderkey, count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS wp, max(same) > 1 AS tied FROM r GROUP BY l_orderkey),
+c(n, s, ways) AS (SELECT 0, 0, 1.0::DOUBLE
+  UNION ALL SELECT n + 1, s + t * (n + 1), sum(ways) FROM c, (SELECT unnest([0, 1]) AS t)
+    WHERE n < (SELECT max(n) FROM w) AND n < 50 GROUP BY n + 1, s + t * (n + 1)),
+p AS (SELECT l_orderkey, least(1.0, 2 * sum(ways) FILTER (s <= least(wp, w.n * (w.n + 1) / 2.0 - wp)) / sum(ways)) AS p_exact
+  FROM w JOIN c ON c.n = w.n WHERE NOT tied GROUP BY l_orderkey)
+SELECT l_orderkey, n AS n_used, round(wp, 1) AS w_plus, round(p_exact, 8) AS p_exact, CASE WHEN p_exact IS NULL THEN 'normal' ELSE 'exact' END AS p_method
+FROM w LEFT JOIN p USING (l_orderkey)""")
+def wilcoxon_small(t: Tables):
+    """Every order's list value against a flat thousand a unit."""
+    rows = t("lineitem").select("l_orderkey", F.col("l_extendedprice").alias("pre"), (F.col("l_quantity") * 1000.0).alias("post"))
+    out = ranks.wilcoxon(rows, "pre", "post", by=["l_orderkey"])
+    return rounded(out.select("l_orderkey", "n_used", "w_plus", "p_exact", "p_method"), 8, w_plus=1)
+
+
 @query("shapiro_balance")
 def shapiro_balance(t: Tables):
     """W needs normal scores of every rank; checked against published values in the tests."""

@@ -194,6 +194,36 @@ def test_mann_whitney_and_wilcoxon_by_pairs(frame):
     assert (row["n_pairs"], row["n_used"], row["w_plus"], row["w_minus"]) == (5, 4, 8.0, 2.0)
 
 
+def test_exact_p_counts_every_assignment(frame):
+    from itertools import combinations, product
+
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for k, (n1, n2) in enumerate([(1, 1), (1, 6), (2, 3), (4, 4), (3, 7), (6, 5)]):
+        x = rng.permutation(n1 + n2) * 1.5
+        rows += [(k, "a" if i < n1 else "b", float(v)) for i, v in enumerate(x)]
+        ranks_of = np.argsort(np.argsort(x)) + 1
+        low = min(s := ranks_of[:n1].sum() - n1 * (n1 + 1) // 2, n1 * n2 - s)
+        every = [sum(c) - n1 * (n1 + 1) // 2 for c in combinations(range(1, n1 + n2 + 1), n1)]
+        want[k] = min(1, 2 * np.mean([u <= low for u in every]))
+    rows += [(9, "a", 1.0), (9, "b", 1.0), (9, "b", 2.0)]
+    got = {r["k"]: r for r in ranks.mann_whitney(frame(rows, "k int, g string, v double"), "g", "v", by=["k"]).collect()}
+    assert all(got[k]["p_exact"] == pytest.approx(p, abs=1e-12) and got[k]["p_method"] == "exact" for k, p in want.items())
+    assert got[9]["p_exact"] is None and got[9]["p_method"] == "normal"
+
+    pairs, want = [], {}
+    for n in (1, 3, 6, 9):
+        d = (rng.permutation(n) + 1.0) * rng.choice([-1, 1], n)
+        pairs += [(n, 0.0, float(x)) for x in d]
+        low = min(s := sum(int(abs(x)) for x in d if x > 0), n * (n + 1) // 2 - s)
+        every = [sum(i * t for i, t in enumerate(signs, 1)) for signs in product((0, 1), repeat=n)]
+        want[n] = min(1, 2 * np.mean([w <= low for w in every]))
+    pairs += [(20, 0.0, 1.0), (20, 0.0, -1.0)]
+    got = {r["k"]: r for r in ranks.wilcoxon(frame(pairs, "k int, pre double, post double"), "pre", "post", by=["k"]).collect()}
+    assert all(got[n]["p_exact"] == pytest.approx(p, abs=1e-12) for n, p in want.items())
+    assert got[20]["p_exact"] is None and got[20]["p_method"] == "normal"
+
+
 def test_shapiro_on_published_sample(frame):
     # weights in pounds of eleven men, the sample of the original article: W = 0.79
     men = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
