@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import matrix as mx
+from plumbline.operators.grouped_logit import grouped_logistic
 from plumbline.plans import oracle_math as om
 from plumbline.plans.catalog import Tables, query, rounded
 from plumbline.plans.quality import FACTOR_SQL, factor_items
@@ -68,6 +69,25 @@ def logit_toxic(t: Tables):
     return rounded(coef.select("position", "term", "beta", "se", "odds_ratio"), 5)
 
 
+@query("logit_per_priority", """
+WITH RECURSIVE d AS (SELECT o_orderpriority AS g, (o_orderstatus = 'O')::INT::DOUBLE AS y, o_totalprice::DOUBLE / 100000.0 AS x
+  FROM orders WHERE o_orderstatus IN ('F', 'O')),
+it(g, step, b0, b1) AS (SELECT DISTINCT g, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM d
+  UNION ALL SELECT g, step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT g, step, b0, b1, sum(y - mu) AS g0, sum(x * (y - mu)) AS g1, sum(mu * (1 - mu)) AS h00,
+          sum(mu * (1 - mu) * x) AS h01, sum(mu * (1 - mu) * x * x) AS h11
+        FROM (SELECT it.*, d.x, d.y, 1 / (1 + exp(-(b0 + b1 * d.x))) AS mu FROM it JOIN d ON d.g = it.g WHERE step < 12) GROUP BY g, step, b0, b1)),
+e AS (SELECT it.g, b0, b1, sum(mu * (1 - mu)) AS h00, sum(mu * (1 - mu) * x) AS h01, sum(mu * (1 - mu) * x * x) AS h11
+  FROM (SELECT it.*, d.x, 1 / (1 + exp(-(b0 + b1 * d.x))) AS mu FROM it JOIN d ON d.g = it.g WHERE step = 12) AS it GROUP BY it.g, b0, b1)
+SELECT g AS o_orderpriority, 0::BIGINT AS position, '(intercept)' AS term, round(b0, 6) AS beta, round(sqrt(h11 / (h00 * h11 - h01 * h01)), 6) AS se FROM e
+UNION ALL SELECT g, 1, 'price', round(b1, 6), round(sqrt(h00 / (h00 * h11 - h01 * h01)), 6) FROM e""")
+def logit_per_priority(t: Tables):
+    """One model for each priority: whether an order is open, by its price."""
+    rows = t("orders").where(F.col("o_orderstatus").isin("F", "O")).withColumn("price", F.col("o_totalprice").cast("double") / 100000.0)
+    _, coef = grouped_logistic(rows, "o_orderstatus", ["price"], ["o_orderpriority"])
+    return rounded(coef.select("o_orderpriority", "position", "term", "beta", "se"), 6)
+
+
 @query("logit_single_class_effect", """
 WITH c AS (SELECT count(*) FILTER (l_linestatus = 'O' AND l_returnflag = 'A')::DOUBLE AS a1,
                   count(*) FILTER (l_linestatus = 'F' AND l_returnflag = 'A')::DOUBLE AS a0,

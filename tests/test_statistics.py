@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import dist
 from plumbline.operators import matrix as mx
+from plumbline.operators.grouped_logit import grouped_logistic
 from plumbline.operators import moments as mo
 from plumbline.operators import ordering, ranks, registry
 
@@ -64,6 +65,33 @@ def test_logit_matches_direct_newton(frame):
     assert row["converged"] and not row["separation"] and 0 < row["mcfadden_r2"] < 1
 
 
+def test_grouped_logit_equals_one_model_a_group(frame):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g, n, slope in (("a", 300, 1.0), ("b", 80, -2.0), ("c", 4, 1.0)):
+        x = rng.normal(size=(n, 2))
+        y = rng.random(n) < 1 / (1 + np.exp(-(0.2 + x @ [slope, 0.5])))
+        rows += [(g, int(t), float(u), float(v)) for t, (u, v) in zip(y, x)]
+    rows += [("d", 1, float(k), 0.0) for k in range(30)] + [("e", int(k > 15), float(k), 1.0) for k in range(30)]
+    rows += [("a", None, 1.0, 1.0), (None, 1, 1.0, 1.0), ("b", 1, None, 1.0)]
+    df = frame(rows, "grp string, y int, u double, v double")
+    model, coef = grouped_logistic(df, "y", ["u", "v"], ["grp"])
+    by = {r[0]: r for r in model.collect()}
+    assert [by[g]["status"] for g in "abcd"] == ["ok", "ok", "abstained", "abstained"] and by["e"]["separation"]
+    got = {}
+    for r in coef.drop("z").collect():
+        got.setdefault(r[0], {})[r["position"]] = (r[3], r["se"])
+    for g in "ab":
+        part = np.array([(t, u, v) for k, t, u, v in rows if k == g and t is not None and u is not None])
+        a, y, beta = np.column_stack([np.ones(len(part)), part[:, 1:]]), part[:, 0], np.zeros(3)
+        for _ in range(30):
+            mu = 1 / (1 + np.exp(-a @ beta))
+            h = (a * (mu * (1 - mu))[:, None]).T @ a
+            beta = beta + np.linalg.solve(h, a.T @ (y - mu))
+        se = np.sqrt(np.diag(np.linalg.inv(h)))
+        assert np.allclose([got[g][k][0] for k in range(3)], beta, atol=1e-6) and np.allclose([got[g][k][1] for k in range(3)], se, atol=1e-5)
+
+
 def test_logit_flags_separation(frame):
     df = frame([(int(i >= 10), float(i)) for i in range(20)], "y int, x double")
     model, _ = mx.logistic_regression(df, "y", ["x"], max_steps=15)
