@@ -160,15 +160,20 @@ def with_number_gaps(frame: DataFrame) -> DataFrame:
 
 # ---- citations -------------------------------------------------------------------------------
 
-def cited_numbers(body: Column) -> Column:
-    """Cited numbers in order of appearance; ``[2,5-7]`` becomes 2, 5, 6, 7."""
+def cited_numbers(body: Column, most_span: int | None = None) -> Column:
+    """Cited numbers in order of appearance; ``[2,5-7]`` becomes 2, 5, 6, 7.
+
+    A range may be as wide as its three digits allow.  With ``most_span``, a group that holds a wider range counts as no citation.
+    """
     joined = F.regexp_replace(body, r"\[\s*(\d{1,3})\s*\]\s*[-~]\s*\[\s*(\d{1,3})\s*\]", "[$1-$2]")
     inside = F.regexp_extract_all(joined, F.lit(fw.CITATION), F.lit(1))
 
     def span(part: Column) -> Column:
         ends = _ints(F.split(F.trim(part), r"\s*[-~]\s*"))
         low, high = ends[0], F.try_element_at(ends, F.lit(2))
-        good = high.isNotNull() & (low > 0) & (low < high) & (high <= low + 50)
+        good = high.isNotNull() & (low > 0) & (low < high)
+        if most_span is not None:
+            good = good & (high <= low + most_span)
         return F.when(F.size(ends) == 1, F.array(low)).when(
             good, F.sequence(low, F.greatest(high, low))).otherwise(F.array(F.lit(0)))
 

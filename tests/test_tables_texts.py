@@ -282,3 +282,9 @@ def test_trials_list_what_they_leave_out(frame):
     good, out = ev.trial_summary(df, [], "trial", 4, "fell")
     assert good.first()["trials"] == 2
     assert {r["trial"]: r["reason"] for r in out.collect()} == {2: "fallback", 4: "incomplete"}
+
+
+def test_wide_citation_ranges_are_whole(frame):
+    df = frame([("a [1-60] b [3, 10-70] c [7] d [9-2] e",)], "body string")
+    uncut, cut = df.select(it.cited_numbers(F.col("body")), it.cited_numbers(F.col("body"), 50)).first()
+    assert uncut == [*range(1, 61), 3, *range(10, 71), 7] and cut == [7]
