@@ -134,11 +134,12 @@ def variable_names(
 
 def abstract_text(
     text: Column, head: str = ft.ABSTRACT_HEAD, end: str = ft.KEYWORD_HEAD,
-    shortest: int = ft.ABSTRACT_MIN, longest: int = ft.ABSTRACT_MAX,
+    shortest: int = ft.ABSTRACT_MIN, longest: int | None = None,
 ) -> Column:
     """The abstract: from the last real head before the first keyword line; null when in doubt.
 
-    A head followed by a page number alone on its line is a running header and does not count.
+    A head followed by a page number alone on its line is a running header and does not count.  With ``longest``
+    (``fixed_text.ABSTRACT_MAX``, say) a longer stretch is in doubt as well.
     """
     before = F.try_element_at(F.split(text, end, 2), F.lit(1))
     after_heads = F.split(before, head)
@@ -149,7 +150,9 @@ def abstract_text(
     last = F.try_element_at(real, F.lit(-1))["i"]
     body = F.array_join(F.slice(after_heads, last + 2, F.size(after_heads)), "")
     size = F.length(body)
-    found = text.rlike(end) & last.isNotNull() & size.between(shortest, longest)
+    found = text.rlike(end) & last.isNotNull() & (size >= shortest)
+    if longest is not None:
+        found = found & (size <= longest)
     return F.when(found, body)
 
 

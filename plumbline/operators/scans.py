@@ -74,7 +74,7 @@ def secret_scan(
     after_dash = F.regexp_replace(raw, r"^[a-z]+-", "")
     varied = F.size(F.array_distinct(F.split(after_dash, ""))) >= 4
     plain = found.where(
-        ((F.col("kind") == "key") & F.substring(raw, 4, 4096).rlike(fw.LONG_RUN))
+        ((F.col("kind") == "key") & F.substring(raw, F.lit(4), F.length(raw)).rlike(fw.LONG_RUN))
         | ((F.col("kind") == "account") & varied) | (F.col("kind") == "email"))
     out = plain.select(*keys, F.col("kind").alias("category"), F.col("start").alias("pos"))
     if hashed is None:

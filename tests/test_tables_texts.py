@@ -288,3 +288,12 @@ def test_wide_citation_ranges_are_whole(frame):
     df = frame([("a [1-60] b [3, 10-70] c [7] d [9-2] e",)], "body string")
     uncut, cut = df.select(it.cited_numbers(F.col("body")), it.cited_numbers(F.col("body"), 50)).first()
     assert uncut == [*range(1, 61), 3, *range(10, 71), 7] and cut == [7]
+
+
+def test_long_abstracts_are_found_unless_cut(frame):
+    from plumbline.functions import fixed_text as ft
+    from plumbline.operators import claims as cl
+
+    df = frame([("摘要\n" + "字" * 6000 + "\n关键词：甲；乙\n正文",)], "text string")
+    whole, cut = df.select(cl.abstract_text(F.col("text")), cl.abstract_text(F.col("text"), longest=ft.ABSTRACT_MAX)).first()
+    assert whole is not None and len(whole) >= 6000 and cut is None
