@@ -117,9 +117,9 @@ def build(vectors: DataFrame, rows: int = BUCKET_ROWS, ratio: float = BUCKET_RAT
             a = 0
             while a < len(ids):  # rows come from the longest to the shortest
                 b = a + max(1, int((length[a:] >= ratio * length[a]).sum()))
-                if last is not None and last != label:
-                    made = -(-made // stripe) * stripe  # a stripe holds one label
-                last = label
+                if last is not None and last != (label, values.shape[1]):
+                    made = -(-made // stripe) * stripe  # a stripe holds one label and dimension
+                last = label, values.shape[1]
                 yield pa.RecordBatch.from_pylist(
                     [bucket(label, ids[a:b], values[a:b]) | {"stripe": (part << 32) + made // stripe}], schema=_BUCKET_SCHEMA)
                 made, a = made + 1, b
