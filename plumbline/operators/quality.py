@@ -468,6 +468,41 @@ def duplicate_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+#: Kinds of fingerprints beside those of single columns, which are numbered from 0.
+WHOLE, BODY = -1, -2
+
+
+def _fingerprint(kind: int, columns: Sequence[str], ok: Column, when: Column | None = None) -> Column:
+    """128 bits of the values of ``columns``; a null is told from any value and from a null in another column."""
+    values = [x for c in columns for x in (F.col(c), F.isnull(c))]
+    out = F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(1), *values).alias("h1"),
+                   F.xxhash64(F.lit(2), *values).alias("h2"), ok.alias("ok"))
+    return out if when is None else F.when(when, out)
+
+
+def fingerprint_counts(df: DataFrame, body: Sequence[str] = ()) -> DataFrame:
+    """``kind, n_rows, n_unique, n_unique_ok, n_repeated``: rows, distinct fingerprints, those that a row with a complete body has, and
+    rows that share theirs, of whole rows (``WHOLE``), complete bodies (``BODY``) and the values of each column.
+
+    One scan and one exchange of fingerprints serve all kinds; counts are combined before it.  Among 10^12 different rows two share a
+    fingerprint with a probability below 10^-14.
+    """
+    types, complete = dict(df.dtypes), F.lit(bool(body))
+    for c in body:
+        complete = complete & F.col(c).isNotNull()
+        if types[c] in ("double", "float"):
+            complete = complete & ~F.isnan(c)
+    whole = [_fingerprint(WHOLE, df.columns, F.lit(True))]
+    bodies = [_fingerprint(BODY, body, F.lit(True), complete)] if body else []
+    single = [_fingerprint(k, [c], complete, F.col(c).isNotNull()) for k, c in enumerate(df.columns)]
+    spread = df.select(F.inline(F.array_compact(F.array(*whole, *bodies, *single))))
+    counted = spread.groupBy("kind", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("ok").alias("ok"))
+    return counted.groupBy("kind").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"), F.count_if("ok").alias("n_unique_ok"),
+        F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_repeated"),
+        F.count_if(F.col("n") > 1).alias("n_groups"))
+
+
 def check_duplicate_rows(
     df: DataFrame, id_tokens: Sequence[str] = fv.ROW_ID_TOKENS,
     id_columns: Sequence[str] | None = None,
@@ -476,32 +511,30 @@ def check_duplicate_rows(
 
     Exact ones are reported only when less than one chance pair is expected from the number of
     levels; the others only when a body column is nearly unique, which makes chance impossible.
+    Both come from one table of fingerprints.
     """
     columns = df.columns
     ids = list(id_columns) if id_columns is not None else [
         c for c in columns if names.has_token(c, id_tokens)]
     body = [c for c in columns if c not in ids]
-
-    def total(groups: DataFrame, rows: Column, label: str) -> DataFrame:
-        return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"bad_{label}"),
-                          rows.alias(f"groups_{label}"))
-
-    exact = total(duplicate_groups(df, columns), F.count(F.lit(1)), "exact")
-    levels = prof.distinct_counts(df).agg(
-        F.sum(F.ln(F.greatest(F.lit(2), F.col("n_unique")).cast("double"))).alias("ln_combos"))
-    row = exact.crossJoin(levels).crossJoin(df.agg(F.count(F.lit(1)).alias("n")))
-    n = F.col("n")
+    by_body = bool(ids) and len(body) >= 3
+    kind = F.col("kind")
+
+    def of(which: int, value: str) -> Column:
+        return F.coalesce(F.max(F.when(kind == which, F.col(value))), F.lit(0))
+
+    row = fingerprint_counts(df, body if by_body else ()).agg(
+        of(WHOLE, "n_rows").alias("n"), of(WHOLE, "n_repeated").alias("bad_exact"),
+        of(BODY, "n_rows").alias("n_body"), of(BODY, "n_repeated").alias("bad_body"),
+        of(BODY, "n_groups").alias("groups_body"),
+        F.sum(F.when(kind >= 0, F.ln(F.greatest(F.lit(2), F.col("n_unique")).cast("double")))).alias("ln_combos"),
+        F.max(F.when(kind.isin([k for k, c in enumerate(columns) if c in body]), F.col("n_unique_ok"))).alias("most_unique"))
+    n, m = F.col("n"), F.col("n_body")
     expected = F.exp(F.ln(n * (n - 1) / 2) - F.col("ln_combos"))
     issues = [issue("duplicate_rows", "mid", "duplicate", columns, F.col("bad_exact"), n,
                     {"expected_pairs": expected},
                     when=(n >= 2) & (F.col("bad_exact") > 0) & (expected < 1.0))]
-    if ids and len(body) >= 3:
-        complete = df.select(*body).na.drop()
-        inner = total(duplicate_groups(complete, body), F.count(F.lit(1)), "body")
-        near = prof.distinct_counts(complete).agg(F.max("n_unique").alias("most_unique"))
-        row = row.crossJoin(inner).crossJoin(near).crossJoin(
-            complete.agg(F.count(F.lit(1)).alias("n_body")))
-        m = F.col("n_body")
+    if by_body:
         unique = (m >= 5) & (F.col("most_unique") >= F.greatest(F.lit(2.0), F.ceil(m * 0.95)))
         issues.append(issue("duplicate_body", "mid", "duplicate", body, F.col("bad_body"), m,
                             {"groups": F.col("groups_body")},

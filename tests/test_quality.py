@@ -109,6 +109,32 @@ def test_duplicates_need_more_than_chance(frame):
     assert not q.check_duplicate_rows(coarse, id_columns=[]).collect()
 
 
+def test_duplicates_by_fingerprint(frame, spark):
+    schema = "id int, a string, b string, c double"
+    rows = [(i, f"a{i}", f"b{i}", i * 0.5) for i in range(30)]
+    # a null is told from one in the next column; zeros of both signs are one value, as in a grouping
+    near = [(100, None, "x", 1.0), (101, "x", None, 1.0)]
+    zeros = [(102, "z", "z", 0.0), (103, "z", "z", -0.0)]
+    got = q.check_duplicate_rows(frame(rows + near + zeros, schema), id_columns=["id"]).collect()
+    assert [(r["check"], r["n_bad"], r["n_total"]) for r in got] == [("duplicate_body", 2, 32)]
+    # an incomplete body takes no part, by null or by not a number
+    holes = [(104, "n", "n", float("nan")), (105, "n", "n", float("nan")), (106, "n", None, 2.0), (107, "n", None, 2.0)]
+    assert not q.check_duplicate_rows(frame(rows + holes, schema), id_columns=["id"]).collect()
+    again = q.check_duplicate_rows(frame(rows + near + near, schema), id_columns=["id"]).collect()
+    assert [(r["check"], r["n_bad"], r["n_total"]) for r in again] == [("duplicate_rows", 4, 34)]
+    assert not q.check_duplicate_rows(frame([], schema), id_columns=["id"]).collect()
+    counts = {r["kind"]: r for r in q.fingerprint_counts(frame(rows + near + holes, schema), ["a", "b", "c"]).collect()}
+    assert (counts[q.WHOLE]["n_rows"], counts[q.BODY]["n_rows"]) == (36, 30)
+    assert (counts[1]["n_unique"], counts[1]["n_unique_ok"]) == (32, 30)
+
+
+def test_duplicates_read_the_table_once(frame, spark, tmp_path):
+    frame([(i, i % 7, float(i), f"t{i}") for i in range(50)], "id int, a int, b double, c string").write.parquet(str(tmp_path / "t"))
+    found = q.check_duplicate_rows(spark.read.parquet(str(tmp_path / "t")), id_columns=["id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
 def test_response_duration(frame):
     df = frame([(float(v),) for v in [100] * 12 + [10]], "duration double")
     assert q.check_response_duration(df).first()["n_bad"] == 1
