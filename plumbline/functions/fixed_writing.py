@@ -23,6 +23,8 @@ PAGE_NOISE = r"^\s*(?:\d{1,3}|参\s*考\s*文\s*献|万方数据|References)\s*$
 TABLE_ROW = " | "
 CONTENTS_LINE = r"(?:[.…·]{3,}|\t)[ \t]*\d{1,3}[ \t]*$"
 ENTRY_BRACKET = r"(?m)^[^\S\n]*[\[［](\d{1,3})[\]］][^\S\n]*(?=\S)"
+#: A bracketed number inside a line, after the end of a sentence or another bracket.
+ENTRY_INLINE = r"([.。\]］]\s*)([\[［]\s*(\d{1,3})\s*[\]］][^\S\n]*)(?=\S)"
 ENTRY_DOTTED = r"(?m)^[^\S\n]*(\d{1,3})[.．、][^\S\n]*(?=[^\d\s])"
 TYPE_CODE = r"\[\s*(J|M|D|C|N|R|S|P|G|Z|A|K|CM|DS|DB|CP|EB)(?:\s*/\s*(OL|MT|DK|CD))?\s*\]"
 YEAR = r"(?<!\d)(1[89]\d{2}|20\d{2})(?!\d)"

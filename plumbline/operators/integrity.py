@@ -61,27 +61,75 @@ def _numbered(refs: Column, pattern: str) -> Column:
         F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))),
         lambda p: F.struct(
             F.substring_index(p, "\u0002", 1).try_cast("int").alias("num"),
-            F.trim(F.regexp_replace(F.substring_index(p, "\u0002", -1), r"\s*\n\s*", " "))
-            .alias("entry")))
+            _entry_text(F.array(F.substring_index(p, "\u0002", -1))).alias("entry")))
+
+
+#: Marks: before an entry's number and after it; before a number inside a line, after it, and after the text it was printed as.
+_LINE, _NUMBER, _INSIDE, _VALUE, _PRINTED = (chr(k) for k in range(1, 6))
+
+
+def _entry_text(parts: Column) -> Column:
+    return F.trim(F.regexp_replace(F.array_join(parts, ""), r"\s*\n\s*", " "))
+
+
+def _chained(refs: Column) -> Column:
+    """Entries ``(num, entry)`` of a block whose lines start with bracketed numbers, entries inside a line included.
+
+    Where lines were run together, an entry starts inside a line.  A number there counts only as the successor of the last number that
+    counted, so the entries of a line are the chain of consecutive numbers that its first one begins; other numbers stay text.  A line
+    is folded over its numbers once, and the chain holds at most as many entries as three digits name.
+    """
+    line = F.regexp_replace(refs, fw.ENTRY_BRACKET, f"{_LINE}$1{_NUMBER}")
+    inside = F.regexp_replace(
+        line, fw.ENTRY_INLINE.replace("([.", f"([{_NUMBER}.", 1), f"$1{_INSIDE}$3{_VALUE}$2{_PRINTED}")
+    lines = F.split(inside, _LINE)
+    pieces = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda p: F.split(p, _INSIDE))
+
+    def number(piece: Column, i: Column) -> Column:
+        return F.when(i == 0, F.substring_index(piece, _NUMBER, 1)).otherwise(F.substring_index(piece, _VALUE, 1)).try_cast("int")
+
+    def follow(chain: Column, x: Column) -> Column:
+        counts = (F.size(chain["at"]) == 0) | (x["num"] == chain["last"] + 1)
+        return F.when(F.coalesce(counts, F.lit(False)), F.struct(
+            x["num"].alias("last"), F.concat(chain["at"], F.array(x["i"])).alias("at"))).otherwise(chain)
+
+    start = F.struct(F.lit(None).cast("int").alias("last"), _empty("int").alias("at"))
+    found = F.transform(pieces, lambda p: F.struct(p.alias("p"), F.transform(
+        p, lambda piece, i: F.struct(number(piece, i).alias("num"), i.alias("i"))).alias("n")))
+    chains = F.transform(found, lambda f: F.struct(
+        f["p"].alias("p"), f["n"].alias("n"), F.aggregate(f["n"], start, follow)["at"].alias("at")))
+
+    def entries(f: Column) -> Column:
+        def entry(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.try_element_at(f["at"], k + 2), F.size(f["p"]))
+            parts = F.transform(F.slice(f["p"], at + 1, end - at), lambda piece, j: F.when(
+                j > 0, F.translate(F.substring_index(piece, _VALUE, -1), _PRINTED, "")).otherwise(
+                F.substring_index(F.substring_index(piece, _PRINTED, -1), _NUMBER, -1)))
+            return F.struct(F.try_element_at(f["n"], at + 1)["num"].alias("num"), _entry_text(parts).alias("entry"))
+
+        return F.transform(f["at"], entry)
+
+    return F.flatten(F.transform(chains, entries))
 
 
 def with_entries(sectioned: DataFrame) -> DataFrame:
     """Add ``entries`` (array of num, entry) and ``entry_mode`` to a frame from ``split_sections``.
 
     ``explicit``: numbered lines.  ``implicit``: numbers lost, every line that looks like a reference is
-    one.  ``unparsed``: neither.
+    one.  ``unparsed``: neither.  Bracketed numbers are followed into the lines, where one was pulled into the line of the entry before.
     """
     lines = F.filter(F.split("refs", "\n"), lambda x: (F.trim(x) != "")
                      & ~x.contains(fw.TABLE_ROW) & ~x.rlike(fw.PAGE_NOISE))
     frame = sectioned.withColumn("_lines", lines).withColumn("_block", F.array_join("_lines", "\n"))
-    frame = frame.withColumns({"_bracket": _numbered(F.col("_block"), fw.ENTRY_BRACKET),
+    starts = F.regexp_count("_block", F.lit(fw.ENTRY_BRACKET))
+    frame = frame.withColumns({"_bracket": _chained(F.col("_block")), "_starts": starts,
                                "_dotted": _numbered(F.col("_block"), fw.ENTRY_DOTTED)})
     looks = F.filter("_lines", lambda x: x.rlike(fw.TYPE_CODE) | (
         x.rlike(fw.YEAR) & (F.length(x) >= 15) & x.rlike("[.．,，]")))
     frame = frame.withColumn("_loose", F.transform(
         looks, lambda x, i: F.struct((i + 1).cast("int").alias("num"), F.trim(x).alias("entry"))))
     single = F.size("_lines") == 1
-    use_bracket = (F.size("_bracket") >= 2) | (single & (F.size("_bracket") == 1))
+    use_bracket = (F.col("_starts") >= 2) | (single & (F.col("_starts") == 1))
     use_dotted = (F.size("_dotted") >= 2) | (single & (F.size("_dotted") == 1))
     use_loose = F.size("_loose") >= F.greatest(F.lit(2.0), F.floor(0.6 * F.size("_lines")))
     mode = (
@@ -90,7 +138,7 @@ def with_entries(sectioned: DataFrame) -> DataFrame:
     entries = F.when(use_bracket, F.col("_bracket")).when(use_dotted, F.col("_dotted")).when(
         use_loose, F.col("_loose")).otherwise(_empty("struct<num:int,entry:string>"))
     return frame.withColumns({"entries": entries, "entry_mode": mode}).drop(
-        "_lines", "_block", "_bracket", "_dotted", "_loose")
+        "_lines", "_block", "_bracket", "_starts", "_dotted", "_loose")
 
 
 def reference_entries(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:

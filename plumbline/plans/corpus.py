@@ -80,6 +80,23 @@ def reference_numbering(t: Tables):
     return rounded(frame.select("doc_id", F.explode(F.concat("gaps", "repeats")).alias("gap")))
 
 
+@query("run_on_entries", r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(
+             regexp_replace(coalesce(text, ''), '[\x00-\x20\[\]|]+', ' ', 'g'), '. '), lambda x: trim(x, ' ')), lambda x: x <> '') AS s
+           FROM documents),
+e AS (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM p)
+SELECT doc_id, ((i - 1) % 999 + 1)::BIGINT AS num, x || '.' AS entry FROM e""")
+def run_on_entries(t: Tables):
+    """The sentences of every text as a reference list; each third number was pulled into the line before."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x20\[\]|]+", " ")
+    sentences = F.filter(F.transform(F.split(plain, r"\. "), F.trim), lambda x: x != "")
+    lines = F.transform(sentences, lambda x, i: F.concat(
+        F.when(i == 0, "").when((i + 1) % 3 == 0, " ").otherwise("\n"),
+        F.lit("["), (i % 999 + 1).cast("string"), F.lit("] "), x, F.lit(".")))
+    frame = it.with_entries(t("documents").select("doc_id", F.array_join(lines, "").alias("refs")))
+    return rounded(frame.select("doc_id", F.inline("entries")))
+
+
 @query("duplicate_titles", f"""
 SELECT doc_id, 2::BIGINT AS n, 1::BIGINT AS first_num FROM documents WHERE doc_id % 8 = 5 AND doc_id % 9 <> 0""")
 def duplicate_titles(t: Tables):

@@ -297,3 +297,30 @@ def test_long_abstracts_are_found_unless_cut(frame):
     df = frame([("摘要\n" + "字" * 6000 + "\n关键词：甲；乙\n正文",)], "text string")
     whole, cut = df.select(cl.abstract_text(F.col("text")), cl.abstract_text(F.col("text"), longest=ft.ABSTRACT_MAX)).first()
     assert whole is not None and len(whole) >= 6000 and cut is None
+
+
+def entries_of(frame, refs):
+    row = it.with_entries(frame([(1, refs)], "d int, refs string")).first()
+    return row["entry_mode"], [(e["num"], e["entry"]) for e in row["entries"]]
+
+
+def test_entries_pulled_into_the_line_before(frame):
+    got = entries_of(frame, "[1] Smith A. One[J]. 2019. [2] Lee B. Two[J]. 2020.[3]  Kim C. Three\ncontinued. 2021.\n[4] Fox D. Four, 2022.")
+    assert got == ("explicit", [
+        (1, "Smith A. One[J]. 2019."), (2, "Lee B. Two[J]. 2020."), (3, "Kim C. Three continued. 2021."), (4, "Fox D. Four, 2022.")])
+    # a number that does not follow the last one stays text, as does one in the middle of a sentence
+    got = entries_of(frame, "[1] As in Lee. [5] and later [2] again. [2 ] Real two.\n[7] Seven. [3] no. [8] Eight.")
+    assert got == ("explicit", [
+        (1, "As in Lee. [5] and later [2] again."), (2, "Real two."), (7, "Seven. [3] no."), (8, "Eight.")])
+    # one line alone; two numbers side by side; dotted numbers are not followed
+    assert entries_of(frame, "[1] One. [2] Two.")[1] == [(1, "One."), (2, "Two.")]
+    assert entries_of(frame, "[1][2] Both.\n[3] Three.")[1] == [(1, ""), (2, "Both."), (3, "Three.")]
+    assert entries_of(frame, "1. One, 2019. 2. Two.\n3. Three.")[1] == [(1, "One, 2019. 2. Two."), (3, "Three.")]
+    assert entries_of(frame, "") == ("none", []) and entries_of(frame, None)[1] in ([], None)
+
+
+def test_many_numbers_in_one_line(frame):
+    refs = " ".join(f"[{i}] Work {i}. [1] seen." for i in range(1, 1000)) + "\n[1000] no number of three digits\n[1] last."
+    mode, got = entries_of(frame, refs)
+    assert mode == "explicit" and [n for n, _ in got] == [*range(1, 1000), 1]
+    assert got[1] == (2, "Work 2. [1] seen.") and got[-1] == (1, "last.")
