@@ -89,7 +89,7 @@ SELECT doc_id, ((i - 1) % 999 + 1)::BIGINT AS num, x || '.' AS entry FROM e""")
 def run_on_entries(t: Tables):
     """The sentences of every text as a reference list; each third number was pulled into the line before."""
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x20\[\]|]+", " ")
-    sentences = F.filter(F.transform(F.split(plain, r"\. "), F.trim), lambda x: x != "")
+    sentences = F.filter(F.transform(F.split(plain, r"\. "), lambda x: F.trim(x)), lambda x: x != "")
     lines = F.transform(sentences, lambda x, i: F.concat(
         F.when(i == 0, "").when((i + 1) % 3 == 0, " ").otherwise("\n"),
         F.lit("["), (i % 999 + 1).cast("string"), F.lit("] "), x, F.lit(".")))
