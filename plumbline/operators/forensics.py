@@ -147,36 +147,66 @@ def check_mixed_precision(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
                    {"n": F.col("n"), "decimals": F.col("decimals"), "odd": minority})
 
 
-def progression_runs(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """runs of five or more values with constant step or constant ratio, in printed order.
+#: Rows of a printed column that one task orders at a time.
+RUN_CHUNK = 4096
 
-    The window covers one printed column.
+
+def _in_chunks(cells: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+    """Number the values of each column: add ``chunk``, ``i`` (from 1), ``edge`` (last number of the chunk), ``prev`` and ``prev2``.
+
+    Values are ordered inside chunks of ``size`` row numbers; a chunk then hears from a summary how many values precede it and which two.
     """
+    inside = Window.partitionBy(*by, "chunk").orderBy("row_no")
+    local = cells.withColumn("chunk", F.floor(F.col("row_no") / size)).withColumns({
+        "k": F.row_number().over(inside), "p1": F.lag("value").over(inside), "p2": F.lag("value", 2).over(inside)})
+    ends = local.groupBy(*by, "chunk").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("row_no", "value", "p1")).alias("end"))
+    chunks = Window.partitionBy(*by).orderBy("chunk")
+    tails = F.flatten(F.collect_list(F.array_compact(F.array("end.p1", "end.value"))).over(chunks.rowsBetween(-2, -1)))
+    heard = ends.withColumns({
+        "ahead": F.coalesce(F.sum("n").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "tails": tails})
+    heard = heard.select(*by, "chunk", "ahead", (F.col("ahead") + F.col("n")).alias("edge"),
+                         F.try_element_at("tails", F.lit(-1)).alias("c1"), F.try_element_at("tails", F.lit(-2)).alias("c2"))
+    k = F.col("k")
+    return eq_join(local, heard, [*by, "chunk"]).withColumns({
+        "i": F.col("ahead") + k, "prev": F.when(k == 1, F.col("c1")).otherwise(F.col("p1")),
+        "prev2": F.when(k == 1, F.col("c2")).when(k == 2, F.col("c1")).otherwise(F.col("p2"))}).drop("k", "p1", "p2", "c1", "c2", "ahead")
+
+
+def progression_runs(cells: DataFrame, keys: Sequence[str], chunk: int = RUN_CHUNK) -> DataFrame:
+    """runs of five or more values with constant step or constant ratio, in printed order; the longest of each column.
+
+    Runs are found inside chunks of ``chunk`` rows.  Of a chunk only its long runs and those at its borders go on; where a chunk begins
+    inside a run, the parts are joined, so a column of any length needs no single task.
+    """
+    by = _column(keys)
     cols = numeric_columns(cells, keys).where("not design and not int_col")
-    base = numeric_cells(cells, cols.select(*_column(keys), "header"), keys)
-    order = Window.partitionBy(*_column(keys)).orderBy("row_no")
-    base = base.withColumns({"i": F.row_number().over(order), "prev": F.lag("value").over(order)})
-    base = base.where("prev is not null").withColumns({
-        "step": F.when(F.col("value") != F.col("prev"), F.col("value") - F.col("prev")),
-        "ratio": F.when((F.col("prev") != 0) & (F.abs(F.col("value") / F.col("prev") - 1) >= 1e-9),
-                        F.col("value") / F.col("prev"))})
-
-    def runs(kind: str, change: str, tolerance: Column) -> DataFrame:
-        same = F.abs(F.col(change) - F.lag(change).over(order)) <= tolerance
-        marked = base.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int"))
-        island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return marked.withColumn("_run", island).where(F.col(change).isNotNull()).groupBy(
-            *_column(keys), "header", "_run").agg(
-            (F.min("i") - 1).alias("first"), F.max("i").alias("last"),
-            F.min_by(change, "i").alias("constant")).where(
+    base = _in_chunks(numeric_cells(cells, cols.select(*by, "header"), keys), by, chunk).where("prev is not null")
+
+    def step(x: str, before: str) -> Column:
+        return F.when(F.col(x) != F.col(before), F.col(x) - F.col(before))
+
+    def ratio(x: str, before: str) -> Column:
+        quotient = F.when(F.col(before) != 0, F.col(x) / F.col(before))
+        return F.when(F.abs(quotient - 1) >= 1e-9, quotient)
+
+    def runs(kind: str, change, tolerance: float) -> DataFrame:
+        now, last = change("value", "prev"), change("prev", "prev2")
+        same = F.abs(now - last) <= tolerance * F.greatest(F.abs(now), F.lit(1.0))
+        marked = base.select(*by, "header", "chunk", "i", "edge", now.alias("change"),
+                             (~F.coalesce(same, F.lit(False))).cast("int").alias("new"))
+        part = F.sum("new").over(Window.partitionBy(*by, "chunk").orderBy("i"))
+        parts = marked.withColumn("part", part).where("change is not null").groupBy(*by, "header", "chunk", "part").agg(
+            F.min("i").alias("first"), F.max("i").alias("last"), F.min_by("change", "i").alias("constant"),
+            F.max("new").alias("new"), F.max("edge").alias("edge"))
+        kept = parts.where((F.col("last") - F.col("first") + 2 >= MIN_RUN) | (F.col("last") == F.col("edge")) | (F.col("new") == 0))
+        run = F.sum("new").over(Window.partitionBy(*by).orderBy("first"))
+        return kept.withColumn("run", run).groupBy(*by, "header", "run").agg(
+            (F.min("first") - 1).alias("first"), F.max("last").alias("last"), F.min_by("constant", "first").alias("constant")).where(
             F.col("last") - F.col("first") + 1 >= MIN_RUN).select(
-            *_column(keys), "header", F.lit(kind).alias("kind"), "first", "last", "constant")
+            *by, "header", F.lit(kind).alias("kind"), "first", "last", "constant")
 
-    step_tol = 1e-9 * F.greatest(F.abs("step"), F.lit(1.0))
-    ratio_tol = 1e-6 * F.greatest(F.abs("ratio"), F.lit(1.0))
-    both = runs("arithmetic", "step", step_tol).unionByName(runs("geometric", "ratio", ratio_tol))
-    longest = Window.partitionBy(*_column(keys)).orderBy(
-        F.desc(F.col("last") - F.col("first")), "kind", "first")
+    both = runs("arithmetic", step, 1e-9).unionByName(runs("geometric", ratio, 1e-6))
+    longest = Window.partitionBy(*by).orderBy(F.desc(F.col("last") - F.col("first")), "kind", "first")
     return both.withColumn("_r", F.row_number().over(longest)).where("_r = 1").drop("_r")
 
 

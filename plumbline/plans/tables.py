@@ -208,7 +208,7 @@ g AS (SELECT o_orderpriority, min(i) - 1 AS first, max(i) AS last, any_value(dx)
 k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY last - first DESC, first) AS rk FROM g WHERE last - first + 1 >= 5)
 SELECT o_orderpriority, first::BIGINT AS first, last::BIGINT AS last, constant::DOUBLE AS constant FROM k WHERE rk = 1""")
 def progression_runs(t: Tables):
-    out = fo.progression_runs(month_cells(t), ["o_orderpriority"]).where("header = 'trend'")
+    out = fo.progression_runs(month_cells(t), ["o_orderpriority"])
     return rounded(out.select("o_orderpriority", "first", "last", "constant"), 4)
 
 

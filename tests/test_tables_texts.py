@@ -324,3 +324,50 @@ def test_many_numbers_in_one_line(frame):
     mode, got = entries_of(frame, refs)
     assert mode == "explicit" and [n for n, _ in got] == [*range(1, 1000), 1]
     assert got[1] == (2, "Work 2. [1] seen.") and got[-1] == (1, "last.")
+
+
+def runs_by_hand(values):
+    """Longest run of a column as ``(kind, first, last)``, numbered from 1."""
+    found = []
+    for kind in ("arithmetic", "geometric"):
+        change = [None]
+        for x, y in zip(values, values[1:]):
+            if kind == "arithmetic":
+                change.append(y - x if y != x else None)
+            else:
+                change.append(y / x if x != 0 and abs(y / x - 1) >= 1e-9 else None)
+        tolerance, start = (1e-9 if kind == "arithmetic" else 1e-6), None
+        for i in range(1, len(values) + 1):
+            now = change[i] if i < len(values) else None
+            before = change[i - 1]
+            if start is not None and (now is None or before is None or abs(now - before) > tolerance * max(abs(now), 1.0)):
+                if i - start + 1 >= fo.MIN_RUN:
+                    found.append((-(i - start), kind, start, i))
+                start = None
+            if start is None and now is not None:
+                start = i
+    return min(found)[1:] if found else None
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 4096])
+def test_progression_runs_do_not_depend_on_chunks(frame, chunk):
+    import random
+    r = random.Random(5)
+    columns = []
+    for c in range(12):
+        values = []
+        while len(values) < 60:
+            kind, n, x = r.randrange(4), r.randrange(2, 14), round(r.uniform(1, 9), 2)
+            values += [[x + 0.75 * k for k in range(n)], [x * 2.0 ** k for k in range(n)], [x] * n,
+                       [round(r.uniform(-9, 9), 2) for _ in range(n)] + [0.0]][kind]
+        columns.append([round(v, 4) for v in values])
+    rows = [(1, 1, 3 * i + i % 2, c, f"h{c}", str(v) if i % 17 else "none")
+            for c, column in enumerate(columns) for i, v in enumerate(column)]
+    cells = frame(rows, "d int, table_no long, row_no long, col_no long, header string, raw string")
+    want = {}
+    for c, column in enumerate(columns):
+        run = runs_by_hand([v for i, v in enumerate(column) if i % 17])
+        if run:
+            want[c] = run
+    got = {x["col_no"]: (x["kind"], x["first"], x["last"]) for x in fo.progression_runs(cells, ["d"], chunk).collect()}
+    assert got == want and len(want) > 8
