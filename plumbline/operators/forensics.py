@@ -189,23 +189,22 @@ def progression_runs(cells: DataFrame, keys: Sequence[str], chunk: int = RUN_CHU
         quotient = F.when(F.col(before) != 0, F.col(x) / F.col(before))
         return F.when(F.abs(quotient - 1) >= 1e-9, quotient)
 
-    def runs(kind: str, change, tolerance: float) -> DataFrame:
-        now, last = change("value", "prev"), change("prev", "prev2")
+    def change(kind: str, of, tolerance: float) -> Column:
+        now, last = of("value", "prev"), of("prev", "prev2")
         same = F.abs(now - last) <= tolerance * F.greatest(F.abs(now), F.lit(1.0))
-        marked = base.select(*by, "header", "chunk", "i", "edge", now.alias("change"),
-                             (~F.coalesce(same, F.lit(False))).cast("int").alias("new"))
-        part = F.sum("new").over(Window.partitionBy(*by, "chunk").orderBy("i"))
-        parts = marked.withColumn("part", part).where("change is not null").groupBy(*by, "header", "chunk", "part").agg(
-            F.min("i").alias("first"), F.max("i").alias("last"), F.min_by("change", "i").alias("constant"),
-            F.max("new").alias("new"), F.max("edge").alias("edge"))
-        kept = parts.where((F.col("last") - F.col("first") + 2 >= MIN_RUN) | (F.col("last") == F.col("edge")) | (F.col("new") == 0))
-        run = F.sum("new").over(Window.partitionBy(*by).orderBy("first"))
-        return kept.withColumn("run", run).groupBy(*by, "header", "run").agg(
-            (F.min("first") - 1).alias("first"), F.max("last").alias("last"), F.min_by("constant", "first").alias("constant")).where(
-            F.col("last") - F.col("first") + 1 >= MIN_RUN).select(
-            *by, "header", F.lit(kind).alias("kind"), "first", "last", "constant")
-
-    both = runs("arithmetic", step, 1e-9).unionByName(runs("geometric", ratio, 1e-6))
+        return F.struct(F.lit(kind).alias("kind"), now.alias("change"), (~F.coalesce(same, F.lit(False))).cast("int").alias("new"))
+
+    marked = base.select(*by, "header", "chunk", "i", "edge", F.inline(F.array(
+        change("arithmetic", step, 1e-9), change("geometric", ratio, 1e-6))))
+    part = F.sum("new").over(Window.partitionBy(*by, "chunk", "kind").orderBy("i"))
+    parts = marked.withColumn("part", part).where("change is not null").groupBy(*by, "header", "kind", "chunk", "part").agg(
+        F.min("i").alias("first"), F.max("i").alias("last"), F.min_by("change", "i").alias("constant"),
+        F.max("new").alias("new"), F.max("edge").alias("edge"))
+    kept = parts.where((F.col("last") - F.col("first") + 2 >= MIN_RUN) | (F.col("last") == F.col("edge")) | (F.col("new") == 0))
+    run = F.sum("new").over(Window.partitionBy(*by, "kind").orderBy("first"))
+    both = kept.withColumn("run", run).groupBy(*by, "header", "kind", "run").agg(
+        (F.min("first") - 1).alias("first"), F.max("last").alias("last"), F.min_by("constant", "first").alias("constant")).where(
+        F.col("last") - F.col("first") + 1 >= MIN_RUN).drop("run")
     longest = Window.partitionBy(*by).orderBy(F.desc(F.col("last") - F.col("first")), "kind", "first")
     return both.withColumn("_r", F.row_number().over(longest)).where("_r = 1").drop("_r")
 
