@@ -5,12 +5,27 @@ Cases: links from a node to itself and repeated links change nothing; without li
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.session import BROADCAST_ROWS, pin
 
 ROUNDS = 60
+#: A written frame is read by one task for so many of its rows, and by at least so many tasks.
+ROWS_A_TASK, LEAST_TASKS = 50_000, 8
+
+
+def tasks_for(rows: int) -> int:
+    return max(LEAST_TASKS, math.ceil(rows / ROWS_A_TASK))
+
+
+def compact(pinned: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written frame, read by as many tasks as its counted rows need: the next exchange then leaves a file for each of these, not for
+    each partition of the last one.  A frame whose partitions are full stays as it is."""
+    tasks = tasks_for(pinned.count() if rows is None else rows)
+    return pinned.coalesce(tasks) if tasks < pinned.rdd.getNumPartitions() else pinned
 
 
 def _least(rows: DataFrame, few: bool) -> DataFrame:
@@ -43,11 +58,14 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     execution may split.
     """
     edges = pin(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    few = edges.count() <= BROADCAST_ROWS // 4  # a step makes at most one row more for each node, and a link has two
-    before = None
+    n = edges.count()
+    few = n <= BROADCAST_ROWS // 4  # a step makes at most one row more for each node, and a link has two
+    edges, before = compact(edges, n), None
     for _ in range(rounds):
         tied = _large_star(edges, few)
-        edges = pin(_small_star(tied if few else pin(tied), few))
+        tied = tied.coalesce(tasks_for(n)) if few else pin(tied)
+        tied = _small_star(tied, few)
+        edges = pin(tied.coalesce(tasks_for(n)) if few else tied)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

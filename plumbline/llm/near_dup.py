@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import blocks as B
-from plumbline.llm.components import components
+from plumbline.llm.components import compact, components
 from plumbline.operators.joins import small_side
 from plumbline.session import pin
 
@@ -251,21 +251,23 @@ def resolve(placed: DataFrame, sketches: DataFrame, texts: DataFrame, width: int
 
     ``placed``: ``key, id``; ``sketches``: ``id, n_shingles``, parity and, where there are any, sketch columns; ``texts``: ``id, text``.
     """
-    links, labels, before = None, None, float("inf")
+    placed, links, labels, before = compact(placed), None, None, float("inf")
     while True:
-        known = pin(_known(placed, labels))
+        known = compact(pin(_known(placed, labels)))
         rows, pairs = known.dropDuplicates(["key"]).agg(
             F.sum("rows"), F.sum(F.col("rows").cast("double") * (F.col("rows") - F.col("most")))).first()
         if rows is None or pairs <= PAIRS_A_ROW * rows or 2 * pairs > before:
             break
         before = pairs
-        new = pin(confirm(pin(star_ties(known, sketches)), texts, width))
-        if new.isEmpty():
+        new = pin(confirm(compact(pin(star_ties(known, sketches))), texts, width))
+        found = new.count()
+        if not found:
             break
+        new = compact(new, found)
         links = new if links is None else links.unionByName(new)
         labels = components(links)
     if rows is not None:
-        more = pin(confirm(pin(open_pairs(known, sketches)), texts, width))
+        more = compact(pin(confirm(compact(pin(open_pairs(known, sketches))), texts, width)))
         links = more if links is None else links.unionByName(more)
     return links if links is not None else placed.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
 

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import blocks as B
+from plumbline.llm.components import compact
 from plumbline.llm.near_dup import PARITY_WORDS, PERCENT, components_sql, labelled, lists, parity_bits, resolve, shingle_sets
 from plumbline.operators.joins import small_side
 from plumbline.session import pin
@@ -265,7 +266,8 @@ def open_keys(texts: DataFrame, plan: dict[int, Layout], width: int) -> DataFram
     spread = rows.withColumn("salt", F.when(sure, F.col("name")).otherwise(F.lit(0)))
     w = Window.partitionBy("key", "salt")
     marked = spread.withColumn("low", F.min("name").over(w)).withColumn("high", F.max("name").over(w))
-    return pin(marked.where(sure | (F.col("low") < F.col("high"))).select("key", "name", F.col("kind").bitwiseAND(~SURE).alias("kind")).distinct())
+    open_ = marked.where(sure | (F.col("low") < F.col("high")))
+    return compact(pin(open_.select("key", "name", F.col("kind").bitwiseAND(~SURE).alias("kind")).distinct()))
 
 
 def thinned(rows: DataFrame, frequent: int = FREQUENT) -> DataFrame:
