@@ -301,9 +301,13 @@ def table_against_columns(
 
 
 def group_rows(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows ``label | n | M | SD`` (any of n, M, SD, or ``M±SD``) of printed tables."""
+    """Rows ``label | n | M | SD`` (any of n, M, SD, or ``M±SD``) of printed tables.
+
+    A whole number under a header for sizes is a size however large; without one it is taken for a size up to 1000.
+    """
     per = cells.where(F.trim("raw") != "").groupBy(*keys, "table_no", "row_no").agg(
-        F.array_sort(F.collect_list(F.struct("col_no", F.trim("raw").alias("t")))).alias("_c"))
+        F.array_sort(F.collect_list(F.struct(
+            "col_no", F.trim("raw").alias("t"), F.coalesce(_header_is(ft.N_HEADERS), F.lit(False)).alias("size")))).alias("_c"))
     texts = F.transform("_c", lambda c: c["t"])
     merged = r"^(-?\d+(?:\.\d+)?)\s*±\s*(\d+(?:\.\d+)?)$"
     number = r"^-?\d+(?:\.\d+)?$"
@@ -314,8 +318,10 @@ def group_rows(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
                       & ~t.rlike("^(?:表|Table|注)"))
     v = lambda i: F.try_element_at("_n", F.lit(i)).try_cast("double")
     first = F.try_element_at("_n", F.lit(1))
-    is_n = ~first.contains(".") & v(1).between(1, 1000)
-    out = per.withColumns({"_n": numbers, "label": F.try_element_at(labels, F.lit(1))}).where(
+    is_n = ~first.contains(".") & (v(1).between(1, 1000) | (F.col("_sized") & (v(1) >= 1)))
+    sized = F.try_element_at(F.filter("_c", lambda c: c["t"].rlike(merged) | c["t"].rlike(number)), F.lit(1))["size"]
+    out = per.withColumns({"_n": numbers, "_sized": F.coalesce(sized, F.lit(False)),
+                           "label": F.try_element_at(labels, F.lit(1))}).where(
         "label is not null and size(_n) >= 2")
     only_two = (F.size("_n") == 2) & ~is_n
     return out.select(

@@ -371,3 +371,11 @@ def test_progression_runs_do_not_depend_on_chunks(frame, chunk):
             want[c] = run
     got = {x["col_no"]: (x["kind"], x["first"], x["last"]) for x in fo.progression_runs(cells, ["d"], chunk).collect()}
     assert got == want and len(want) > 8
+
+
+def test_group_rows_large_sizes(frame):
+    cells = cells_of(frame, ["g", "n", "M", "SD"], [["A", "7200", "3.50", "0.40"], ["B", "1000", "2.50", "0.30"]])
+    got = {r["label"]: (r["n"], r["mean"], r["sd"]) for r in cp.group_rows(cells, ["d"]).collect()}
+    assert got == {"A": (7200, 3.5, 0.4), "B": (1000, 2.5, 0.3)}
+    plain = cells_of(frame, ["g", "M", "SD"], [["A", "7200", "35"]])
+    assert [(r["n"], r["mean"], r["sd"]) for r in cp.group_rows(plain, ["d"]).collect()] == [(None, 7200.0, 35.0)]
