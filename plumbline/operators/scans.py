@@ -86,10 +86,14 @@ def secret_scan(
 
 
 def assigned_secrets(
-    texts: DataFrame, keys: Sequence[str], text: str = "text", least: int = 20
+    texts: DataFrame, keys: Sequence[str], text: str = "text", least: int = 20, any_case: bool = True
 ) -> DataFrame:
-    """Long unbroken runs assigned to a name such as token, key or secret."""
-    pattern = r"(?i)\b(?:token|key|secret|password)\b\s*[:=]\s*[\"']?[A-Za-z0-9]{" + str(least) + ",}"
+    """Long unbroken runs assigned to a name such as token, key or secret.
+
+    ``any_case`` also takes names in capitals.  Bounds and blanks are those of ASCII, whatever the Java version.
+    """
+    pattern = (("(?i)" if any_case else "") + r"(?<![A-Za-z0-9_])(?:token|key|secret|password)[ \t\n\f\r]*[:=]"
+               r"[ \t\n\f\r]*[\"']?[A-Za-z0-9]{" + str(least) + ",}")
     found = tx.locate(texts, keys, text, {"assigned": pattern}, 0)
     return found.select(*keys, F.col("kind").alias("category"), F.col("start").alias("pos"))
 

@@ -379,3 +379,12 @@ def test_group_rows_large_sizes(frame):
     assert got == {"A": (7200, 3.5, 0.4), "B": (1000, 2.5, 0.3)}
     plain = cells_of(frame, ["g", "M", "SD"], [["A", "7200", "35"]])
     assert [(r["n"], r["mean"], r["sd"]) for r in cp.group_rows(plain, ["d"]).collect()] == [(None, 7200.0, 35.0)]
+
+
+def test_assigned_secrets_case(frame):
+    run = "9233A8ECF7C5B09FE5949719"
+    df = frame([(1, f"ab token = '{run}'"), (2, f"TOKEN = {run}"), (3, f"mytoken = {run}"), (4, f"\u00dftoken: {run}")],
+               "d int, text string")
+    some = sc.assigned_secrets(df, ["d"], any_case=False).collect()
+    assert sorted((r["d"], r["pos"]) for r in some) == [(1, 3), (4, 1)]
+    assert sorted(r["d"] for r in sc.assigned_secrets(df, ["d"]).collect()) == [1, 2, 4]
