@@ -158,18 +158,21 @@ def profile_with_top(df: DataFrame, columns: Sequence[str] | None = None, k: int
 
 
 def recommend_method(
-    profiled: DataFrame, id_tokens: Sequence[str] = fv.ID_TOKENS, order: Sequence[str] = ()
+    profiled: DataFrame, id_tokens: Sequence[str] = fv.ID_TOKENS, order: Sequence[str] = (),
+    measured: Sequence[str] = (),
 ) -> DataFrame:
     """Propose a method from a profile: fewest-level category plus the first continuous column.
 
-    ``order`` gives the column order of the table; without it names decide.
+    ``order`` gives the column order of the table; without it names decide.  ``measured`` names columns
+    known to be measurements: they stay continuous where a long table repeats their values.
     """
     position = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("name")) if order \
         else F.lit(0)
     flagged = profiled.withColumn("_pos", position).withColumn(
         "_id", F.lower("name").rlike("|".join(id_tokens)))
-    continuous = (F.col("type") == "continuous") & ~F.col("_id")
-    categorical = F.col("type") == "categorical"
+    known = F.col("is_numeric") & F.col("name").isin(*measured) if measured else F.lit(False)
+    continuous = ((F.col("type") == "continuous") & ~F.col("_id")) | known
+    categorical = (F.col("type") == "categorical") & ~known
 
     def sorted_names(condition: Column, *keys: Column) -> Column:
         picked = F.array_sort(F.collect_list(F.when(condition, F.struct(*keys, F.col("name")))))

@@ -284,3 +284,11 @@ def test_last_digits_of_nearly_all_different_integers(frame):
             got = {r.name: (r.n_unique, r.eligible) for r in table(gates, columns=["a", "b", "c", "d"], exact=exact).collect()}
             assert {k: v[0] for k, v in got.items()} == {"a": 49, "b": 50, "c": 4, "d": 5}
             assert got["c"][1] is False and got["a"][1] is (table is q.terminal_table) and got["b"][1] is True
+
+
+def test_measured_column_with_repeated_values(frame):
+    df = frame([("ab"[i % 2], float(i % 7) + 0.5) for i in range(400)], "t string, price double")
+    profiled = prof.profile(df)
+    assert prof.recommend_method(profiled, order=df.columns).first()["method"] == "chi_square"
+    rec = prof.recommend_method(profiled, order=df.columns, measured=["price"]).first()
+    assert (rec["method"], rec["group_col"], rec["value_col"]) == ("independent_t", "t", "price")
