@@ -8,8 +8,8 @@ numbers are little-endian.  A file is written under a name of its own attempt an
 again, or twice, leaves one whole file.
 
 Words are encoded once per worker: texts are cut only before a single space followed by a letter or a
-visible ASCII character, where the byte-level pattern always begins a new piece, so the ids of a text are the
-ids of its pieces one after the other.  Special tokens are those of the tokenizer file, which hold no space: a text that
+visible ASCII character and between an ASCII letter and another ASCII character, where the byte-level pattern always
+begins a new piece, so the ids of a text are the ids of its pieces one after the other.  Special tokens are those of the tokenizer file, which hold no space: a text that
 spells one out gets its id, as in a plain call of the library.
 
 Cases: a null or empty text has only the end id; a null document id sorts first and is stored as the
@@ -39,6 +39,13 @@ NO_ID = np.iinfo(np.int64).min
 _OPENS = np.zeros(256, bool)
 _OPENS[0x21:0x7F] = True
 _OPENS[0xC3:0xE0] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_OTHER = ~_LETTER
+_OTHER[0x80:] = False
+
+#: Pieces encoded as one text.
+JOINED = 512
 
 _workers: dict[str, Encoder] = {}
 
@@ -53,6 +60,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.memory = B.Memory()
+        #: bytes of each token: a byte-level vocabulary writes one character for a byte
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [token.content.encode() for token in added.values()]
+        self.widths = np.zeros(self.vocabulary, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.widths[i] = len(added[i].content.encode()) if i in added else len(token)
 
     def encode(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the number of ids of each text."""
@@ -61,22 +74,53 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(block), np.int64)
         cut = np.zeros(len(data) + 1, bool)
         cut[:-2] = (data[:-1] == 0x20) & _OPENS[data[1:]]
+        raw = data.tobytes()
+        if not any(token in raw for token in self.added):  # which may hold letters and marks
+            cut[1:-1] |= _LETTER[data[:-1]] & _OTHER[data[1:]]
         cut[block.offsets] = True
         starts = np.flatnonzero(cut)
         starts, ends = starts[:-1], starts[1:]
         h = B.span_hashes(data, starts, ends)
-        raw = data.tobytes()
-
-        def learn(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first], ends[first])]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            return np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum())), lengths
-
-        ids, to = self.memory.spread(h, learn)
+        ids, to = self.memory.spread(
+            h, lambda first: self._learn([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]))
         per_text = to[np.searchsorted(starts, block.offsets)]
         return ids, np.diff(per_text)
 
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for each piece.
+
+        Pieces that begin with a space at a cut are joined ``JOINED`` at a time, as in a text, and told apart again by the bytes of their
+        ids.  The others, and joined texts whose ids do not end where the pieces end, are encoded one by one.
+        """
+        counts = np.zeros(len(pieces), np.int64)
+        opens = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == 0x20 and _OPENS[p[1]]]
+        alone = sorted(set(range(len(pieces))).difference(opens))
+        groups = [opens[k:k + JOINED] for k in range(0, len(opens), JOINED)]
+        joined = [b"".join([pieces[k] for k in g]).decode("utf-8", "replace") for g in groups]
+        order: list[int] = []
+        parts: list[np.ndarray] = []
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(got.ids, np.uint32)
+            reached = np.cumsum(self.widths[ids])
+            wanted = np.cumsum([len(pieces[k]) for k in group])
+            last = np.searchsorted(reached, wanted)
+            if len(ids) and reached[-1] == wanted[-1] and (reached[last] == wanted).all():
+                counts[group] = np.diff(last + 1, prepend=0)
+                order.extend(group)
+                parts.append(ids)
+            else:
+                alone.extend(group)
+        for k, got in zip(alone, self.tokenizer.encode_batch_fast(
+                [pieces[k].decode("utf-8", "replace") for k in alone], add_special_tokens=False)):
+            counts[k] = len(got.ids)
+            order.append(k)
+            parts.append(np.array(got.ids, np.uint32))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        place = np.zeros(len(pieces), np.int64)
+        place[order] = np.cumsum(counts[order]) - counts[order]
+        to = np.cumsum(counts)
+        return flat[np.repeat(place - (to - counts), counts) + np.arange(to[-1] if len(to) else 0)], counts
+
 
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process, kept between tasks."""

@@ -451,6 +451,28 @@ def test_top_k_equals_brute_force(spark):
     assert {tuple(r) for r in small.collect()} == want
 
 
+def test_token_pieces_are_few_and_joined_ones_equal_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from plumbline.llm import blocks, token_files
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    own = token_files.Encoder(path)
+    own.encode(next(blocks.blocks(pa.array(["".join(f" {w}{m}" for w in ("alpha", "beta", "gamma") for m in ",.;!?")]))))
+    assert len(own.memory.at) - 1 <= 8
+    draw = random.Random(7)
+    signs = ["a", "Bc", "é", " ", "  ", "\n", "1", "'s", "'", "!", "中", "\u2581", "<|endoftext|>", "<|", "|>", "\x00"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    got = []
+    for k in range(0, len(texts), 100):
+        for block in blocks.blocks(pa.array(texts[k:k + 100])):
+            ids, n = own.encode(block)
+            got += [part.tolist() for part in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, tmp_path):
