@@ -388,3 +388,12 @@ def test_assigned_secrets_case(frame):
     some = sc.assigned_secrets(df, ["d"], any_case=False).collect()
     assert sorted((r["d"], r["pos"]) for r in some) == [(1, 3), (4, 1)]
     assert sorted(r["d"] for r in sc.assigned_secrets(df, ["d"]).collect()) == [1, 2, 4]
+
+
+def test_front_matter_takes_blanks_out_once(frame):
+    df = frame([(1, "UDC 1\n分 类 号 7\nx"), (2, "UDC"), (3, "UDC 分类号 " + "x" * 900), (4, "UDC 分类号 学号 " + "x" * 900),
+                (5, "UDC 分类号 学号 " + "x" * 2000), (6, None)], "d int, text string")
+    out = readers.drop_front_matter(df)
+    assert sorted(r["d"] for r in out.collect()) == [2, 3, 5]
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace") == 1
+
