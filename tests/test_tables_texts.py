@@ -397,3 +397,14 @@ def test_front_matter_takes_blanks_out_once(frame):
     assert sorted(r["d"] for r in out.collect()) == [2, 3, 5]
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace") == 1
 
+
+def test_rules_that_need_han(frame):
+    from plumbline.functions import text as tx
+
+    yes = ["综上所述[，,]", "旨在|致力于", "(丰富|补充)了.{0,12}(理论|文献)", "(?:表|图)中?", "[一-鿿]{2,}", "(?<!a)分析"]
+    no = ["yyds|破防", "——", "的?a", "(的)?a", "的*", "的{0,2}x", "(?=的).", "(?!的)a", "[的a]", "[^的]", "(?i)的", "a|的", r"[\\])的]|b", ""]
+    assert [tx.needs_han(p) for p in yes] == [True] * len(yes) and [tx.needs_han(p) for p in no] == [False] * len(no)
+    rules = fw.chinese_style().phrases
+    df = frame([(1, "plain yyds text"), (2, "综上所述，旨在 yyds"), (3, None)], "d int, text string")
+    got = {r["d"]: r["total_hits"] for r in st.phrase_density(df, ["d"], rules).collect()}
+    assert got == {1: 1, 2: 3, 3: None}
