@@ -456,12 +456,13 @@ def causal_wording(docs: DataFrame, keys: Sequence[str], text: str = "text") ->
 
     Reported literature, assumptions and conditionals left of the verb excuse a sentence.
     """
-    methods = F.array_compact(F.array(*[
-        F.when(F.col(text).rlike(p), F.lit(k)) for k, p in ft.METHOD_PATTERNS]))
-    frame = docs.select(*keys, text).withColumn("_methods", methods)
-    only_correlational = F.arrays_overlap("_methods", F.array(*map(F.lit, fw.CORRELATIONAL_METHODS))) \
-        & ~F.arrays_overlap("_methods", F.array(*map(F.lit, fw.EXPERIMENTAL_METHODS)))
-    parts = tx.sentences(frame.where(only_correlational), keys, text, r"[。！？；\n]|[.!?;](?=\s|$)")
+    def named(kinds: Sequence[str]) -> Column:
+        return F.coalesce(*[F.when(F.col(text).rlike(p), True) for k, p in ft.METHOD_PATTERNS if k in kinds], F.lit(False))
+
+    # the verb is sought first: its one pattern leaves few texts for those of the methods
+    verbal = docs.select(*keys, text).where(F.col(text).rlike(fw.CAUSAL_VERB))
+    frame = verbal.where(named(fw.CORRELATIONAL_METHODS)).where(~named(fw.EXPERIMENTAL_METHODS))
+    parts = tx.sentences(frame, keys, text, r"[。！？；\n]|[.!?;](?=\s|$)")
     excused = fw.CAUSAL_SKIP + r"[^。！？；\n]{0,30}?(?:" + fw.CAUSAL_VERB + ")"
     verb = F.regexp_extract("sentence", f"({fw.CAUSAL_VERB})", 1)
     return parts.where(F.col("sentence").rlike(fw.CAUSAL_VERB) & ~F.col("sentence").rlike(excused)) \
