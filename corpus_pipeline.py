@@ -51,10 +51,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, source, n_tokens, ids, round_trip``; the last tells whether decoding the ids gives the text as the model normalises it."""
+    """``doc_id, source, n_tokens, ids``.  Ids are decoded where they are made; the job stops at ids that do not give the text as the
+    model normalises it."""
     small_batches(spark)
     coded = docs.select("doc_id", "source", pieces.coded_udf(tokenizer_path("piece_bpe_32k.model"))("text").alias("c"))
-    return coded.select("doc_id", "source", F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.round_trip")
+    ids = F.when(F.coalesce("c.round_trip", F.lit(True)), F.col("c.ids")).otherwise(F.raise_error(F.concat(
+        F.lit("ids do not decode to the text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")))))
+    return coded.select("doc_id", "source", ids.alias("ids")).select(
+        "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

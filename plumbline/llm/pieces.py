@@ -33,6 +33,8 @@ MARK = "▁"
 UNKNOWN = 10.0
 #: Words searched together.
 TOGETHER = 8192
+#: Bytes of texts encoded and decoded together where ids are kept: the working memory is some hundred bytes for each.
+CODED_BYTES = 1 << 19
 _MARK_BYTES = np.frombuffer(MARK.encode(), np.uint8)
 _models: dict[str, Coder] = {}
 
@@ -273,7 +275,7 @@ def coded_udf(path: str):
     @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
     def coded(texts: pa.Array) -> pa.Array:
         own, flat, counts, same = coder(path), [], [], []
-        for block in B.blocks(texts):
+        for block in B.blocks(texts, CODED_BYTES):
             ids, at = own.encode(block)
             data = block.data.tobytes()
             flat.append(ids)
