@@ -45,8 +45,9 @@ def group_stats(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -
         F.var_samp(_value(value)).alias("v"))
 
 
-def two_groups(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Two-row group statistics to one row; keys with another number of groups get a status.
+def two_groups(stats: DataFrame, by: Sequence[str] = (), least: int = 2) -> DataFrame:
+    """Two-row group statistics to one row; keys with another number of groups, or groups of fewer than ``least`` rows, get
+    a status.
 
     Groups are ordered by label, so the result does not depend on row order.
     """
@@ -57,7 +58,7 @@ def two_groups(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *[low(c).alias(f"{c}1") for c in ("n", "m", "v")],
         *[high(c).alias(f"{c}2") for c in ("n", "m", "v")],
     )
-    ok = (F.col("k") == 2) & (F.col("n1") >= 2) & (F.col("n2") >= 2)
+    ok = (F.col("k") == 2) & (F.col("n1") >= least) & (F.col("n2") >= least) & (F.col("n1") + F.col("n2") > 2)
     return out.withColumn("status", F.when(ok, "ok").otherwise("abstained"))
 
 
@@ -103,10 +104,11 @@ def independent_t(
 ) -> DataFrame:
     """Independent-samples t: Levene decides pooled or Welch unless ``equal_var`` is given.
 
-    Statistic, degrees of freedom and interval all follow the variant that was chosen.
+    Statistic, degrees of freedom and interval all follow the variant that was chosen.  The pooled variance is defined
+    where one group has a single row, so with ``equal_var=True`` that group is no reason to abstain.
     """
     by = list(by)
-    out = two_groups(group_stats(df, group, value, by), by)
+    out = two_groups(group_stats(df, group, value, by), by, least=1 if equal_var else 2)
     if equal_var is None:
         lev = levene(df, group, value, by).select(
             *by, F.col("w").alias("levene_w"), F.col("p").alias("levene_p"))
@@ -116,7 +118,8 @@ def independent_t(
             "levene_w": F.lit(None).cast("double"), "levene_p": F.lit(None).cast("double"),
             "equal_var": F.lit(equal_var)})
     n1, n2, v1, v2 = (F.col(c) for c in ("n1", "n2", "v1", "v2"))
-    pooled_var = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
+    squares = lambda n, v: F.when(n > 1, (n - 1) * v).otherwise(0.0)
+    pooled_var = (squares(n1, v1) + squares(n2, v2)) / (n1 + n2 - 2)
     a, b = v1 / n1, v2 / n2
     welch_df = _div(F.pow(a + b, 2), a * a / (n1 - 1) + b * b / (n2 - 1))
     out = out.where("status = 'ok'").select(

@@ -183,6 +183,15 @@ def test_t_and_levene_by_hand(frame):
     assert mo.independent_t(three, "g", "v", equal_var=True).count() == 0
 
 
+def test_pooled_t_with_a_group_of_one_row(frame):
+    df = frame([("a", 4.0), ("b", 1.0), ("b", 2.0), ("b", 6.0)], "g string, v double")
+    row = mo.independent_t(df, "g", "v", equal_var=True).first()
+    assert row["df"] == 2 and row["t"] == pytest.approx((4 - 3) / math.sqrt(14 / 2 * (1 + 1 / 3)))
+    assert 0 < row["p"] < 1 and row["sd1"] is None
+    assert mo.independent_t(df, "g", "v", equal_var=False).count() == 0
+    assert mo.independent_t(df.where("v IN (1, 4)"), "g", "v", equal_var=True).count() == 0
+
+
 def test_constant_values_do_not_fail(frame):
     df = frame([("a", 1.0, 2.0)] * 4 + [("b", 1.0, 2.0)] * 4 + [("c", 1.0, 2.0)] * 3,
                "g string, v double, w double")
