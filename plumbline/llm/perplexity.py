@@ -1,16 +1,17 @@
-"""Quality rules by n-gram perplexity: a modified Kneser-Ney model of letters inside words.
+"""Quality rules by n-gram perplexity: a modified Kneser-Ney model of letters across whole texts.
 
-Bytes are mapped to 64 classes (``CLASSES``), so there are at most 64 ** 4 four-grams a language whatever the corpus: that
-bounds the model.  Spark counts the four-grams of every word of every document by language, summed per task before the shuffle; lower orders
-use continuation counts.  Probabilities and backoff weights lie in arrays sorted by n-gram code and are found by binary search.  A
-language's model is mixed with that of all languages by the weight of its letters (``OWN_WEIGHT``).  A document's figure is the mean
-negative log10 probability per letter class under the model of its language (column ``lang``); a second figure is its variety, the log of
-its distinct words less what its number of words leads to expect.
+A text is its words one after the other, each closed by a bound, in 64 symbols: letters, digits and common marks are one symbol, every
+byte over 127 is a pair of them (``FIRST``, ``SECOND``), so no two letters of any script are merged.  Five-grams run across the bounds of words,
+so the end of one word and the start of the next are judged together.  Spark counts the five-grams of all texts by language, summed
+per task before the shuffle; lower orders use continuation counts.  Probabilities and backoff weights lie in arrays sorted by n-gram code and
+are found by binary search.  A language's model is mixed with that of all languages by the weight of its letters (``OWN_WEIGHT``).  A
+document's figure is the mean negative log10 probability per symbol under the model of its language (column ``lang``); a second
+figure is its variety, the log of its distinct words less what its number of words leads to expect.
 
 Both have limits from the quartiles of the language's own documents: ``SPREAD`` interquartile ranges beyond them for the first,
 ``VARIETY_SPREAD`` below them for the second, wider for short texts.  Quartiles are taken from the language's median and shrunk towards those
 of all documents by ``SHRINK`` documents, so that no number of documents switches the rule.  They are exact over bins of
-``BIN``.  Documents outside the limits, and those that fail the base rules, are not kept.  The order of words is not judged.
+``BIN``.  Documents outside the limits, and those that fail the base rules, are not kept.
 
 Cases: a null or empty text has no words and fails the base rules; a null language is a group of its own;
 repeated rows are judged alike; long texts are read whole; an empty table gives an empty result.  Only the
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import blocks as B
 from plumbline.session import pin
 
-ORDER = 4
+ORDER = 5
 SPREAD = 2.0
 VARIETY_SPREAD = 6.0
 #: Short texts vary more: the limits widen by this over the square root of the letters, or of the words.
@@ -48,75 +49,100 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _classes() -> np.ndarray:
-    """0 is the bound of a word, 1-26 letters, 27 digits, 28-36 marks, 37-63 other bytes (bytes over 127 by value)."""
-    out = np.zeros(256, np.uint8)
+def _symbols() -> tuple[np.ndarray, np.ndarray]:
+    """First and second symbol of each byte (-1: none): 0 is the bound of a word, 1-26 letters, 27 digits, 28-36 marks, 37 other
+    bytes below 128; a byte above is one of 38-53 by its upper and one of 54-61 by its lower bits."""
+    first, second = np.zeros(256, np.int8), np.full(256, -1, np.int8)
     for b in range(256):
         c = chr(b).lower()
         if "a" <= c <= "z" and b < 128:
-            out[b] = ord(c) - ord("a") + 1
+            first[b] = ord(c) - ord("a") + 1
         elif "0" <= c <= "9":
-            out[b] = 27
+            first[b] = 27
         elif b < 128:
             place = ".,;:!?'-\"".find(c)
-            out[b] = 28 + place if place >= 0 else 37
+            first[b] = 28 + place if place >= 0 else 37
         else:
-            out[b] = 38 + b % 26
-    return out
+            first[b], second[b] = 38 + (b - 128) // 8, 54 + b % 8
+    return first, second
 
 
-CLASSES = _classes()
+FIRST, SECOND = _symbols()
+WIDTH = (1 + (SECOND >= 0)).astype(np.int8)
+CODE_BITS = 6 * ORDER
 
 
-def grams(block: B.Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the four-grams of each word, one for every letter and one for the end, and bounds per word.
+def grams(block: B.Block, words: B.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the five-grams of each text, one for every symbol of its words and one for the bound after each, and bounds per text.
 
-    A code holds the class itself in its low 6 bits and the three classes before it above; before a word are bounds (0).
+    A code holds the symbol itself in its low 6 bits and the four symbols before it above; before a text are bounds (0).
     """
-    counts = ends - starts + 1
-    to = np.concatenate([[0], np.cumsum(counts)])
-    place = np.arange(to[-1]) - np.repeat(to[:-1], counts)
-    at = np.repeat(starts, counts) + place
-    own = CLASSES[block.data].astype(np.int32)
-    code = np.where(at < np.repeat(ends, counts), own[np.minimum(at, len(own) - 1)], 0) if len(own) else np.zeros(0, np.int32)
-    whole = code.copy()
+    data = block.data
+    inner = ~B.SPACE[data]
+    width = WIDTH[data] * inner
+    width[words.ends - 1] += 1
+    to = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(width, out=to[1:])
+    stream = np.zeros(to[-1], np.int64)
+    stream[to[:-1][inner]] = FIRST[data[inner]]
+    pair = inner & (SECOND[data] >= 0)
+    stream[to[:-1][pair] + 1] = SECOND[data[pair]]
+    at = to[block.offsets]
+    whole = stream.copy()
     for back in range(1, ORDER):
-        earlier = np.zeros_like(code)
-        earlier[back:] = code[:-back]
-        whole += np.where(place >= back, earlier, 0) << (6 * back)
-    return whole, to
+        earlier = np.zeros_like(stream)
+        earlier[back:] = stream[:-back]
+        outside = (at[:-1, None] + np.arange(back)).ravel()
+        earlier[outside[outside < len(stream)]] = 0
+        whole += earlier << (6 * back)
+    return whole, at
+
+
+def by_language(code: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Codes with the numbers of their texts' languages in the bits above."""
+    return (np.repeat(own.astype(np.int64), np.diff(at)) << CODE_BITS) + code
+
+
+class Counter:
+    """Counts of codes as sorted arrays; what was added since is merged when it has grown as large."""
+
+    LEAST = 1 << 20
 
+    def __init__(self):
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
-def words_by_language(block: B.Block, own: np.ndarray) -> tuple[B.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the first of each distinct word of a language, their numbers, and their languages (numbers ``own`` of the texts)."""
-    words = block.words()
-    of = np.repeat(own, words.counts)
-    h = B.mix(block.word_hashes(words) + of.astype(B.U) * B.U(0x9E3779B97F4A7C15))
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return words, first, inverse, of[first]
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((codes, counts))
+        if sum(len(c) for c, _ in self.parts[1:]) > max(self.LEAST, len(self.parts[0][0])):
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        codes, inverse = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
+        counts = np.zeros(len(codes), np.int64)
+        np.add.at(counts, inverse, np.concatenate([n for _, n in self.parts]))
+        self.parts = [(codes, counts)]
+        return codes, counts
 
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(lang, code, n)``: four-gram counts over all words of all documents by language."""
+    """``(lang, code, n)``: five-gram counts over the whole texts of all documents by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        tables: dict[str | None, Counter] = {}
         for batch in batches:
             kinds = pa.compute.dictionary_encode(batch.column(1), null_encoding="encode")
             names, numbers = kinds.dictionary.to_pylist(), kinds.indices.to_numpy()
             for block in B.blocks(batch.column(0)):
-                words, first, inverse, of = words_by_language(block, numbers[block.first:block.last])
-                often = np.bincount(inverse, minlength=len(first))
-                code, to = grams(block, words.starts[first], words.ends[first])
-                weight, of = np.repeat(often, np.diff(to)), np.repeat(of, np.diff(to))
-                for k in np.unique(of).tolist():
-                    codes, counts = tables.get(names[k], (np.zeros(0, np.int32), np.zeros(0, np.int64)))
-                    codes, inv = np.unique(np.concatenate([codes, code[of == k]]), return_inverse=True)
-                    tables[names[k]] = codes, np.bincount(
-                        inv, np.concatenate([counts, weight[of == k]]), len(codes)).astype(np.int64)
-        for name, (codes, counts) in tables.items():
+                keys, counts = np.unique(
+                    by_language(*grams(block, block.words()), numbers[block.first:block.last]), return_counts=True)
+                edges = np.searchsorted(keys, np.arange(len(names) + 1) << CODE_BITS)
+                for name, a, b in zip(names, edges[:-1], edges[1:]):
+                    if b > a:
+                        tables.setdefault(name, Counter()).add(keys[a:b] & ((1 << CODE_BITS) - 1), counts[a:b])
+        for name, table in tables.items():
+            codes, counts = table.merged()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts)], names=["lang", "code", "n"])
+                [pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
     return docs.select(text, F.col(lang).cast("string")).mapInArrow(run, "lang string, code long, n long").groupBy(
         "lang", "code").agg(F.sum("n").alias("n"))
@@ -133,14 +159,15 @@ class Level:
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    wanted = wanted.astype(keys.dtype, copy=False)
     at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
 
 def build(codes: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """Modified Kneser-Ney, orders 1 to ``ORDER``, from sorted four-gram codes and their counts."""
+    """Modified Kneser-Ney, orders 1 to ``ORDER``, from sorted codes of the highest order and their counts."""
     tables = {ORDER: (codes, counts)}
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct classes before the n-gram
+    for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols before the n-gram
         short, n = np.unique(tables[order + 1][0] & ((1 << 6 * order) - 1), return_counts=True)
         tables[order] = (short, n)
     levels: list[Level] = []
@@ -161,6 +188,10 @@ def build(codes: np.ndarray, counts: np.ndarray) -> list[Level]:
     return levels
 
 
+def _single(levels: list[Level]) -> list[Level]:
+    return [Level(v.codes, v.logp.astype(np.float32), v.contexts, v.backoff.astype(np.float32)) for v in levels]
+
+
 def score(levels: list[Level], codes: np.ndarray) -> np.ndarray:
     """log10 probability of each code at the highest order given, backing off order by order."""
     if not levels:
@@ -198,17 +229,37 @@ def fit(docs: DataFrame, text: str = "text") -> list[Level]:
     return fit_languages(docs.select(text, F.lit(None).cast("string").alias("lang")), text).whole
 
 
+def _levels(table: pa.Table) -> pa.Table:
+    """The levels of one model from its counts, as a row of packed arrays each."""
+    codes, counts = (table.column(c).to_numpy() for c in ("code", "n"))
+    order = np.argsort(codes)
+    levels = build(codes[order], counts[order])
+    head = {c: [table.column(c)[0].as_py()] * ORDER for c in ("whole", "lang")}
+    return pa.table({
+        **head, "level": list(range(ORDER)), "n": [int(counts.sum())] * ORDER,
+        "codes": [v.codes.astype(np.int32).tobytes() for v in levels], "logp": [v.logp.tobytes() for v in levels],
+        "contexts": [v.contexts.astype(np.int32).tobytes() for v in levels], "backoff": [v.backoff.tobytes() for v in levels],
+    }, schema=pa.schema([("whole", pa.bool_()), ("lang", pa.string()), ("level", pa.int32()), ("n", pa.int64()), *[
+        (c, pa.binary()) for c in ("codes", "logp", "contexts", "backoff")]]))
+
+
 def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> Models:
-    # bounded by the alphabet: 64 ** ORDER codes a language at most, in practice some hundred thousand
-    table = count_grams(docs, text, lang).toPandas()
-    whole = table.groupby("code")["n"].sum().sort_index()
-    own = {}
-    for name, part in table.groupby("lang", dropna=False):
-        part = part.sort_values("code")
-        n = part["n"].sum()
-        own[name if isinstance(name, str) else None] = (
-            build(part["code"].to_numpy(np.int64), part["n"].to_numpy(np.int64)), float(n / (n + OWN_WEIGHT)))
-    return Models(build(whole.index.to_numpy(np.int64), whole.to_numpy(np.int64)), own)
+    """A model is built in a task of its own; its size is that of the spelling of a language.  The driver gets packed arrays."""
+    own = pin(count_grams(docs, text, lang)).select(F.lit(False).alias("whole"), "lang", "code", "n")
+    every = own.groupBy("code").agg(F.sum("n").alias("n")).select(
+        F.lit(True).alias("whole"), F.lit(None).cast("string").alias("lang"), "code", "n")
+    packed = own.unionByName(every).groupBy("whole", "lang").applyInArrow(
+        _levels, "whole boolean, lang string, level int, n long, codes binary, logp binary, contexts binary, backoff binary").toArrow()
+    models, sizes = {}, {}
+    for r in sorted(packed.to_pylist(), key=lambda r: r["level"]):
+        key = r["whole"], r["lang"]
+        models.setdefault(key, []).append(Level(
+            np.frombuffer(r["codes"], np.int32), np.frombuffer(r["logp"]),
+            np.frombuffer(r["contexts"], np.int32), np.frombuffer(r["backoff"])))
+        sizes[key] = r["n"]
+    return Models(models.get((True, None), []), {
+        name: (levels, sizes[whole, name] / (sizes[whole, name] + OWN_WEIGHT))
+        for (whole, name), levels in models.items() if not whole})
 
 
 def base_counts(block: B.Block, words: B.Words) -> dict[str, np.ndarray]:
@@ -251,26 +302,31 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def measure(
     docs: DataFrame, levels: Models | list[Level], id: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> DataFrame:
-    """``id, lang``, the base counts, ``n_kinds`` (distinct words), ``n_grams`` and ``neg_logp`` (per letter class; null
+    """``id, lang``, the base counts, ``n_kinds`` (distinct words), ``n_grams`` and ``neg_logp`` (per symbol; null
     without words).  A mere list of levels is used for every language."""
-    models = levels if isinstance(levels, Models) else Models(levels, {})
+    given = levels if isinstance(levels, Models) else Models(levels, {})
+    # sent to every task: single precision is far finer than the bins of the figures
+    models = Models(_single(given.whole), {k: (_single(own), weight) for k, (own, weight) in given.own.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = pa.compute.dictionary_encode(batch.column(1), null_encoding="encode")
             names, numbers = kinds.dictionary.to_pylist(), kinds.indices.to_numpy()
             for block in B.blocks(batch.column(2)):
-                words, first, inverse, of = words_by_language(block, numbers[block.first:block.last])
-                code, to = grams(block, words.starts[first], words.ends[first])
-                logp, of = np.zeros(len(code)), np.repeat(of, np.diff(to))
-                for k in np.unique(of).tolist():
-                    logp[of == k] = models.score(names[k], code[of == k].astype(np.int64))
-                per_word = B.doc_sums(logp, to)
-                total = B.doc_sums(per_word[inverse], words.at)
-                n = B.doc_sums(np.diff(to)[inverse], words.at)
-                pairs = np.unique(np.repeat(np.arange(len(block)), words.counts) * max(len(first), 1) + inverse)
+                words = block.words()
+                code, to = grams(block, words)
+                keys, inverse = np.unique(by_language(code, to, numbers[block.first:block.last]), return_inverse=True)
+                edges = np.searchsorted(keys, np.arange(len(names) + 1) << CODE_BITS)
+                logp = np.zeros(len(keys))
+                for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                    if b > a:
+                        logp[a:b] = models.score(names[k], keys[a:b] & ((1 << CODE_BITS) - 1))
+                total, n = B.doc_sums(logp[inverse], to), np.diff(to)
+                doc = words.doc
+                kinds_at = np.unique(B.mix(
+                    block.word_hashes(words) + doc.astype(B.U) * B.U(0x9E3779B97F4A7C15)), return_index=True)[1]
                 base = {"n_words": words.counts} | base_counts(block, words) | {
-                    "n_kinds": np.bincount(pairs // max(len(first), 1), minlength=len(block))}
+                    "n_kinds": np.bincount(doc[kinds_at], minlength=len(block))}
                 with np.errstate(invalid="ignore"):
                     mean = -total / n
                 yield pa.RecordBatch.from_arrays(

@@ -394,6 +394,40 @@ def test_perplexity_of_a_small_language(spark, n):
     assert np.mean([kept[k] for k in kept if 1000 <= k < 2000]) >= 0.95
 
 
+def test_perplexity_judges_the_order_of_words(spark):
+    """Texts of one order of words: the same words shuffled read as unlikely."""
+    parts = ["ka mo ti re".split(), "suel vorn garp biss".split(), "axi emu iro uda".split(), "lump nost quip fent".split()]
+
+    def ordered(seed):
+        rng = np.random.default_rng(seed)
+        return ["".join(map(str, rng.choice(parts[k % 4], 3))) for k in range(160)]
+
+    rows = [(k, " ".join(ordered(k)), "en") for k in range(120)]
+    for k in range(3):
+        rows.append((500 + k, " ".join(np.random.default_rng(k).permutation(ordered(900 + k))), "en"))
+    kept = judged(spark, rows)
+    assert not any(kept[500 + k] for k in range(3))
+    assert np.mean([kept[k] for k in range(120)]) >= 0.97
+
+
+def test_grams_by_brute_force(spark):
+    texts = ["Ab é, x", "", " one\ttwo  three\n", "Я b", None, "z"]
+    counts = collections.Counter()
+    for text in texts:
+        run = [0] * (perplexity.ORDER - 1)
+        for word in WORD.findall(text or ""):
+            for b in word.encode():
+                run += [int(perplexity.FIRST[b])] + ([int(perplexity.SECOND[b])] if b > 127 else [])
+            run.append(0)
+        for k in range(perplexity.ORDER, len(run) + 1):
+            counts[sum(c << 6 * j for j, c in enumerate(reversed(run[k - perplexity.ORDER:k])))] += 1
+    rows = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    got = {r.code: r.n for r in perplexity.count_grams(rows).collect()}
+    assert got == counts
+    pairs = {(int(perplexity.FIRST[b]), int(perplexity.SECOND[b])) for b in range(128, 256)}
+    assert len(pairs) == 128 and all(0 < c < 64 for pair in pairs for c in pair)
+
+
 # ---- 8 pieces
 
 def test_pieces_equal_the_library_and_round_trip(spark, docs):
