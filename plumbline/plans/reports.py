@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import dist
 from plumbline.plans import oracle_math as om
 from plumbline.plans.catalog import Tables
+from plumbline.session import shuffle_width
 
 
 def fixed(value: Column, digits: int) -> Column:
@@ -44,6 +45,10 @@ def figures(t: Tables) -> DataFrame:
         F.sum(F.when(f, q)).alias("s1"), F.sum(F.when(o, q)).alias("s2"),
         F.sum(F.when(f, q * q)).alias("q1"), F.sum(F.when(o, q * q)).alias("q2"),
     ).where("n1 >= 1 and n2 >= 1 and n1 + n2 > 2")
+    # few bytes but much work a row: small shuffles are read by few tasks, a fixed number of partitions is not.  By a hash
+    # of the key, as Spark drops a shuffle by the key itself here
+    tasks = max(t.spark.sparkContext.defaultParallelism, shuffle_width(s))
+    s = s.repartition(tasks, F.xxhash64("doc_id"))
     d = lambda c: F.col(c).cast("double")
     ss1, ss2 = d("q1") - d("s1") * d("s1") / d("n1"), d("q2") - d("s2") * d("s2") / d("n2")
     dof = F.col("n1") + F.col("n2") - 2

@@ -234,3 +234,14 @@ def test_contract_violations_of_constant_sides(spark, frame, tmp_path):
     frame(rows, "l_orderkey long, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted(tuple(r) for r in catalog.QUERIES["contract_violations"](spark, str(tmp_path)).collect())
     assert (1, "shifted outside 0..1") in got and (3, "n below 2") in got
+
+
+def test_reports_of_few_bytes_are_spread_over_the_tasks(frame, tmp_path):
+    from plumbline.plans.catalog import Tables
+    from plumbline.plans.reports import reports
+
+    rows = [(part, state, float(1 + (7 * k + part) % 50)) for part in range(200) for k, state in enumerate("FOFOO")]
+    df = frame(rows, "l_partkey long, l_linestatus string, l_quantity double")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = reports(Tables(df.sparkSession, str(tmp_path))).select("doc_id", F.spark_partition_id().alias("task")).collect()
+    assert len(made) == 200 and len({r.task for r in made}) > 1
