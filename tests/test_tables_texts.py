@@ -408,3 +408,46 @@ def test_rules_that_need_han(frame):
     df = frame([(1, "plain yyds text"), (2, "综上所述，旨在 yyds"), (3, None)], "d int, text string")
     got = {r["d"]: r["total_hits"] for r in st.phrase_density(df, ["d"], rules).collect()}
     assert got == {1: 1, 2: 3, 3: None}
+
+
+LATIN = fw.StyleRules(
+    sentence_end=r"[.!?;\n]+", min_letters=(r"[a-z]", 4), connectives=(" and ",), passive=" was ", hype=("hugely",),
+    residue=("token = ",), redlist=("clown",), generic=("loser",), phrases=(("en", " the "),), token="[a-z]+")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gram_shares_keep_no_strings_of_grams(frame):
+    texts = ["", None, "one", "a b a b a b a b", "x y z u v w x y z u v", "The the, THE the the the"]
+    out = st.style_metrics(frame(list(enumerate(texts)), "d int, text string"), ["d"], LATIN)
+    for r in out.collect():
+        t = re.findall("[a-z]+", (texts[r["d"]] or "").lower())
+        share = lambda k: len({tuple(t[i:i + k]) for i in range(len(t) - k + 1)}) / (len(t) - k + 1)  # noqa: E731, B023
+        assert r["pair_variety"] == (share(2) if len(t) > 1 else 1.0)
+        assert r["five_repeat"] == (1 - share(5) if len(t) > 4 else 0.0)
+    assert "array_distinct(" not in _plan(out.select("pair_variety", "five_repeat"))
+
+
+def test_sentences_stop_at_the_letters_they_need(frame):
+    df = frame([("1234 abc. 12a b c d. abcd ef. ab=cdef gh.",)], "t string")
+    out = df.select(st.sentence_array(F.col("t"), LATIN).alias("s"))
+    assert out.first()["s"] == ["12a b c d", "abcd ef"]
+    assert "regexp_count" not in _plan(out)
+
+
+def test_first_mention_of_a_model_at_any_place(frame):
+    texts = ["x" * i + "clown" + "y" * j + "because" + "z" * 50 + "clown" for i in (0, 3, 39, 40, 41, 90) for j in (0, 50, 54, 60)]
+    texts += ["y" * 20 + "because" + "x" * i + "clown" for i in (20, 39, 40, 41)] + ["clown clown because", "none", ""]
+    out = frame([(t,) for t in texts], "t string").select("t", st.unjustified_models(F.col("t"), ("clown",)).alias("m"))
+    for r in out.collect():
+        first = re.search(r"([\s\S]{0,40}(?:clown)[\s\S]{0,60})", r["t"])
+        bad = first is not None and not re.search(fw.JUSTIFICATION, first[1])
+        assert r["m"] == (len(re.findall("clown", r["t"])) if bad else 0)
+    assert "substring" in _plan(out)
+
+
+def test_signals_of_a_passage_are_counted_once(frame):
+    out = st.flagged_passages(frame([(1, "x")], "d int, text string"), ["d"], LATIN)
+    assert _plan(out).count("token = ") == 1
