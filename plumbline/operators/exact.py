@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import small_side
+from plumbline.session import pin
 
 #: Largest smaller sample and largest number of pairs for which the exact distribution of U is counted.
 SMALLER_SAMPLE, MOST_PAIRS = 8, 2000
@@ -48,6 +49,7 @@ def signed_rank_counts(n: Column) -> Column:
 
 
 def _with_p(tests: DataFrame, keys: list[str], counts: Column, applies: Column, statistic: Column) -> DataFrame:
+    tests = pin(tests)  # read for its sizes and again for the join
     sizes = tests.where(applies).select(*keys).distinct().withColumn("_counts", counts)
     small = small_side(sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], "_counts"))
     on = [F.col(k) == F.col(f"_{k}") for k in keys]

@@ -22,6 +22,10 @@ def value_frequency(df: DataFrame, by: Sequence[str], value: str, **extra) -> Da
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggs)
 
 
+#: Distinct values of a group that one window orders; larger groups are cut into buckets.
+WINDOW_VALUES = 10_000
+
+
 def cumulate(
     freq: DataFrame,
     by: Sequence[str],
@@ -29,8 +33,30 @@ def cumulate(
     weight: str = "n",
     buckets: int | None = None,
 ) -> DataFrame:
-    """Add ``before`` (weight of smaller values in the group) and ``total`` (weight of the group)."""
+    """Add ``before`` (weight of smaller values in the group) and ``total`` (weight of the group).
+
+    Groups of up to ``WINDOW_VALUES`` values need no cut points, however many groups there are.
+    """
     by = list(by)
+    if not by or buckets:
+        return _in_buckets(freq, by, value, weight, buckets)
+    large = pin(freq.groupBy(*by).agg(F.count(F.lit(1)).alias("_values")).where(
+        F.col("_values") > WINDOW_VALUES).select(*by))
+    if large.isEmpty():
+        return _in_windows(freq, by, value, weight)
+    large = small_side(large)
+    return _in_windows(eq_join(freq, large, by, "left_anti"), by, value, weight).unionByName(
+        _in_buckets(eq_join(freq, large, by, "left_semi"), by, value, weight, None))
+
+
+def _in_windows(freq: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    whole = Window.partitionBy(*by)
+    smaller = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return freq.withColumn("before", F.coalesce(F.sum(weight).over(smaller), F.lit(0))).withColumn(
+        "total", F.sum(weight).over(whole))
+
+
+def _in_buckets(freq: DataFrame, by: list[str], value: str, weight: str, buckets: int | None) -> DataFrame:
     buckets = buckets or shuffle_width(freq)
     probs = [i / buckets for i in range(1, buckets)]
     # The cut points must be the same for every reader, hence pinned: a sketch merged in another

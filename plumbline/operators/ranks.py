@@ -78,19 +78,21 @@ def wilcoxon(df: DataFrame, pre: str, post: str, by: Sequence[str] = ()) -> Data
     # differences of decimals are compared after rounding, so that equal changes tie
     d = F.round(F.col(post).cast("double") - F.col(pre).cast("double"), 10)
     frame = listwise(df, [pre, post], by).select(*by, d.alias("d"))
-    total = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"))
-    freq = frame.where("d <> 0").groupBy(*by, F.abs("d").alias("x")).agg(
+    freq = frame.groupBy(*by, F.abs("d").alias("x")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("pos"))
+    # zero differences rank below all others, so their number is taken off the ranks
     ranked = average_ranks(freq, by, "x")
+    zeros = F.coalesce(F.sum(F.when(F.col("x") == 0, F.col("n"))), F.lit(0))
     sums = ranked.groupBy(*by).agg(
-        F.sum("n").alias("n_used"), F.sum(F.col("pos") * F.col("avg_rank")).alias("w_plus"),
-        F.sum(_tie_term(F.col("n").cast("double"))).alias("ties"))
+        F.sum("n").alias("n_pairs"), (F.sum("n") - zeros).alias("n_used"),
+        (F.sum(F.col("pos") * F.col("avg_rank")) - zeros * F.sum("pos")).alias("w_plus"),
+        F.sum(F.when(F.col("x") != 0, _tie_term(F.col("n").cast("double"))).otherwise(0.0)).alias("ties"))
     n = F.col("n_used").cast("double")
     w_minus = n * (n + 1) / 2 - F.col("w_plus")
     w = F.least(F.col("w_plus"), w_minus)
     sigma = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
     z = F.try_divide(w - n * (n + 1) / 4, sigma)
-    out = eq_join(total, sums, by).where("n_used > 0").select(
+    out = sums.where("n_used > 0").select(
         *by, "n_pairs", "n_used", "w_plus", w_minus.alias("w_minus"), w.alias("w"), "ties",
         z.alias("z"), dist.p_norm(z).alias("p"),
         ((F.col("ties") == 0) & (F.col("n_used") <= 50)).alias("exact_p_applies"))

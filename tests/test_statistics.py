@@ -306,3 +306,25 @@ def test_registry_contracts(frame):
             registry.run("bad", df, a="x", b="z")
     finally:
         registry.unregister("bad")
+
+
+@pytest.mark.parametrize("largest", [10_000, 3])
+def test_ranks_of_many_small_groups_need_no_cut_points(frame, monkeypatch, largest):
+    from plumbline.operators import ordering
+
+    monkeypatch.setattr(ordering, "WINDOW_VALUES", largest)
+    rows = [(g, float(v), n) for g, m in (("a", 2), ("b", 9), (None, 5)) for v in range(m) for n in (v + 1,)]
+    out = ordering.cumulate(frame(rows, "g string, x double, n long"), ["g"], "x")
+    got = {(r["g"], r["x"]): (r["before"], r["total"]) for r in out.collect()}
+    assert got == {(g, x): (sum(n2 for g2, x2, n2 in rows if g2 == g and x2 < x), sum(n2 for g2, _, n2 in rows if g2 == g)) for g, x, _ in rows}
+    assert ("_bucket" in out._jdf.queryExecution().optimizedPlan().toString()) == (largest == 3)
+
+
+def test_signed_ranks_beside_zero_differences(frame):
+    from plumbline.operators import ranks
+
+    rows = [(g, 0.0, d) for g, ds in ((1, [0, 0, 1, -2, 3, 3]), (2, [0, 0]), (3, [5, -4, 2, 1])) for d in map(float, ds)]
+    out = {r["g"]: r for r in ranks.wilcoxon(frame(rows, "g int, a double, b double"), "a", "b", by=["g"]).collect()}
+    assert sorted(out) == [1, 3]
+    assert [out[1][c] for c in ("n_pairs", "n_used", "w_plus", "w", "ties", "p_method")] == [6, 4, 8.0, 2.0, 6.0, "normal"]
+    assert [out[3][c] for c in ("n_pairs", "n_used", "w_plus", "w", "ties", "p_method")] == [4, 4, 7.0, 3.0, 0.0, "exact"]
