@@ -451,3 +451,14 @@ def test_first_mention_of_a_model_at_any_place(frame):
 def test_signals_of_a_passage_are_counted_once(frame):
     out = st.flagged_passages(frame([(1, "x")], "d int, text string"), ["d"], LATIN)
     assert _plan(out).count("token = ") == 1
+
+
+def test_columns_are_sent_to_the_cells_and_parsed_once(frame, monkeypatch):
+    cells = cells_of(frame, ["a", "b", "c"], [[f"{i}.25", i, f"{i} of {i}"] for i in range(9)] + [["x", None, "y"]])
+    out = {r["col_no"]: r for r in fo.numeric_columns(cells, ["d"]).collect()}
+    assert sorted(out) == [0, 1] and out[1]["int_col"] and (out[0]["n"], out[0]["n_decimals"], out[0]["coarse"], out[0]["int_col"]) == (9, 9, False, False)
+    assert "strategy=broadcast" in _plan(fo.numeric_cells(cells, fo.numeric_columns(cells, ["d"]), ["d"]))
+    calls, real = [], fo.numeric_columns
+    monkeypatch.setattr(fo, "numeric_columns", lambda *a: calls.append(1) or real(*a))
+    fo.audit_tables(cells, ["d"]).collect()
+    assert len(calls) == 1
