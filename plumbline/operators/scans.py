@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_writing as fw
 from plumbline.functions import text as tx
-from plumbline.operators.joins import eq_join
+from plumbline.operators.joins import eq_join, unfold
+from plumbline.session import pin
 
 
 def draft_gate(
@@ -23,25 +24,31 @@ def draft_gate(
     """
     paras = drafts.select(*keys, F.posexplode(F.split(text, r"\n+")).alias("paragraph_no", "paragraph"))
     paras = paras.where((F.trim("paragraph") != "") & ~F.trim("paragraph").startswith("#"))
+    p = F.col("paragraph")
+    low = F.lower(p)
+    any_of = lambda words: "|".join(w.replace(".", r"\.") for w in words)
+    hits = lambda words, own=lambda s: F.lit(True): low.rlike(any_of(words)) & F.exists(
+        F.split(low, r"(?<=[。.!?；;])(?!\d)"), lambda s: s.rlike(any_of(words)) & own(s))
+    flags = F.struct(
+        hits(fw.PRAISE_WORDS, lambda s: ~s.rlike(r"\d")).alias("praise"), hits(fw.VAGUE_PHRASES).alias("vague"),
+        (p.rlike(fw.RESULT_NUMBER) & p.rlike(fw.RESULT_STATISTIC) & p.rlike(fw.RESULT_METHOD)).alias("result"))
+    # judged before any shuffle, so that only ids of paragraphs with something to say go on, and no paragraph does
+    judged = unfold(paras.withColumn("_row", F.array(flags)), [*keys, "paragraph_no", "paragraph"], "_row", "vague")
     tokens = F.array_distinct(F.regexp_extract_all(
         "paragraph", F.lit(r"[A-Za-z][A-Za-z0-9_]*(?:-[A-Za-z0-9_]+)+"), F.lit(0)))
-    found = paras.select(*keys, "paragraph_no", F.explode(tokens).alias("claim_id"))
+    told = pin(judged.where("praise or vague or result").select(
+        *keys, "paragraph_no", "praise", "vague", "result", tokens.alias("_ids")))
+    found = told.select(*keys, "paragraph_no", F.explode("_ids").alias("claim_id"))
     anchored = eq_join(found, claim_ids.select(*keys, "claim_id").distinct(), [*keys, "claim_id"],
                        "left_semi").select(*keys, "paragraph_no").distinct().withColumn(
         "anchored", F.lit(True))
-    marked = eq_join(paras, anchored, [*keys, "paragraph_no"], "left").withColumn(
+    marked = eq_join(told.drop("_ids"), anchored, [*keys, "paragraph_no"], "left").withColumn(
         "anchored", F.coalesce("anchored", F.lit(False)))
-    sentences = F.split(F.lower("paragraph"), r"(?<=[。.!?；;])(?!\d)")
-    any_of = lambda words: "|".join(w.replace(".", r"\.") for w in words)
-    praise = F.size(F.filter(sentences, lambda s: s.rlike(any_of(fw.PRAISE_WORDS)) & ~s.rlike(r"\d")))
-    vague = F.size(F.filter(sentences, lambda s: s.rlike(any_of(fw.VAGUE_PHRASES))))
-    p = F.col("paragraph")
-    result = p.rlike(fw.RESULT_METHOD) & p.rlike(fw.RESULT_NUMBER) & p.rlike(fw.RESULT_STATISTIC)
     issues = F.array_compact(F.array(
-        F.when((praise > 0) & ~F.col("anchored"), F.struct(
+        F.when(F.col("praise") & ~F.col("anchored"), F.struct(
             F.lit("warn").alias("level"), F.lit("praise_without_number").alias("rule"))),
-        F.when(vague > 0, F.struct(F.lit("warn").alias("level"), F.lit("vague_phrase").alias("rule"))),
-        F.when(result & ~F.col("anchored"), F.struct(
+        F.when(F.col("vague"), F.struct(F.lit("warn").alias("level"), F.lit("vague_phrase").alias("rule"))),
+        F.when(F.col("result") & ~F.col("anchored"), F.struct(
             F.lit("error").alias("level"), F.lit("result_without_claim").alias("rule")))))
     return marked.select(*keys, "paragraph_no", F.inline(issues))
 

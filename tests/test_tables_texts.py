@@ -462,3 +462,22 @@ def test_columns_are_sent_to_the_cells_and_parsed_once(frame, monkeypatch):
     monkeypatch.setattr(fo, "numeric_columns", lambda *a: calls.append(1) or real(*a))
     fo.audit_tables(cells, ["d"]).collect()
     assert len(calls) == 1
+
+
+def test_draft_gate_shuffles_no_paragraph(frame):
+    text = ("A novel idea. It has 3 parts.\n\nThis novel 7 idea\n# A novel title\nIt performs well; so do all.\n"
+            "The t test gave t(30) = 2.10.\nBy claim-1 the t test gave t(30) = 2.10, which is novel.\nplain\nA robust one by claim-x.")
+    drafts = frame([(1, text), (2, None), (3, "")], "d int, text string")
+    out = sc.draft_gate(drafts, ["d"], frame([(1, "claim-1")], "d int, claim_id string"))
+    assert sorted((r["paragraph_no"], r["rule"]) for r in out.collect()) == [
+        (0, "praise_without_number"), (3, "vague_phrase"), (4, "result_without_claim"), (7, "praise_without_number")]
+    assert "paragraph#" not in _plan(out)
+
+
+def test_entries_are_found_once_a_text(spark, tmp_path):
+    from plumbline.plans import catalog, corpus
+
+    spark.createDataFrame([(1, "one. two. three. four"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus.run_on_entries(catalog.Tables(spark, str(tmp_path)))
+    assert [(r["num"], r["entry"]) for r in out.orderBy("num").collect()] == [(1, "one."), (2, "two."), (3, "three."), (4, "four.")]
+    assert "size(" not in "".join(line for line in _plan(out).split("\n") if "Filter" in line)
