@@ -6,7 +6,9 @@ differences are array functions, and only findings are unfolded.  No text is shu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,29 +148,43 @@ def reference_entries(docs: DataFrame, keys: Sequence[str], text: str = "text")
     return unfold(frame, [*keys, "entry_mode"], "entries", "num")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read: inside lambdas nothing else shares a value."""
+    return F.transform(F.array(value), use)[0]
+
+
 def entry_problems(entry: Column, current_year: int) -> Column:
     """Problem codes of one entry after the national citation standard (GB/T 7714)."""
-    entry = F.regexp_replace(entry, r"(?<!\d)(19|20) (\d{2})(?!\d)", "$1$2")
-    base = F.regexp_extract(entry, fw.TYPE_CODE, 1)
-    online = (F.regexp_extract(entry, fw.TYPE_CODE, 2) == "OL")
-    after = F.coalesce(F.try_element_at(F.split(entry, fw.TYPE_CODE, 2), F.lit(2)), F.lit(""))
-    years = _ints(F.regexp_extract_all(entry, F.lit(fw.YEAR), F.lit(1)))
-    authors = F.try_element_at(F.split(entry, r"[.。](?!\d)", 2), F.lit(1))
-    named = F.filter(F.split(F.regexp_replace(authors, fw.ET_AL, ""), "[,，;；]"),
-                     lambda x: F.trim(x) != "")
-    all_people = F.forall(named, lambda x: F.trim(x).rlike(f"^(?:{fw.PERSON_NAME})$"))
-    flags = [
-        ("no_year", (F.size(years) == 0) & ~base.isin("S", "P")),
-        ("year_in_future", (F.size(years) > 0) & (F.array_min(years) > current_year)),
-        ("journal_volume", (base == "J") & ~online & ~after.rlike(fw.JOURNAL_VOLUME)),
-        ("journal_pages", (base == "J") & ~online & ~after.rlike(fw.PAGES)),
-        ("publisher", base.isin("M", "D") & (F.size(years) > 0) & ~after.rlike(fw.PUBLISHER)),
-        ("no_address", (online | (base == "EB")) & ~entry.rlike(fw.URL)),
-        ("no_access_date", (online | (base == "EB")) & ~entry.rlike(fw.CITE_DATE)),
-        ("many_authors", (F.size(named) > 3) & all_people & ~authors.rlike(fw.ET_AL)),
-        ("no_type_code", base == ""),
-    ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in flags]))
+    def parts(entry: Column) -> Column:
+        return F.struct(
+            entry.alias("entry"), F.regexp_extract(entry, fw.TYPE_CODE, 1).alias("base"),
+            (F.regexp_extract(entry, fw.TYPE_CODE, 2) == "OL").alias("online"),
+            F.coalesce(F.try_element_at(F.split(entry, fw.TYPE_CODE, 2), F.lit(2)), F.lit("")).alias("after"),
+            _ints(F.regexp_extract_all(entry, F.lit(fw.YEAR), F.lit(1))).alias("years"),
+            F.try_element_at(F.split(entry, r"[.。](?!\d)", 2), F.lit(1)).alias("authors"))
+
+    def people(x: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(x["authors"], fw.ET_AL, ""), "[,，;；]"), lambda n: F.trim(n) != "")
+
+    def judged(x: Column) -> Column:
+        base, online, after, years, authors = (x[k] for k in ("base", "online", "after", "years", "authors"))
+        many = _let(people(x), lambda named: (F.size(named) > 3) & F.forall(
+            named, lambda n: F.trim(n).rlike(f"^(?:{fw.PERSON_NAME})$")))
+        flags = [
+            ("no_year", (F.size(years) == 0) & ~base.isin("S", "P")),
+            ("year_in_future", (F.size(years) > 0) & (F.array_min(years) > current_year)),
+            ("journal_volume", (base == "J") & ~online & ~after.rlike(fw.JOURNAL_VOLUME)),
+            ("journal_pages", (base == "J") & ~online & ~after.rlike(fw.PAGES)),
+            ("publisher", base.isin("M", "D") & (F.size(years) > 0) & ~after.rlike(fw.PUBLISHER)),
+            ("no_address", (online | (base == "EB")) & ~x["entry"].rlike(fw.URL)),
+            ("no_access_date", (online | (base == "EB")) & ~x["entry"].rlike(fw.CITE_DATE)),
+            ("many_authors", many & ~authors.rlike(fw.ET_AL)),
+            ("no_type_code", base == ""),
+        ]
+        return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in flags]))
+
+    joined = F.regexp_replace(entry, r"(?<!\d)(19|20) (\d{2})(?!\d)", "$1$2")
+    return _let(joined, lambda e: _let(parts(e), judged))
 
 
 def check_entries(entries: DataFrame, keys: Sequence[str], current_year: int) -> DataFrame:
@@ -299,10 +315,14 @@ def missing_author_years() -> Column:
 
 # ---- captions --------------------------------------------------------------------------------
 
-def _caption_array(body: Column, words: str) -> Column:
+def _naming(text: Column, words: str) -> Column:
+    """Whether a text holds one of the plain ``words`` of a pattern."""
+    return reduce(or_, [text.contains(w.replace("\\", "")) for w in words.split("|")])
+
+
+def _caption_array(lines: Column, words: str) -> Column:
     pattern = fw.CAPTION.format(words=words)
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(pattern) & ~x.contains(fw.TABLE_ROW)
-                     & ~F.right(F.rtrim(x), F.lit(40)).rlike(fw.CONTENTS_LINE))
+    lines = F.filter(lines, lambda x: x.rlike(pattern) & ~F.right(F.rtrim(x), F.lit(40)).rlike(fw.CONTENTS_LINE))
     found = F.transform(lines, lambda x: F.struct(
         F.regexp_replace(F.regexp_extract(x, pattern, 2), r"\.", "-").alias("num"),
         F.trim(F.regexp_extract(x, pattern, 3)).alias("title")))
@@ -337,16 +357,18 @@ def with_captions(frame: DataFrame) -> DataFrame:
     frame = frame.withColumn("_body", tx.normalize(F.col("body")))
     for kind, words in CAPTION_KINDS:
         line = fw.CAPTION.format(words=words)
+        # only lines that name the kind can hold a caption or a mention, and neither goes beyond its line
+        frame = frame.withColumn("_named", F.when(~_naming(F.col("_body"), words), _empty("string")).otherwise(
+            F.filter(F.split("_body", "\n"), lambda x: _naming(x, words) & ~x.contains(fw.TABLE_ROW))))  # noqa: B023
         # a caption line is no mention; other lines, table rows aside, are running text
-        running = F.array_join(F.filter(F.split("_body", "\n"), lambda x: ~(  # noqa: B023
-            x.rlike(line) & ~F.trim(F.regexp_extract(x, line, 3)).rlike(fw.NOT_CAPTION))  # noqa: B023
-            & ~x.contains(fw.TABLE_ROW)), "\n")
-        frame = frame.withColumns({"_caps": _caption_array(F.col("_body"), words), "_run": running})
+        running = F.filter("_named", lambda x: ~(
+            x.rlike(line) & ~F.trim(F.regexp_extract(x, line, 3)).rlike(fw.NOT_CAPTION)))  # noqa: B023
+        mentions = F.flatten(F.transform(running, lambda x: F.regexp_extract_all(
+            x, F.lit(fw.MENTION.format(words=words)), F.lit(1))))  # noqa: B023
         frame = frame.withColumns({
-            "_have": F.array_distinct(F.transform("_caps", lambda c: c["num"])),
-            "_mentioned": F.array_distinct(F.transform(
-                F.regexp_extract_all("_run", F.lit(fw.MENTION.format(words=words)), F.lit(1)),
-                lambda x: F.regexp_replace(x, r"\.", "-")))})
+            "_caps": _caption_array(F.col("_named"), words),
+            "_mentioned": F.array_distinct(F.transform(mentions, lambda x: F.regexp_replace(x, r"\.", "-")))})
+        frame = frame.withColumn("_have", F.array_distinct(F.transform("_caps", lambda c: c["num"])))
         doubled = F.filter("_have", lambda n: F.size(F.array_distinct(F.transform(
             F.filter("_caps", lambda c: c["num"] == n),
             lambda c: F.regexp_replace(c["title"], r"\s+", "")))) > 1)
@@ -361,7 +383,7 @@ def with_captions(frame: DataFrame) -> DataFrame:
             F.when(some, lost).otherwise(_empty("string")).alias("not_captioned"),
             F.when(some & (F.size("_mentioned") > 0), F.array_except("_have", "_mentioned"))
             .otherwise(_empty("string")).alias("not_mentioned")))
-    return frame.drop("_body", "_caps", "_run", "_have", "_mentioned")
+    return frame.drop("_body", "_named", "_caps", "_have", "_mentioned")
 
 
 def caption_check(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -383,11 +405,15 @@ def with_typography(frame: DataFrame, rules=fw.TYPOGRAPHY, pairs=fw.PAIRS,
         & ~F.right(x, F.lit(40)).rlike(fw.CONTENTS_LINE))
     frame = frame.withColumn("_lines", lines)
 
+    # most rules and pairs are about characters that few lines of other scripts have
+    frame = frame.withColumn("_wide", F.filter("_lines", lambda x: x.rlike(tx.WIDE)))
+
     def total(pattern: str) -> Column:
-        return F.aggregate("_lines", F.lit(0), lambda s, x: s + F.regexp_count(x, F.lit(pattern)))
+        return F.aggregate("_wide" if tx.needs_wide(pattern) else "_lines", F.lit(0),
+                           lambda s, x: s + F.regexp_count(x, F.lit(pattern)))
 
     def count_of(line: Column, mark: str) -> Column:
-        return F.length(line) - F.length(F.translate(line, mark, ""))
+        return F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
 
     def unbalanced(line: Column) -> Column:
         out = F.lit(False)
@@ -395,15 +421,16 @@ def with_typography(frame: DataFrame, rules=fw.TYPOGRAPHY, pairs=fw.PAIRS,
             differs = count_of(line, a) != count_of(line, b)
             if a == "“":
                 differs = differs & ~(line.startswith("“") & (count_of(line, a) == count_of(line, b) + 1))
-            out = out | differs
+            out = out | ((line.contains(a) | line.contains(b)) & differs)
         return out
 
+    paired = "_wide" if all("\u2010" <= mark <= "\uffff" for pair in pairs for mark in pair) else "_lines"
     counts = F.array(*[F.struct(F.lit(n).alias("rule"), total(p).alias("n")) for n, p in rules],
                      F.struct(F.lit("unbalanced_pair").alias("rule"),
-                              F.size(F.filter("_lines", unbalanced)).alias("n")))
+                              F.size(F.filter(paired, unbalanced)).alias("n")))
     kept = F.filter(counts, lambda c: (c["n"] > 0) & ~(
         (c["rule"] == "blank_between_characters") & (c["n"] < 3)))
-    return frame.withColumn("typography", kept).drop("_lines")
+    return frame.withColumn("typography", kept).drop("_lines", "_wide")
 
 
 def typography_check(docs: DataFrame, keys: Sequence[str], text: str = "text", **kw) -> DataFrame:

@@ -481,3 +481,22 @@ def test_entries_are_found_once_a_text(spark, tmp_path):
     out = corpus.run_on_entries(catalog.Tables(spark, str(tmp_path)))
     assert [(r["num"], r["entry"]) for r in out.orderBy("num").collect()] == [(1, "one."), (2, "two."), (3, "three."), (4, "four.")]
     assert "size(" not in "".join(line for line in _plan(out).split("\n") if "Filter" in line)
+
+
+def test_lint_tries_wide_rules_on_wide_lines(frame):
+    from plumbline.functions import text as tx
+
+    problems = _plan(frame([("x",)], "entry string").select(it.entry_problems(F.col("entry"), 2024).alias("p")))
+    assert problems.count("(19|20) (") == 1
+    yes = ["…+", "[０-９]+", r"([，。])\1+", r"(?<=[一-鿿])\.{3,}", r"\([一-鿿][^()\n]{0,40}\)"]
+    no = ["e[,.] ", "(?<![一-鿿])a", "…?a", "…|a", "²"]
+    assert [tx.needs_wide(p) for p in yes] == [True] * len(yes) and [tx.needs_wide(p) for p in no] == [False] * len(no)
+    lines = "plain words go here in this line\n甲,乙 and some more words here\n（plain words go here in this\n１２ and １ stand in this line e, "
+    got = {r["rule"]: r["n"] for r in it.typography_check(
+        frame([(1, lines)], "d int, text string"), ["d"], rules=(*fw.TYPOGRAPHY, ("after_e", "e[,.]|words"))).collect()}
+    assert got == {"half_width_punctuation": 1, "full_width_digits": 2, "unbalanced_pair": 1, "after_e": 4}
+    captions = it.caption_check(frame([(1, "Figure 1 One\nsee Figure 1\n | Figure 7 \n见图２ 和\nplain"), (2, None)], "d int, text string"), ["d"])
+    found = {(r["d"], r["kind"]): (r["n_captions"], r["n_mentions"]) for r in captions.collect()}
+    assert found[1, "figure"] == (1, 2) and found[1, "table"] == (0, 0)
+    glyphs = frame([("ｐ＝．０５",), ("x²",), ("Χ𝑝",), ("plain é",), (None,)], "t string").select(tx.normalize(F.col("t")).alias("t"))
+    assert [r["t"] for r in glyphs.collect()] == ["p=.05", "x2", "χp", "plain é", None]
