@@ -51,6 +51,10 @@ QUANTITY_PATTERNS = {
          + r"|共\s*" + _SIZE + r"\s*[名人份个]|(?:抽取|选取|招募|纳入|入选|收集|随访)\s*了?\s*" + _SIZE + r"\s*[名人份个例]"
          + r"|有效\s*(?:问卷|样本|数据|被试)?\s*" + _SIZE + r"\s*[名人份个例]",
 }
+#: Every hit of a kind but ``n`` holds this once.  Without a long run of blanks or digits, its part before this is shorter than the first of
+#: two lengths, and what decides on it after the sign is shorter than the second.
+QUANTITY_SIGN = r"[<->≤≥＜-＞是为]\s*-?[0-9.]"
+QUANTITY_LEAD, QUANTITY_TAIL, LONG_BLANK = 100, 60, r"[\s-]{10}|\d{10}"
 #: The narrower forms of two kinds, as an optional rule set: sizes of two to five digits, and p only as ``=`` or as a
 #: bound below .1.  They lose or shorten other numbers, so they are not the default.
 NARROW_QUANTITY_PATTERNS = QUANTITY_PATTERNS | {

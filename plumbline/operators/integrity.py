@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_text as ft
@@ -496,37 +496,74 @@ def causal_wording(docs: DataFrame, keys: Sequence[str], text: str = "text") ->
         .select(*keys, "sentence_no", verb.alias("verb"), "sentence")
 
 
+def _quantity_starts(pieces: Column) -> Column:
+    """Hits of the quantity patterns at the signs that begin all pieces but the first: ``n`` (length of the piece), ``p`` and ``others``
+    (where hits of p and of other kinds start, counted from the sign, so never above 0).
+
+    A hit has one sign followed by a number, so it lies in the end of one piece and the start of the next.  These are cut to what a hit
+    can be long, unless a long run of blanks or digits is there.
+    """
+    def cut(piece: Column, some: Column) -> Column:
+        return F.when(some.rlike(ft.LONG_BLANK), piece).otherwise(some)
+
+    def first(around: Column, pattern: str) -> Column:
+        lead = F.regexp_extract(around["text"], f"(?s)^(.*?)(?:{pattern})", 1)
+        return F.when(around["text"].rlike(pattern), F.length(lead) - around["back"])
+
+    def hits(around: Column) -> Column:
+        others = [first(around, v) for k, v in ft.QUANTITY_PATTERNS.items() if k not in ("n", "p")]
+        return F.struct(around["n"].alias("n"), first(around, ft.QUANTITY_PATTERNS["p"]).alias("p"),
+                        F.array_distinct(F.array_compact(F.array(*others))).alias("others"))
+
+    def near(piece: Column, i: Column) -> Column:
+        before = cut(pieces[i], F.right(pieces[i], F.lit(ft.QUANTITY_LEAD)))
+        after = cut(piece, F.left(piece, F.lit(ft.QUANTITY_TAIL)))
+        return _let(before, lambda b: F.struct(
+            F.length(piece).alias("n"), F.length(b).alias("back"), F.concat(b, after).alias("text")))
+
+    later = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.transform(F.transform(later, near), hits)
+
+
+def _count_tests(length: Column, starts: Column, reach: int) -> Column:
+    """p-values plus other statistics without a p-value within ``reach``, from ``_quantity_starts`` behind ``length`` characters.
+
+    One fold in order of position; a statistic waits for its p-value while one can still be near, so few wait at a time.
+    """
+    def step(s: Column, x: Column) -> Column:
+        p = s["at"] + x["p"]
+        fresh = F.filter(F.transform(x["others"], lambda o: s["at"] + o), lambda o: s["last"].isNull() | (o - s["last"] > reach))
+
+        def after(waiting: Column) -> Column:
+            lost = F.filter(waiting, lambda o: F.when(p.isNotNull(), F.abs(o - p) > reach).otherwise(s["at"] - o > reach))
+            return F.struct(
+                (s["at"] + x["n"]).alias("at"), F.coalesce(p, s["last"]).alias("last"),
+                (s["n"] + F.size(lost) + F.when(p.isNotNull(), 1).otherwise(0)).alias("n"),
+                F.when(p.isNotNull(), _empty("int")).otherwise(F.filter(waiting, lambda o: s["at"] - o <= reach)).alias("waiting"))
+
+        return _let(F.concat(s["waiting"], fresh), after)
+
+    start = F.struct(length.alias("at"), F.lit(None).cast("int").alias("last"), F.lit(0).alias("n"), _empty("int").alias("waiting"))
+    return F.aggregate(starts, start, step, lambda s: s["n"] + F.size(s["waiting"]))
+
+
 def hypothesis_coverage(
     docs: DataFrame, keys: Sequence[str], text: str = "text", reach: int = 150
 ) -> DataFrame:
     """Numbered hypotheses against reported tests.
 
-    Every p-value is a test; a statistic without a p-value within ``reach`` characters is one too.  The
-    nearest p-values come from an ordered window over the hits of a text.
+    Every p-value is a test; a statistic without a p-value within ``reach`` characters is one too.  A text is cut at the signs before
+    numbers, and the patterns are tried around these only.  Nothing is shuffled.
     """
-    plain = F.regexp_extract_all(text, F.lit(fw.HYPOTHESIS), F.lit(1))
-    short = F.regexp_extract_all(text, F.lit(fw.HYPOTHESIS), F.lit(2))
-    declared = F.array_distinct(F.filter(
-        F.concat(F.transform(plain, lambda x: chinese_numeral(x)), _ints(short)),
-        lambda x: x.isNotNull()))
-    counted = docs.select(*keys, F.size(declared).cast("long").alias("n_declared"))
-    kinds = {k: v for k, v in ft.QUANTITY_PATTERNS.items() if k != "n"}
-    hits = tx.locate(docs, keys, text, kinds, 0).select(
-        *keys, (F.col("kind") == "p").alias("is_p"), "start").distinct()
-    order = Window.partitionBy(*keys).orderBy("start")
-    before = F.last(F.when(F.col("is_p"), F.col("start")), True).over(
-        order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(F.when(F.col("is_p"), F.col("start")), True).over(
-        order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    near = hits.withColumns({"_b": before, "_a": after})
-    alone = ~F.col("is_p") & ~F.coalesce(F.col("start") - F.col("_b") <= reach, F.lit(False)) \
-        & ~F.coalesce(F.col("_a") - F.col("start") <= reach, F.lit(False))
-    tests = near.groupBy(*keys).agg(
-        F.count_if("is_p").alias("n_p"), F.count_if(alone).alias("n_alone"))
-    out = counted.join(tests, list(keys), "left").na.fill(0, ["n_p", "n_alone"])
-    n_tests = F.col("n_p") + F.col("n_alone")
-    return out.select(
-        *keys, "n_declared", n_tests.alias("n_tests"),
+    named = F.regexp_extract_all(text, F.lit(fw.HYPOTHESIS), F.lit(0))
+    declared = F.array_distinct(F.filter(F.transform(
+        named, lambda x: chinese_numeral(F.regexp_replace(x, fw.HYPOTHESIS_HEAD, ""))), lambda x: x.isNotNull()))
+    frame = docs.select(*keys, F.size(declared).cast("long").alias("n_declared"),
+                        F.split(tx.unmarked(F.col(text)), f"(?={ft.QUANTITY_SIGN})").alias("_pieces"))
+    tests = _count_tests(F.length(F.col("_pieces")[0]), _quantity_starts(F.col("_pieces")), reach)
+    n_tests = F.col("n_tests")
+    return frame.select(*keys, "n_declared", F.coalesce(tests, F.lit(0)).cast("long").alias("n_tests")).select(
+        *keys, "n_declared", "n_tests",
         F.when(F.col("n_declared") < 3, "abstain").when(
             F.col("n_declared") - n_tests >= 2, "uncovered").otherwise("ok").alias("status"))
 

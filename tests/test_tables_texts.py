@@ -500,3 +500,25 @@ def test_lint_tries_wide_rules_on_wide_lines(frame):
     assert found[1, "figure"] == (1, 2) and found[1, "table"] == (0, 0)
     glyphs = frame([("ｐ＝．０５",), ("x²",), ("Χ𝑝",), ("plain é",), (None,)], "t string").select(tx.normalize(F.col("t")).alias("t"))
     assert [r["t"] for r in glyphs.collect()] == ["p=.05", "x2", "χp", "plain é", None]
+
+
+def test_hypothesis_coverage_shuffles_nothing(frame):
+    from plumbline.functions import fixed_text as ft
+    from plumbline.functions import text as tx
+
+    blank, far = " " * 120, "x" * 151
+    texts = ["t(30) = 2.1, p = .05", f"t = 2 {far} p = .05 {far} r = .3", f"p{blank}= .04 F(1,{blank}{'3' * 40}) = 2", "p = 1.0" + "0" * 90,
+             "p = 1.0" + "0" * 90 + "5", "or = 1.2 R2 = .4 ap = .05 aM = 2", "均值为3，标准差 是 2 比值比 = 2", "chi" + "-" * 130 + "square = 3",
+             "= 5 p == .05 p <= .05", "p\u0001= .05 x\u0002² = 3", "T =" + "\n" * 80 + "-3 p = 为 2", "", "\U0001F600p<.05" + "t = 1 " * 40, "p=.01 t=1 t=2p=.02" * 9]
+    df = frame([*enumerate(texts), (99, None)], "d int, text string")
+    out = it.hypothesis_coverage(df, ["d"])
+    plan = _plan(out)
+    assert "Join" not in plan and "Window" not in plan and plan.count("(?=[") == 1
+    kinds = {k: v for k, v in ft.QUANTITY_PATTERNS.items() if k != "n"}
+    hits = {(r["d"], r["kind"] == "p", r["start"]) for r in tx.locate(df, ["d"], "text", kinds, 0).collect()}
+    for r in out.collect():
+        p = [s for d, is_p, s in hits if d == r["d"] and is_p]
+        alone = [s for d, is_p, s in hits if d == r["d"] and not is_p and all(abs(s - x) > 150 for x in p)]
+        assert (r["d"], r["n_tests"]) == (r["d"], len(p) + len(alone))
+    again = frame([(1, "H1 H1a aH1 h 2 假设3 假说十二 假设5个 假设 四"), (1, "H7 H8"), (None, "H1")], "d int, text string")
+    assert sorted(r["n_declared"] for r in it.hypothesis_coverage(again, ["d"]).collect()) == [1, 2, 5]
