@@ -495,10 +495,13 @@ def fingerprint_counts(df: DataFrame, body: Sequence[str] = ()) -> DataFrame:
     whole = [_fingerprint(WHOLE, df.columns, F.lit(True))]
     bodies = [_fingerprint(BODY, body, F.lit(True), complete)] if body else []
     single = [_fingerprint(k, [c], complete, F.col(c).isNotNull()) for k, c in enumerate(df.columns)]
-    spread = df.select(F.inline(F.array_compact(F.array(*whole, *bodies, *single))))
-    counted = spread.groupBy("kind", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("ok").alias("ok"))
+    # a fingerprint left out is a row of nulls; an array function that takes it out before would keep the scan from being compiled
+    spread = df.select(F.inline(F.array(*whole, *bodies, *single))).where(F.col("kind").isNotNull())
+    # without a body the flag says no more than the kind
+    ok, flags = (F.col("ok"), [F.max("ok").alias("ok")]) if body else (F.col("kind") == WHOLE, [])
+    counted = spread.groupBy("kind", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), *flags)
     return counted.groupBy("kind").agg(
-        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"), F.count_if("ok").alias("n_unique_ok"),
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"), F.count_if(ok).alias("n_unique_ok"),
         F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_repeated"),
         F.count_if(F.col("n") > 1).alias("n_groups"))
 

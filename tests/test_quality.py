@@ -109,6 +109,18 @@ def test_duplicates_need_more_than_chance(frame):
     assert not q.check_duplicate_rows(coarse, id_columns=[]).collect()
 
 
+def test_fingerprints_are_compiled(frame):
+    rows = [(1, 2.5, "x"), (1, 2.5, "x"), (2, None, "y"), (3, float("nan"), None), (None, None, None), (None, None, None)]
+    df = frame(rows, "id int, a double, b string")
+    for body in ((), ("a", "b")):
+        out = q.fingerprint_counts(df, body)
+        assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r["kind"]: (r["n_rows"], r["n_unique"], r["n_unique_ok"], r["n_repeated"], r["n_groups"]) for r in out.collect()}
+        bodies = {q.BODY: (2, 1, 1, 2, 1)} if body else {}
+        known = (1, 1, 1) if body else (0, 0, 0)
+        assert got == {q.WHOLE: (6, 4, 4, 4, 2), 0: (4, 3, known[0], 2, 1), 1: (3, 2, known[1], 2, 1), 2: (3, 2, known[2], 2, 1)} | bodies
+
+
 def test_duplicates_by_fingerprint(frame, spark):
     schema = "id int, a string, b string, c double"
     rows = [(i, f"a{i}", f"b{i}", i * 0.5) for i in range(30)]
