@@ -522,3 +522,14 @@ def test_hypothesis_coverage_shuffles_nothing(frame):
         assert (r["d"], r["n_tests"]) == (r["d"], len(p) + len(alone))
     again = frame([(1, "H1 H1a aH1 h 2 假设3 假说十二 假设5个 假设 四"), (1, "H7 H8"), (None, "H1")], "d int, text string")
     assert sorted(r["n_declared"] for r in it.hypothesis_coverage(again, ["d"]).collect()) == [1, 2, 5]
+
+
+def test_full_rule_table_counts_dashes(spark, tmp_path):
+    from plumbline.plans import catalog, corpus
+
+    texts = ["样本分为两组——实验组与对照组——分别施测。", "two ——paired—— dashes, then ——two—— more", "one —— only", "S-O-R（刺激——机体——反应）",
+             "综上所述，旨在 yyds", None]
+    for name, rows in (("some", list(enumerate(texts))), ("none", []), ("null", [(1, None)])):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = {name: corpus.phrase_rules_full(catalog.Tables(spark, f"{tmp_path}/{name}")).collect() for name in ("some", "none", "null")}
+    assert {name: [tuple(r) for r in rows] for name, rows in got.items()} == {"some": [(6, 6)], "none": [(0, 0)], "null": [(1, 0)]}
